@@ -125,7 +125,8 @@ def retype_followups(visits: DataFrame, rules: Rules = RULES) -> DataFrame:
     out = visits.join(hits, "business_id", "left")
     again = _yes(F.array_contains("_hits", c("seq")))
     keep = [x for x in visits.columns if x not in ("_trigger", "_any_order")]
-    return out.select(*[F.when(again, "followup").otherwise(c(x)).alias(x) if x == "visit_type" else c(x) for x in keep])
+    return out.select(*[F.when(again, "followup").otherwise(c(x)).alias(x) if x == "visit_type" else c(x) for x in keep],
+                      c("visit_type").alias("merged_type"))
 
 
 def read_closures(visits: DataFrame, rules: Rules = RULES) -> DataFrame:

@@ -38,7 +38,7 @@ rec1 AS (
  SELECT *, CASE WHEN visit_type = 'routine' AND status = 'Complete' AND 100 - 5 * n_major - 3 * n_minor - n_grp > 0
    THEN 100 - 5 * n_major - 3 * n_minor - n_grp END AS score, status = 'Ordered Closed' AS is_order,
   status = 'Approved to Reopen' AS is_reopen FROM rec0),
-rec AS (
+rec AS MATERIALIZED (
  SELECT *, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score IS NOT NULL THEN 'C' END AS grade FROM rec1),
 merged0 AS (
  SELECT business_id, day, visit_type, min(record_id) AS record_id,
@@ -48,7 +48,7 @@ merged0 AS (
   CAST(sum(n_grp) AS BIGINT) AS n_grp, bool_or(permit_note) AS permit_note, bool_or(is_order) AS is_order,
   bool_or(is_reopen) AS is_reopen, count(*) AS n_records, {', '.join(f'CAST(sum({t}) AS BIGINT) AS {t}' for t in TH)}
  FROM rec GROUP BY business_id, day, visit_type),
-merged AS (
+merged AS MATERIALIZED (
  SELECT *, day - DATE '1970-01-01' AS dn, row_number() OVER (PARTITION BY business_id ORDER BY day,
    CASE WHEN is_order THEN 0 WHEN is_reopen THEN 1 ELSE 2 END, record_id) AS seq FROM merged0),
 inf0 AS (
@@ -104,9 +104,9 @@ fold AS (
  SELECT e.business_id, e.k, e.seq, e.routine AND coalesce(e.dn - f.at_dn <= 30, FALSE),
   CASE WHEN e.always OR (e.low AND NOT coalesce(e.dn - f.at_dn <= 30, FALSE)) THEN e.dn ELSE f.at_dn END
  FROM fold f JOIN ev1 e ON e.business_id = f.business_id AND e.k = f.k + 1),
-visit AS (
+visit AS MATERIALIZED (
  SELECT p.* EXCLUDE (visit_type, ev, odn, gdn, open_before, open_after, inferred, any_order, graded),
-  CASE WHEN f.hit THEN 'followup' ELSE p.visit_type END AS visit_type,
+  CASE WHEN f.hit THEN 'followup' ELSE p.visit_type END AS visit_type, p.visit_type AS merged_type,
   CASE WHEN p.closed THEN CASE WHEN x.health THEN 'health' ELSE p.closure_order END END AS closure,
   p.inferred AS closure_inferred, CASE WHEN p.closed THEN x.reopened_on IS NOT NULL END AS reopened,
   CASE WHEN p.closed THEN x.reopened_on END AS reopened_on,
@@ -130,7 +130,7 @@ place0 AS (
     WHEN 'FURNITURE' THEN 'market' END AS kind
  FROM customer LEFT JOIN (SELECT o_custkey, CAST(min(o_orderdate) AS DATE) AS first_day FROM orders GROUP BY o_custkey) f
   ON o_custkey = c_custkey),
-place AS (
+place AS MATERIALIZED (
  SELECT p.*, (SELECT min(district) FROM area a WHERE jurisdiction = 'TESTVILLE' AND p.lon BETWEEN a.x0 AND a.x1
    AND p.lat BETWEEN a.y0 AND a.y1) AS district,
   coalesce('D' || (SELECT min(district) FROM area a WHERE jurisdiction = 'TESTVILLE' AND p.lon BETWEEN a.x0 AND a.x1

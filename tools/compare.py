@@ -80,6 +80,8 @@ def main() -> int:
             msg = compare(got, want)
         except Exception as e:  # noqa: BLE001
             msg, got, took = f"{type(e).__name__}: {str(e)[:1500]}", [], time.time() - t
+            if "FATAL" in msg or "INTERNAL" in msg:
+                con = duck(sf_dir)
         print(f"{'ok  ' if not msg else 'FAIL'} {n:42s} {len(got):7d} rows {took:6.2f}s  sql {time.time() - t:5.2f}s", flush=True)
         if msg:
             bad.append(n)
