@@ -311,9 +311,8 @@ def j5(t: Tables):
     return joins.censor(t.research, drop, 45).select("business_id", "record_id")
 
 
-@query("j6_complaint_prompted", """SELECT DISTINCT v.business_id, v.record_id FROM visit v
-JOIN (SELECT business_id, dn FROM visit WHERE visit_type = 'complaint') c ON c.business_id = v.business_id AND v.dn - c.dn BETWEEN 0 AND 60
-WHERE v.visit_type = 'reinspection'""")
+@query("j6_complaint_prompted", """SELECT DISTINCT v.business_id, v.record_id FROM merged v
+JOIN merged c ON c.business_id = v.business_id AND c.visit_type = 'complaint' AND v.dn - c.dn BETWEEN 0 AND 60 WHERE v.visit_type = 'reinspection'""")
 def j6(t: Tables):
     return h.prompted_by_complaint(t.visits).where("prompted").select("business_id", "record_id")
 

@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators import clean, geo, history
+from ..session import cut
 from ..sources import adapt
 from .base_sql import BASE
 
@@ -70,11 +71,12 @@ class Tables:
         rows = history.month_start_rows(self.research, cols).where(F.col("day") > TRAIN_END)
         dims = self.located.select("business_id", "business_type", "zip5", "address", "district", "permit_status")
         risk = F.round(100 * F.coalesce("prior_major_rate", F.lit(0.2))).cast("int")
-        return rows.join(dims, "business_id").select(
+        # Read several times by every measure that uses it, so it is written once.
+        return cut(rows.join(dims, "business_id").select(
             "business_id", "record_id", "day", "dn", "month_start", "n_major", F.col("major").cast("int").alias("y"),
             F.round("rule_mean_all", 6).alias("rule"), F.round("rule_mean12", 6).alias("rule12"), F.round("persistence", 6).alias("pers"), "prior_n",
             "days_since_last", risk.alias("risk"), "business_type", "zip5", "address", "district", "permit_status",
-            geo.area_key(F.col("district"), F.col("zip5")).alias("area"))
+            geo.area_key(F.col("district"), F.col("zip5")).alias("area")))
 
     @cached_property
     def research(self) -> DataFrame:
