@@ -68,8 +68,8 @@ def within_months(day: Column, end: Column, months: float) -> Column:
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Both ends of the score interval for k of n; null without rows."""
-    k, n = k.cast("double"), n.cast("double")
-    p = k / F.when(n > 0, n)
+    k, n = k.cast("double"), F.when(n > 0, n.cast("double"))
+    p = k / n
     d = 1 + F.lit(z * z) / n
     mid = (p + F.lit(z * z) / (2 * n)) / d
     half = F.lit(z) * F.sqrt(p * (1 - p) / n + F.lit(z * z) / (4 * n * n)) / d
@@ -127,7 +127,7 @@ def plain_number(c: Column, places: int = 1) -> Column:
     """Blank for null, no trailing zeros, no trailing point."""
     if places == 0:
         return F.coalesce(F.bround(c).cast("long").cast("string"), F.lit(""))
-    text = F.format_string(f"%.{places}f", c.cast("double"))
+    text = F.format_string(f"%.{places}f", F.bround(c.cast("double"), places))
     return F.when(c.isNull(), "").otherwise(F.regexp_replace(text, r"\.?0+$", ""))
 
 

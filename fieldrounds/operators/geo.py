@@ -90,7 +90,7 @@ def nearby(places: DataFrame, key: str, radius_m: float, n: int, levels: int = 1
     full = (celled.groupBy("_lv", "_cx", "_cy").agg(F.sum("_size").alias("_in_cell"))
             .where(c("_in_cell") > n).drop("_in_cell"))
     best = celled.join(full, ["_lv", "_cx", "_cy"], "left_semi").groupBy("lon", "lat").agg(F.max("_lv").alias("_fine"))
-    # The x cell is wider than the y cell in metres by up to 1 / 0.258, so look two more levels up.
+    # A cell is up to 3.9 times wider than it is high, so its diagonal is at most 4.1 heights: three levels up is enough.
     look = spots.join(best, ["lon", "lat"], "left").select(
         "lon", "lat", F.greatest(F.coalesce(c("_fine") - 3, F.lit(0)), F.lit(0)).alias("_lv"))
     look = look.select("*", F.floor(c("lon") / F.lit(step_x) * scale).cast("long").alias("_x"),

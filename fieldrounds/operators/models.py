@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions import half_up, log_odds, points_formula
+from ..rules import RULES, Rules
 from .ordering import exact_quantiles
 
 
@@ -17,3 +19,318 @@ def apply_group_cuts(df: DataFrame, cuts: DataFrame, group: str, score: str, y:
     return df.join(cuts, group).groupBy(group).agg(F.avg(flag).alias("flag_rate"), F.avg(F.when(F.col(y) == 1, flag)).alias("recall"))
 
 
+
+
+def reading_scores(visits: DataFrame, at: str, readings: dict[str, int | None], rules: Rules = RULES) -> DataFrame:
+    """The average rule's points at ``at`` with a closure read several ways, every reading in one pass (ML18).
+
+    ``None`` reads a closure by the point formula. ``business_id, reading, score``.
+    """
+    day = F.lit(at).cast("date")
+    c = F.col
+    rows = visits.where((c("visit_type") == "routine") & (c("day") < day) & (F.datediff(day, "day") <= rules.score_window_days))
+    closed = F.coalesce(c("closure_order") == "health", F.lit(False))
+    formula = points_formula(c("n_major"), c("n_minor"), c("n_grp"))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("reading"), F.when(closed, formula if v is None else F.lit(v)).otherwise(c("score")).cast("int").alias("s"))
+                               for k, v in readings.items()])).alias("_x")
+    g = rows.select("business_id", each).select("business_id", "_x.reading", "_x.s").groupBy("business_id", "reading").agg(F.avg("s").alias("_m"))
+    return g.where("_m is not null").select("business_id", "reading", (100 - half_up(c("_m"))).alias("score"))
+
+
+# ── fitted models: MLlib on Spark frames; the driver holds coefficients and metrics ──
+
+NUMERIC = ("avg_score", "last_score", "routines", "routines_major", "majors", "health_closures", "reinspections", "grp")
+COUNT_FEATURES = ("avg_deficit", "last_deficit", "routines_major", "majors", "health_closures", "reinspections", "grp")
+
+
+def training_rows(rows: DataFrame, end: str, start: str | None = None) -> DataFrame:
+    """Rows up to ``end``, and from ``start`` when given (ML2)."""
+    out = rows.where(F.col("day") <= F.lit(end).cast("date"))
+    return out.where(F.col("day") >= F.lit(start).cast("date")) if start else out
+
+
+def _with_missing(df: DataFrame, numeric: list[str], fill: dict[str, float]) -> tuple[DataFrame, list[str]]:
+    """Nulls become a fill value plus an indicator: MLlib takes no missing values."""
+    cols = {f"{c}_na": F.col(c).isNull().cast("double") for c in numeric}
+    cols |= {f"{c}_v": F.coalesce(F.col(c).cast("double"), F.lit(float(fill.get(c, -1.0)))) for c in numeric}
+    return df.withColumns(cols), [x for c in numeric for x in (f"{c}_v", f"{c}_na")]
+
+
+class BoostedTrees:
+    """Gradient-boosted trees on one set of columns (ML1).
+
+    Categories are ordinal codes with one extra code for unseen values. The number of rounds is the
+    one with the lowest log loss on the last 90 days of training, then the model is refit on every
+    row. Too few rows for that split: the full number of rounds.
+    """
+
+    def __init__(self, categories: list[str], numeric: list[str], max_iter: int = 40, depth: int = 4, seed: int = 0, val_days: int = 90):
+        self.categories, self.numeric = list(categories), list(numeric)
+        self.max_iter, self.depth, self.seed, self.val_days = max_iter, depth, seed, val_days
+        self.rounds = None
+
+    def _stages(self, iters: int):
+        from pyspark.ml import Pipeline
+        from pyspark.ml.classification import GBTClassifier
+        from pyspark.ml.feature import StringIndexer, VectorAssembler
+        index = [StringIndexer(inputCol=c, outputCol=f"{c}_i", handleInvalid="keep") for c in self.categories]
+        cols = [f"{c}_i" for c in self.categories] + [x for c in self.numeric for x in (f"{c}_v", f"{c}_na")]
+        gbt = GBTClassifier(labelCol="label", featuresCol="features", maxIter=iters, maxDepth=self.depth, stepSize=0.08, seed=self.seed, maxBins=256)
+        return Pipeline(stages=[*index, VectorAssembler(inputCols=cols, outputCol="features"), gbt])
+
+    def _prepare(self, rows: DataFrame) -> DataFrame:
+        return _with_missing(rows.fillna("NA", self.categories or None), self.numeric, {})[0]
+
+    def fit(self, rows: DataFrame, y: str = "major", min_fit: int = 1000, min_val: int = 300) -> "BoostedTrees":
+        data = self._prepare(rows).withColumn("label", F.col(y).cast("double")).persist()
+        last = data.agg(F.date_sub(F.max("day"), self.val_days).alias("cut")).first()["cut"]
+        sizes = data.agg(F.count_if(F.col("day") <= last).alias("f"), F.count_if(F.col("day") > last).alias("v")).first()
+        self.rounds = self.max_iter
+        if sizes.f >= min_fit and sizes.v >= min_val:
+            first = self._stages(self.max_iter).fit(data.where(F.col("day") <= last))
+            val = data.where(F.col("day") > last)
+            for stage in first.stages[:-1]:
+                val = stage.transform(val)
+            losses = list(first.stages[-1].evaluateEachIteration(val))
+            self.rounds = losses.index(min(losses)) + 1
+        self.model = self._stages(self.rounds).fit(data)
+        data.unpersist()
+        return self
+
+    def predict(self, rows: DataFrame, name: str = "p") -> DataFrame:
+        from pyspark.ml.functions import vector_to_array
+        out = self.model.transform(self._prepare(rows))
+        return out.withColumn(name, vector_to_array("probability")[1]).select(*rows.columns, name)
+
+
+def fit_logistic(frame: DataFrame, numeric=NUMERIC, y: str = "y", weight: str = "weight", c: float = 0.5):
+    """Median imputation with missing indicators, standardized, ridge penalty 1 / (C * sum of weights) (ML5)."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+    data, names = _numeric(frame, numeric, y)
+    total = data.agg(F.sum(weight)).first()[0]
+    stages = [Imputer(strategy="median", inputCols=[f"{n}_d" for n in numeric], outputCols=[f"{n}_m" for n in numeric]),
+              VectorAssembler(inputCols=names, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True),
+              LogisticRegression(labelCol="label", weightCol=weight, regParam=1.0 / (c * total), standardization=False, maxIter=200)]
+    return Pipeline(stages=stages).fit(data)
+
+
+def _numeric(frame: DataFrame, numeric, y: str | None) -> tuple[DataFrame, list[str]]:
+    cols = {f"{n}_d": F.coalesce(F.col(n).cast("double"), F.lit(float("nan"))) for n in numeric}
+    cols |= {f"{n}_na": F.col(n).isNull().cast("double") for n in numeric}
+    data = frame.withColumns(cols)
+    data = data.withColumn("label", F.col(y).cast("double")) if y else data
+    return data, [f"{n}_m" for n in numeric] + [f"{n}_na" for n in numeric]
+
+
+def fit_trees(frame: DataFrame, additive: bool = False, numeric=NUMERIC, y: str = "y", weight: str = "weight", rounds: int = 30, seed: int = 0):
+    """Boosted comparator; additive means stumps, so no interactions (ML6). MLlib has no monotone
+    constraint: :func:`monotone_breaks` reports where a fit is not monotone."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import Imputer, VectorAssembler
+    data, names = _numeric(frame, numeric, y)
+    return Pipeline(stages=[
+        Imputer(strategy="median", inputCols=[f"{n}_d" for n in numeric], outputCols=[f"{n}_m" for n in numeric]),
+        VectorAssembler(inputCols=names, outputCol="features"),
+        GBTClassifier(labelCol="label", weightCol=weight, maxIter=rounds, maxDepth=1 if additive else 4, stepSize=0.1, seed=seed)]).fit(data)
+
+
+def predict(model, frame: DataFrame, numeric=NUMERIC, name: str = "p") -> DataFrame:
+    from pyspark.ml.functions import vector_to_array
+    return model.transform(_numeric(frame, numeric, None)[0]).withColumn(name, vector_to_array("probability")[1]).select(*frame.columns, name)
+
+
+def monotone_breaks(scored: DataFrame, feature: str, p: str = "p", bins: int = 10) -> DataFrame:
+    """Mean prediction by value of a feature, with the steps that fall."""
+    from pyspark.sql import Window as W
+    g = scored.where(F.col(feature).isNotNull()).groupBy(F.round(feature).cast("int").alias("value")).agg(F.avg(p).alias("mean_p"), F.count("*").alias("n"))
+    # One row per whole value of a count feature.
+    return g.withColumn("falls", F.col("mean_p") < F.lag("mean_p").over(W.orderBy("value")))
+
+
+def recalibration(scored: DataFrame, p: str = "p", y: str = "y") -> tuple[float, float]:
+    """Slope and intercept of the labels on the log odds (ML11)."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    d = scored.select(log_odds(F.col(p)).alias("z"), F.col(y).cast("double").alias("label"))
+    m = LogisticRegression(regParam=1e-9, maxIter=200, tol=1e-9).fit(VectorAssembler(inputCols=["z"], outputCol="features").transform(d))
+    return float(m.coefficients[0]), float(m.intercept)
+
+
+def _histogram(frame: DataFrame, features: list[str], y: str, weight: str) -> DataFrame:
+    """Distinct integer feature vectors with the weight of each class: a fit reads this, not the rows."""
+    pos = F.sum(F.when(F.col(y) == 1, F.col(weight)).otherwise(0.0)).alias("wp")
+    return frame.groupBy(*[F.col(f).cast("double").alias(f) for f in features]).agg(pos, F.sum(weight).alias("w"))
+
+
+def _loss_and_gradient(hist: DataFrame, features: list[str], scale: list[float], params: list[float]) -> tuple[float, list[float]]:
+    """Weighted log loss and its gradient, one aggregate on Spark."""
+    z = F.lit(params[0])
+    for f, s, b in zip(features, scale, params[1:]):
+        z = z + F.lit(b) * F.col(f) / F.lit(s)
+    soft = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))
+    g = F.col("w") / (1 + F.exp(-z)) - F.col("wp")
+    row = hist.select((F.col("w") * soft - F.col("wp") * z).alias("l"), g.alias("g0"), *[(g * F.col(f) / F.lit(s)).alias(f"g_{i}") for i, (f, s) in enumerate(zip(features, scale))], "w").agg(
+        F.sum("l"), F.sum("w"), F.sum("g0"), *[F.sum(f"g_{i}") for i in range(len(features))]).first()
+    return row[0] / row[1], [v / row[1] for v in row[2:]]
+
+
+def nonneg_logistic(hist: DataFrame, features: list[str], scale: list[float], lam: float, start: list[float], steps: int = 30) -> list[float]:
+    """Log loss plus ``lam`` times the sum of weights, every weight at least 0, by projected gradient
+    with backtracking over the few coefficients the driver holds."""
+    p = list(start)
+    loss, g = _loss_and_gradient(hist, features, scale, p)
+    total, rate = loss + lam * sum(p[1:]), 4.0
+    for _ in range(steps):
+        for _ in range(12):
+            q = [p[0] - rate * g[0]] + [max(0.0, b - rate * (d + lam)) for b, d in zip(p[1:], g[1:])]
+            new, ng = _loss_and_gradient(hist, features, scale, q)
+            if new + lam * sum(q[1:]) <= total + 1e-12:
+                break
+            rate /= 2
+        moved = max(abs(a - b) for a, b in zip(p, q))
+        gain = total - (new + lam * sum(q[1:]))
+        p, g, total = q, ng, new + lam * sum(q[1:])
+        rate *= 1.5
+        if moved < 1e-5 or gain < 1e-9:
+            break
+    return p
+
+
+def fit_count(frame: DataFrame, features=COUNT_FEATURES, y: str = "y", weight: str = "weight", rules: Rules = RULES, path: int = 12,
+              multipliers: int = 60) -> dict[str, int]:
+    """The count score (ML7): whole points per unit for at most ``max_features`` features.
+
+    A non-negative lasso path on standardized features picks the features, an unpenalized refit
+    weighs them, and the multiplier that keeps the most likelihood rounds the weights. Every loss is
+    an aggregate over distinct feature vectors; all multipliers are scored in one pass.
+    """
+    import math
+
+    from ..session import cut
+    names = list(features)
+    hist = cut(_histogram(frame, names, y, weight))
+    w = F.col("w")
+    m = hist.agg(F.sum(w), F.sum("wp"), *[(F.sum(w * F.col(f)) / F.sum(w)).alias(f"m_{f}") for f in names],
+                 *[(F.sum(w * F.col(f) * F.col(f)) / F.sum(w)).alias(f"q_{f}") for f in names]).first()
+    total, pos = m[0], m[1]
+    if not total or pos <= 0 or pos >= total:
+        return {}
+    sd = [math.sqrt(max(m[f"q_{f}"] - m[f"m_{f}"] ** 2, 0.0)) or 1.0 for f in names]
+    start = [math.log(pos / (total - pos))] + [0.0] * len(names)
+    chosen: list[int] = []
+    for i in range(path):
+        lam = 0.05 * (1e-4 / 0.05) ** (i / max(path - 1, 1))
+        start = nonneg_logistic(hist, names, sd, lam, start)
+        hit = [k for k, b in enumerate(start[1:]) if b > 1e-4]
+        if len(hit) > rules.max_features:
+            break
+        chosen = hit
+    if not chosen:
+        return {}
+    kept = [names[k] for k in chosen]
+    fit = nonneg_logistic(hist, kept, [sd[k] for k in chosen], 0.0, [start[0]] + [start[1 + k] for k in chosen], 60)
+    unit = [b / sd[k] for b, k in zip(fit[1:], chosen)]
+    tries = []
+    for j in range(multipliers):
+        k = 0.5 * (400 / 0.5) ** (j / (multipliers - 1))
+        pts = [int(round(u * k)) for u in unit]
+        deficits = [p for f, p in zip(kept, pts) if f in ("avg_deficit", "last_deficit")]
+        if max(pts) in range(1, rules.max_weight + 1) and (not deficits or max(deficits) >= 1) and pts not in tries:
+            tries.append(pts)
+    if not tries:
+        return {}
+    ll = _candidate_likelihood(hist, kept, tries)
+    best = max(range(len(tries)), key=lambda i: (ll[i], -i))
+    return {f: p for f, p in sorted(zip(kept, tries[best]), key=lambda x: -x[1]) if p > 0}
+
+
+def _candidate_likelihood(hist: DataFrame, features: list[str], tries: list[list[int]]) -> list[float]:
+    """Log likelihood of each candidate's total after a one-variable refit: totals are whole numbers,
+    so each candidate is a short histogram and all are counted in one pass."""
+    import math
+    total = [sum((F.lit(p) * F.col(f) for f, p in zip(features, pts)), F.lit(0.0)) for pts in tries]
+    rows = hist.select("w", "wp", F.posexplode(F.array(*total)).alias("i", "t")).groupBy("i", "t").agg(F.sum("w").alias("w"), F.sum("wp").alias("wp")).collect()
+    out = []
+    for i in range(len(tries)):
+        h = [(r.t, r.w, r.wp) for r in rows if r.i == i]
+        a, b = 0.0, 0.0
+        mean = sum(t * w for t, w, _ in h) / sum(w for _, w, _ in h)
+        for _ in range(40):             # Newton on two numbers
+            ga = gb = haa = hab = hbb = 0.0
+            for t, w, wp in h:
+                x = t - mean
+                q = 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * x))))
+                d, v = wp - w * q, w * q * (1 - q)
+                ga, gb, haa, hab, hbb = ga + d, gb + d * x, haa + v, hab + v * x, hbb + v * x * x
+            det = haa * hbb - hab * hab
+            if det <= 1e-12:
+                break
+            da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
+            a, b = a + da, max(0.0, b + db)
+            if abs(da) + abs(db) < 1e-10:
+                break
+        out.append(sum(wp * (a + b * (t - mean)) - w * (max(a + b * (t - mean), 0.0) + math.log1p(math.exp(-abs(a + b * (t - mean))))) for t, w, wp in h))
+    return out
+
+
+def select_rule(metrics: DataFrame, publishable=("average score", "count score"), epsilon: float = RULES.epsilon) -> DataFrame:
+    """The sparsest publishable rule within ``epsilon`` of the best model at every origin; else of the
+    best publishable one; else the most accurate on average (ML13).
+
+    ``metrics``: ``origin, model, auc``, a few rows. ``publishable`` is sparsest first.
+    """
+    c = F.col
+    pub = c("model").isin(*publishable)
+    best = metrics.groupBy("origin").agg(F.max("auc").alias("_any"), F.max(F.when(pub, c("auc"))).alias("_pub"))
+    m = metrics.where(pub).join(best, "origin").groupBy("model").agg(
+        F.bool_and(F.coalesce(c("auc") >= c("_any") - epsilon, F.lit(False))).alias("near_any"),
+        F.bool_and(F.coalesce(c("auc") >= c("_pub") - epsilon, F.lit(False))).alias("near_pub"), F.avg("auc").alias("mean_auc"))
+    sparse = F.array_position(F.array(*[F.lit(p) for p in publishable]), c("model"))
+    tier = F.when(c("near_any"), 1).when(c("near_pub"), 2).otherwise(3)
+    key = F.struct(tier, F.when(tier < 3, sparse.cast("double")).otherwise(-c("mean_auc")))
+    return m.agg(F.min_by("model", key).alias("chosen"), F.min(tier).alias("tier")).select("chosen", (c("tier") == 1).alias("within_epsilon"), "tier")
+
+
+def permutation_importance(model: BoostedTrees, rows: DataFrame, columns: list[str], y: str = "y", repeats: int = 5, share: float = 1.0, seed: int = 0) -> DataFrame:
+    """Mean drop in AUC when a column is shuffled (BS12). A column is shuffled by joining two orders of
+    the same rows, so no row set is gathered."""
+    from functools import reduce
+
+    from ..session import cut
+    from .ordering import positions
+    from .ranking import auc
+    base = cut(rows.sample(share, seed) if share < 1 else rows)
+    with_p = model.predict(base).withColumnRenamed("p", "score")
+    full = auc(with_p, y=y).select("auc").first()[0]
+    numbered = cut(positions(base, [], [F.col("record_id")], "_i"))
+    out = []
+    for col in columns:
+        for r in range(repeats):
+            mixed = positions(numbered.select(F.col(col), F.xxhash64("record_id", F.lit(seed * 1000 + r)).alias("_h"), "record_id"), [], [F.col("_h"), F.col("record_id")], "_i").select("_i", col)
+            p = model.predict(numbered.drop(col).join(mixed, "_i")).withColumnRenamed("p", "score")
+            out.append(auc(p, y=y).select(F.lit(col).alias("feature"), (F.lit(full) - F.col("auc")).alias("drop")))
+    return reduce(DataFrame.unionByName, out).groupBy("feature").agg(F.avg("drop").alias("auc_drop"))
+
+
+def stability(train: DataFrame, now: DataFrame, cuts_shares: list[float], reps: int, features=COUNT_FEATURES, seed: int = 0) -> DataFrame:
+    """How often each place keeps its band when the count score is refit on resampled places (ML14)."""
+    from functools import reduce
+
+    from ..session import cut
+    from .bands import assign_bands, band_cuts
+    from .resample import weights
+    from .views import rule_points
+    times = cut(weights(train, "business_id", reps, seed))
+    train, now = cut(train), cut(now)
+    out = []
+    for r in range(reps):
+        w = times.where(F.col("rep") == r).drop("rep")
+        fitted = fit_count(train.join(w, "business_id").withColumn("weight", F.col("weight") * F.col("times")), features, path=8, multipliers=40)
+        pts = now.withColumn("points", rule_points(fitted))
+        b = assign_bands(pts, band_cuts(pts.where("eligible"), shares=tuple(cuts_shares)))
+        out.append(b.select("business_id", F.col("band").eqNullSafe(F.col("band_now")).cast("double").alias("same")))
+    return reduce(DataFrame.unionByName, out).groupBy("business_id").agg(F.avg("same").alias("kept"))
+

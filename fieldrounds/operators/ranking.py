@@ -194,3 +194,35 @@ def display_order() -> list[Column]:
     return [F.coalesce(F.col("band").cast("int"), F.lit(99)), F.col("points").desc_nulls_last(), norm_key(F.col("name")), F.col("facility_id")]
 
 
+
+
+def with_resampled(df: DataFrame, like, share: float, reps: int, frac: float = 0.2, seed: int = 1, key: str = "record_id",
+                   score: str = "score", y: str = "y") -> DataFrame:
+    """Capture when ``share`` more rows, drawn from those ``like`` a condition, join the list (AG17).
+
+    Only distinct scores are repeated per replicate, never rows. Adds the worst case, where the new
+    rows have the drawn outcomes and rank last.
+    """
+    from .ordering import dense_codes
+    pool = df.where(like)
+    codes = dense_codes(pool, key)
+    n, extra = codes.count(), round(share * df.count())
+    spark = df.sparkSession
+    if n == 0 or extra == 0:
+        raise ValueError("nothing to draw from")
+    word = F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")).cast("binary"))
+    pick = F.conv(F.substring(word, 1, 8), 16, 10).cast("long") % n
+    drawn = spark.range(reps * extra).select(F.floor(F.col("id") / extra).cast("int").alias("rep"), pick.alias("code"))
+    drawn = drawn.groupBy("rep", "code").agg(F.count("*").alias("_t")).join(codes, "code").join(pool.select(key, score, y), key)
+    more = drawn.groupBy("rep", score).agg(F.sum("_t").alias("n"), F.sum(F.col("_t") * F.col(y)).alias("pos"))
+    base = df.groupBy(score).agg(F.count("*").alias("n"), F.sum(y).alias("pos"))
+    base = base.withColumn("rep", F.explode(F.array(*[F.lit(i) for i in range(reps)])))
+    both = base.select("rep", score, "n", "pos").unionByName(more).groupBy("rep", score).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    ran = _totals(running_sums(both, ["rep"], [F.col(score).desc()], {"end": F.col("n")}), ["rep"])
+    cap = F.sum(share_in(F.lit(frac)) * F.col("pos")) / F.max("all_pos")
+    alike = ran.groupBy("rep").agg(cap.alias("_c")).agg(F.avg("_c").alias("like_group"))
+    last = running_sums(df.groupBy(score).agg(F.count("*").alias("n"), F.sum(y).alias("pos")), [], [F.col(score).desc()], {"end": F.col("n")})
+    grown = with_scalars(last, df.agg((F.count("*") + extra).alias("all_n"), F.sum(y).alias("_p")))
+    rate = pool.agg(F.avg(y).alias("_rate"))
+    worst = with_scalars(grown, rate).agg((F.sum(share_in(F.lit(frac)) * F.col("pos")) / (F.max("_p") + F.max("_rate") * extra)).alias("worst"))
+    return with_scalars(alike, worst)

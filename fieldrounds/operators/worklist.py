@@ -134,7 +134,7 @@ def reasons(f: DataFrame, used: DataFrame) -> DataFrame:
         F.lit(" (a health closure, our reading; "), F.when(u["source_score"].isNull(), "no score was given").otherwise(
             F.concat(F.lit("the score that day was "), u["source_score"].cast("string"))), F.lit(")"))).otherwise("")))
     total = F.aggregate("scores_used", F.lit(0.0), lambda a, u: a + u["score"])
-    mean = F.format_string("%.1f", total / F.size("scores_used"))
+    mean = F.format_string("%.1f", F.bround(total / F.when(F.size("scores_used") > 0, F.size("scores_used")), 1))
     some = F.coalesce(F.size("scores_used") > 0, F.lit(False))
     listed = F.concat(F.lit("Routine scores: "), F.array_join(one, ", "), F.lit(" (mean "), mean, F.lit(")."))
     first = F.when((F.length("escalation") > 0) & ~c("held"), F.concat(F.lit("First: "), c("escalation"), F.lit(". "))).otherwise("")

@@ -34,17 +34,19 @@ class Tables:
     def records(self) -> DataFrame:
         return adapt.records(self.spark, self.dir)
 
+    # The merged and the cleaned visits are tables that later steps read several times, each time with
+    # other columns. Left as plans, every use would scan and shuffle the sources again.
     @cached_property
     def merged(self) -> DataFrame:
-        return adapt.merged(self.spark, self.dir)
+        return cut(adapt.merged(self.spark, self.dir))
 
     @cached_property
     def visits(self) -> DataFrame:
-        return adapt.visits(self.spark, self.dir)
+        return cut(adapt.read_visits(self.merged))
 
     @cached_property
     def theme_visits(self) -> DataFrame:
-        return adapt.visits(self.spark, self.dir, themes=True)
+        return cut(adapt.read_visits(cut(adapt.merged(self.spark, self.dir, themes=True))))
 
     @cached_property
     def items(self) -> DataFrame:

@@ -78,12 +78,17 @@ def merged(spark: SparkSession, sf_dir: str, themes: bool = False) -> DataFrame:
     return clean.visit_order(clean.merge_same_day(records(spark, sf_dir, themes), extra))
 
 
-def visits(spark: SparkSession, sf_dir: str, themes: bool = False) -> DataFrame:
-    """Cleaned visits: merged, ordered, closures read, re-grades retyped, ``rated`` set."""
-    v = episodes.read_closures(merged(spark, sf_dir, themes), TABLE_RULES)
+def read_visits(merged_visits: DataFrame) -> DataFrame:
+    """Closures read, re-grades retyped, ``rated`` set."""
+    v = episodes.read_closures(merged_visits, TABLE_RULES)
     return clean.rated_score(v.withColumn("n_items", F.col("n_major") + F.col("n_minor") + F.col("n_grp")))
 
 
+def visits(spark: SparkSession, sf_dir: str, themes: bool = False) -> DataFrame:
+    """Cleaned visits, straight from the tables."""
+    return read_visits(merged(spark, sf_dir, themes))
+
+
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per place."""
     key = F.col("c_custkey")

@@ -72,9 +72,9 @@ def archive(ranking: DataFrame, run: str, path: str) -> None:
 
 
 def row_hash(df: DataFrame) -> Column:
-    """52 bits of the sha-256 of a row, as a number that can be summed."""
-    word = F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
-    return F.conv(F.substring(word, 1, 13), 16, 10).cast("decimal(38,0)")
+    """52 bits of the sha-256 of a row's texts in column order, as a number that can be summed."""
+    text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x01")) for c in sorted(df.columns)])
+    return F.conv(F.substring(F.sha2(text, 256), 1, 13), 16, 10).cast("decimal(38,0)")
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
