@@ -1,7 +1,7 @@
 """Models and the rules fitted on snapshots."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import half_up, log_odds, points_formula
 from ..rules import RULES, Rules
@@ -165,36 +165,47 @@ def _histogram(frame: DataFrame, features: list[str], y: str, weight: str) -> Da
     return frame.groupBy(*[F.col(f).cast("double").alias(f) for f in features]).agg(pos, F.sum(weight).alias("w"))
 
 
-def _loss_and_gradient(hist: DataFrame, features: list[str], scale: list[float], params: list[float]) -> tuple[float, list[float]]:
-    """Weighted log loss and its gradient, one aggregate on Spark."""
+def _score(features: list[str], scale: list[float], params: list[float]) -> Column:
     z = F.lit(params[0])
     for f, s, b in zip(features, scale, params[1:]):
-        z = z + F.lit(b) * F.col(f) / F.lit(s)
-    soft = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))
-    g = F.col("w") / (1 + F.exp(-z)) - F.col("wp")
-    row = hist.select((F.col("w") * soft - F.col("wp") * z).alias("l"), g.alias("g0"), *[(g * F.col(f) / F.lit(s)).alias(f"g_{i}") for i, (f, s) in enumerate(zip(features, scale))], "w").agg(
-        F.sum("l"), F.sum("w"), F.sum("g0"), *[F.sum(f"g_{i}") for i in range(len(features))]).first()
-    return row[0] / row[1], [v / row[1] for v in row[2:]]
+        z = z + F.lit(b / s) * F.col(f)
+    return z
 
 
-def nonneg_logistic(hist: DataFrame, features: list[str], scale: list[float], lam: float, start: list[float], steps: int = 30) -> list[float]:
+def _losses(hist: DataFrame, features: list[str], scale: list[float], many: list[list[float]]) -> list[float]:
+    """Weighted mean log loss of several parameter vectors in one aggregate."""
+    cols = []
+    for p in many:
+        z = _score(features, scale, p)
+        cols.append(F.sum(F.col("w") * (F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))) - F.col("wp") * z))
+    row = hist.agg(F.sum("w"), *cols).first()
+    return [v / row[0] for v in row[1:]]
+
+
+def _gradient(hist: DataFrame, features: list[str], scale: list[float], params: list[float]) -> list[float]:
+    g = F.col("w") / (1 + F.exp(-_score(features, scale, params))) - F.col("wp")
+    row = hist.withColumn("_g", g).agg(F.sum("w"), F.sum("_g"), *[F.sum(F.col("_g") * F.col(f) / F.lit(s)) for f, s in zip(features, scale)]).first()
+    return [v / row[0] for v in row[1:]]
+
+
+STEP_SIZES = tuple(16.0 / 2.5 ** i for i in range(8))
+
+
+def nonneg_logistic(hist: DataFrame, features: list[str], scale: list[float], lam: float, start: list[float], steps: int = 8) -> list[float]:
     """Log loss plus ``lam`` times the sum of weights, every weight at least 0, by projected gradient
-    with backtracking over the few coefficients the driver holds."""
+    over the few coefficients the driver holds; one pass gives a gradient, one tries every step size."""
     p = list(start)
-    loss, g = _loss_and_gradient(hist, features, scale, p)
-    total, rate = loss + lam * sum(p[1:]), 4.0
+    total = _losses(hist, features, scale, [p])[0] + lam * sum(p[1:])
     for _ in range(steps):
-        for _ in range(12):
-            q = [p[0] - rate * g[0]] + [max(0.0, b - rate * (d + lam)) for b, d in zip(p[1:], g[1:])]
-            new, ng = _loss_and_gradient(hist, features, scale, q)
-            if new + lam * sum(q[1:]) <= total + 1e-12:
-                break
-            rate /= 2
-        moved = max(abs(a - b) for a, b in zip(p, q))
-        gain = total - (new + lam * sum(q[1:]))
-        p, g, total = q, ng, new + lam * sum(q[1:])
-        rate *= 1.5
-        if moved < 1e-5 or gain < 1e-9:
+        g = _gradient(hist, features, scale, p)
+        many = [[p[0] - r * g[0]] + [max(0.0, b - r * (d + lam)) for b, d in zip(p[1:], g[1:])] for r in STEP_SIZES]
+        values = [v + lam * sum(q[1:]) for v, q in zip(_losses(hist, features, scale, many), many)]
+        best = min(range(len(many)), key=values.__getitem__)
+        gain = total - values[best]
+        if gain <= 0:
+            break
+        p, total = many[best], values[best]
+        if gain < 1e-8:
             break
     return p
 
@@ -212,6 +223,8 @@ def fit_count(frame: DataFrame, features=COUNT_FEATURES, y: str = "y", weight: s
     from ..session import cut
     names = list(features)
     hist = cut(_histogram(frame, names, y, weight))
+    # Many small passes follow: as many tasks as the distinct vectors need.
+    hist = hist.coalesce(max(1, min(hist.rdd.getNumPartitions(), hist.count() // 20_000)))
     w = F.col("w")
     m = hist.agg(F.sum(w), F.sum("wp"), *[(F.sum(w * F.col(f)) / F.sum(w)).alias(f"m_{f}") for f in names],
                  *[(F.sum(w * F.col(f) * F.col(f)) / F.sum(w)).alias(f"q_{f}") for f in names]).first()
@@ -231,7 +244,7 @@ def fit_count(frame: DataFrame, features=COUNT_FEATURES, y: str = "y", weight: s
     if not chosen:
         return {}
     kept = [names[k] for k in chosen]
-    fit = nonneg_logistic(hist, kept, [sd[k] for k in chosen], 0.0, [start[0]] + [start[1 + k] for k in chosen], 60)
+    fit = nonneg_logistic(hist, kept, [sd[k] for k in chosen], 0.0, [start[0]] + [start[1 + k] for k in chosen], 40)
     unit = [b / sd[k] for b, k in zip(fit[1:], chosen)]
     tries = []
     for j in range(multipliers):
@@ -303,14 +316,13 @@ def permutation_importance(model: BoostedTrees, rows: DataFrame, columns: list[s
     from .ordering import positions
     from .ranking import auc
     base = cut(rows.sample(share, seed) if share < 1 else rows)
-    with_p = model.predict(base).withColumnRenamed("p", "score")
-    full = auc(with_p, y=y).select("auc").first()[0]
+    full = auc(model.predict(base).select(F.col("p").alias("score"), y), y=y).select("auc").first()[0]
     numbered = cut(positions(base, [], [F.col("record_id")], "_i"))
     out = []
     for col in columns:
         for r in range(repeats):
             mixed = positions(numbered.select(F.col(col), F.xxhash64("record_id", F.lit(seed * 1000 + r)).alias("_h"), "record_id"), [], [F.col("_h"), F.col("record_id")], "_i").select("_i", col)
-            p = model.predict(numbered.drop(col).join(mixed, "_i")).withColumnRenamed("p", "score")
+            p = model.predict(numbered.drop(col).join(mixed, "_i")).select(F.col("p").alias("score"), y)
             out.append(auc(p, y=y).select(F.lit(col).alias("feature"), (F.lit(full) - F.col("auc")).alias("drop")))
     return reduce(DataFrame.unionByName, out).groupBy("feature").agg(F.avg("drop").alias("auc_drop"))
 
