@@ -100,14 +100,17 @@ def merge_same_day(records: DataFrame, extra_sums: list[str] = ()) -> DataFrame:
     per-place window or fold is bounded by the calendar, not by the number of records.
     """
     rank = F.coalesce(_map_of(STATUS_RANK)[F.col("status")], F.lit(0))
-    pos = F.col("record_pos")
-    return records.groupBy("business_id", "day", "visit_type").agg(
-        F.min_by("record_id", pos).alias("record_id"),
-        F.max_by("status", F.struct(rank, -pos)).alias("status"),
-        F.min("score").alias("score"), F.max("grade").alias("grade"),
-        *[F.sum(c).cast("int").alias(c) for c in ("n_major", "n_minor", "n_grp", *extra_sums)],
+    letter = F.when(F.col("grade") == "A", 1).when(F.col("grade") == "B", 2).when(F.col("grade") == "C", 3)
+    # Every buffer is a number or a flag, so both sides of the shuffle aggregate by hash, not by sort.
+    g = records.groupBy("business_id", "day", "visit_type").agg(
+        F.min_by("record_id", "record_pos").alias("record_id"), F.max(rank).alias("_rank"), F.min("score").alias("score"),
+        F.max(letter).alias("_letter"), *[F.sum(c).cast("int").alias(c) for c in ("n_major", "n_minor", "n_grp", *extra_sums)],
         F.bool_or("permit_note").alias("permit_note"), F.bool_or("is_order").alias("is_order"),
         F.bool_or("is_reopen").alias("is_reopen"), F.count("*").cast("int").alias("n_records"))
+    status = F.coalesce(_map_of({r: s for s, r in STATUS_RANK.items()})[F.col("_rank")], F.lit("Complete"))
+    grade = F.when(F.col("_letter") == 1, "A").when(F.col("_letter") == 2, "B").when(F.col("_letter") == 3, "C")
+    return g.select("business_id", "day", "visit_type", "record_id", status.alias("status"), "score", grade.alias("grade"),
+                    *[c for c in g.columns if c not in ("business_id", "day", "visit_type", "record_id", "_rank", "score", "_letter")])
 
 
 def visit_order(visits: DataFrame) -> DataFrame:
