@@ -105,8 +105,9 @@ fold AS (
   CASE WHEN e.always OR (e.low AND NOT coalesce(e.dn - f.at_dn <= 30, FALSE)) THEN e.dn ELSE f.at_dn END
  FROM fold f JOIN ev1 e ON e.business_id = f.business_id AND e.k = f.k + 1),
 visit AS MATERIALIZED (
- SELECT p.* EXCLUDE (visit_type, ev, odn, gdn, open_before, open_after, inferred, any_order, graded),
-  CASE WHEN f.hit THEN 'followup' ELSE p.visit_type END AS visit_type, p.visit_type AS merged_type,
+ SELECT * EXCLUDE (kind_text), CASE WHEN visit_no > 0 THEN kind_text END AS visit_type FROM (
+ SELECT *, row_number() OVER (ORDER BY business_id, seq) AS visit_no FROM (SELECT p.* EXCLUDE (visit_type, ev, odn, gdn, open_before, open_after, inferred, any_order, graded),
+  CASE WHEN f.hit THEN 'followup' ELSE p.visit_type END AS kind_text, p.visit_type AS merged_type,
   CASE WHEN p.closed THEN CASE WHEN x.health THEN 'health' ELSE p.closure_order END END AS closure,
   p.inferred AS closure_inferred, CASE WHEN p.closed THEN x.reopened_on IS NOT NULL END AS reopened,
   CASE WHEN p.closed THEN x.reopened_on END AS reopened_on,
@@ -114,7 +115,7 @@ visit AS MATERIALIZED (
   p.n_major + p.n_minor + p.n_grp AS n_items,
   CASE WHEN p.visit_type = 'routine' AND NOT coalesce(f.hit, FALSE) THEN CASE WHEN p.closure_order = 'health' THEN 70 ELSE p.score END END AS rated
  FROM ep4 p JOIN ep_facts x USING (business_id, episode) JOIN ep_last l USING (business_id)
- LEFT JOIN fold f ON f.business_id = p.business_id AND f.seq = p.seq),
+ LEFT JOIN fold f ON f.business_id = p.business_id AND f.seq = p.seq))),
 research AS (
  SELECT * EXCLUDE (score), CASE WHEN visit_type = 'routine' THEN score END AS score,
   CAST(n_major > 0 AS INT)::DOUBLE AS major, CAST(visit_type <> 'routine' AS INT) AS later FROM visit),
