@@ -1,7 +1,7 @@
 """Monthly lists: who is due, in what order, and why; and how well past lists did."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import daynum, r6
 from ..rules import RULES, Rules

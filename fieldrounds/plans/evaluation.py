@@ -7,7 +7,7 @@ from ..functions import r6
 from ..operators import aggregates as ag, ranking as rk, snapshot as sn
 from ..operators.joins import with_scalars
 from ..sources.adapt import zip_attributes
-from .features import MONTH_CTES, SNAP, _r, snap_ctes, snaps
+from .features import MONTH_CTES, _r, snap_ctes, snaps
 from .registry import ORIGIN, TRAIN_END, Tables, query
 
 SCORED = MONTH_CTES + f""",

@@ -3,12 +3,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import r6
 from ..operators import aggregates as ag, ranking as rk, resample as rs, snapshot as sn
 from ..sources.adapt import zip_attributes
 from .evaluation import SCORED, _F20, slot_ctes, ties
 from .features import _r, snap_ctes, snaps
-from .registry import ORIGIN, TRAIN_END, Tables, query
+from .registry import ORIGIN, Tables, query
 
 REPS = 25
 
