@@ -1,8 +1,10 @@
-"""Session settings, and the one place where lineage is cut."""
+"""Session settings, the shared folder, and the one place where lineage is cut."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,24 +30,37 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "12g"
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is named."""
+_OWN: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only a single-machine session may do without it and gets a temporary folder; on a cluster a local folder would be a
+    different one on each machine, so there its absence is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
     if named:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(named)
-        return named
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
-    return context.getCheckpointDir()
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _OWN[app]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read on from there.
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it from there.
 
-    Used where a value depends on the placement of rows (a partition number) or where the same
-    rows are read several times: a lost executor then re-reads files instead of re-placing rows.
+    For frames that several branches read, or whose rows depend on their placement. Unlike a checkpoint of rows it
+    keeps column pruning, filters and sizes, and a lost executor costs a re-read, not a re-run.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    path = f"{shared_folder(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``stored``, under the name that earlier code uses."""
+    return stored(df, "cut")
