@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..rules import RULES
-from ..session import checkpoint_dir
+from ..session import shared_folder
 from ..sources.readers import latest_by_key
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder beside the checkpoints, on storage every executor sees."""
-    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def run_to_folder(df: DataFrame, folder: str) -> None:
