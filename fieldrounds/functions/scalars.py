@@ -5,7 +5,7 @@ import math
 
 from pyspark.sql import Column, functions as F
 
-from ..rules import STREET_WORDS, THEME_PATTERNS
+from ..rules import SEARCH_SEPARATORS, VISIT_LABELS, STREET_WORDS, THEME_PATTERNS
 
 
 def r6(c: Column, places: int = 6) -> Column:
@@ -95,7 +95,7 @@ def metres(lon_a: Column, lat_a: Column, lon_b: Column, lat_b: Column) -> Column
 
 def search_tokens(query: Column) -> Column:
     """Words of a query: separators and joining words dropped, street words written out."""
-    cut = F.split(F.lower(query), r"\s*(?:&|/|@|,|\+|\band\b|\bat\b|\bon\b)\s*|\s+")
+    cut = F.split(F.lower(query), SEARCH_SEPARATORS)
     bare = F.transform(cut, lambda t: F.regexp_replace(F.trim(t), r"\.$", ""))
     words = F.create_map(*[F.lit(x) for kv in STREET_WORDS.items() for x in kv])
     return F.transform(F.filter(bare, lambda t: t != ""), lambda t: F.coalesce(words[t], t))
@@ -109,18 +109,13 @@ def expand_streets(text: Column) -> Column:
 
 
 def visit_phrase(visit_type: Column, source_type: Column) -> Column:
-    """A visit in words; a type that is this library's reading says so."""
-    label = (F.when(visit_type == "routine", "routine inspection")
-             .when(visit_type == "reinspection", "reinspection")
-             .when(visit_type == "followup", "re-grade or reopening visit")
-             .when(visit_type == "complaint", "complaint or other field visit")
-             .when(visit_type == "status_check", "status verification")
-             .otherwise(visit_type))
-    told = F.trim(F.coalesce(source_type, F.lit("")))
-    reading = F.concat(label, F.lit(" (our reading"),
-                       F.when(told != "", F.concat(F.lit("; source type: "), told)).otherwise(""),
-                       F.lit(")"))
-    return F.when(visit_type.isin("followup", "complaint"), reading).otherwise(label)
+    """A visit in words; a type that is this library's reading says so and names the source's type."""
+    label = visit_type
+    for kind, words in VISIT_LABELS.items():
+        label = F.when(visit_type == kind, words).otherwise(label)
+    said = F.trim(F.coalesce(source_type, F.lit("")))
+    note = F.when(said == "", " [type read]").otherwise(F.concat(F.lit(" [type read from: "), said, F.lit("]")))
+    return F.concat(label, F.when(visit_type.isin("followup", "complaint"), note).otherwise(""))
 
 
 def plain_number(c: Column, places: int = 1) -> Column:

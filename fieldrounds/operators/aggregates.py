@@ -5,8 +5,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import quarter_label
 from ..rules import RULES, Rules
-from .joins import colocated_pairs, with_scalars
-from .ordering import first_rows, positions
+from .joins import colocated_sums, with_scalars
+from .ordering import exact_quantiles, first_rows, positions
 
 HISTORY_BUCKETS = ((0, "0"), (1, "1"), (2, "2"), (4, "3-4"))
 
@@ -29,7 +29,9 @@ def cadence(visits: DataFrame, types: DataFrame, min_years: float = 3.0) -> Data
 
 
 def cadence_summary(fac: DataFrame) -> DataFrame:
-    return fac.agg(F.count("*").alias("facilities"), F.corr("rate", "per_year").alias("corr"), F.median("per_year").alias("median_per_year"))
+    """Places, correlation of rate and cadence, and the median cadence, which is read off running counts rather than held in one buffer."""
+    middle = exact_quantiles(fac, [], "per_year", {"median_per_year": 0.5})
+    return with_scalars(fac.agg(F.count("*").alias("facilities"), F.corr("rate", "per_year").alias("corr")), middle)
 
 
 def gap_by_top_types(gaps: DataFrame, n: int = 8) -> DataFrame:
@@ -49,12 +51,13 @@ def gap_by_record_fifth(gaps: DataFrame, fifths: int = 5) -> DataFrame:
     return p.groupBy(at.alias("fifth")).agg(F.count("*").alias("n"), F.median("next_gap").alias("median_gap"))
 
 
-def km_median(df: DataFrame, parts: list[str], t: str = "t", event: str = "event") -> DataFrame:
+def km_median(df: DataFrame, parts: list[str], t: str = "t", event: str = "event", count: str | None = None) -> DataFrame:
     """Kaplan-Meier median: first time survival is at most one half; null when it never is (AG5).
 
-    Rows are counted by (part, day) first, so what a part's window orders is a calendar, not its rows.
+    Rows (or the ``count`` each stands for) are added up by (part, day) first, so what a part's window orders is a calendar, not its rows.
     """
-    d = df.groupBy(*parts, t).agg(F.count_if(F.col(event)).alias("_e"), F.count("*").alias("_n"))
+    n = F.lit(1).cast("long") if count is None else F.col(count)
+    d = df.groupBy(*parts, t).agg(F.sum(F.when(F.col(event), n).otherwise(0)).alias("_e"), F.sum(n).alias("_n"))
     w = W.partitionBy(*parts)
     at_risk = F.sum("_n").over(w.orderBy(F.col(t).desc()).rowsBetween(W.unboundedPreceding, 0))
     d = d.withColumn("_s", 1 - F.col("_e") / at_risk)
@@ -94,10 +97,12 @@ def measurement(visits: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def colocated_agreement(routines: DataFrame) -> DataFrame:
-    """Correlation of the outcomes of co-located pairs, same day against far apart (AG9)."""
-    p = colocated_pairs(routines)
-    return p.groupBy("same_day").agg(F.count("*").alias("pairs"), F.corr(F.col("major_a").cast("double"), F.col("major_b").cast("double")).alias("_r")).select(
-        "same_day", "pairs", F.when(F.col("pairs") > 30, F.col("_r")).alias("corr"))
+    """Correlation of the outcomes of co-located pairs, same day against far apart, each pair taken in both orders (AG9)."""
+    s = colocated_sums(routines).groupBy("same_day").agg(*[F.sum(x).alias(x) for x in ("pairs", "majors", "both")])
+    mean = F.col("majors") / (2 * F.col("pairs"))
+    # Outcomes are 0 or 1, so the mean of squares is the mean.
+    r = F.try_divide(F.col("both") / F.col("pairs") - mean * mean, mean - mean * mean)
+    return s.select("same_day", "pairs", F.when(F.col("pairs") > 30, r).alias("corr"))
 
 
 def rate_by_quarter(visits: DataFrame, min_n: int = 200) -> DataFrame:

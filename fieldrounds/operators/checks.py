@@ -8,6 +8,7 @@ from ..rules import RULES, Rules
 # Column names that only make sense for one place or one visit.
 ROW_LEVEL_COLUMNS = ("worklist", "facility_id", "business_id", "custom_id", "inspection_id", "name", "address", "city", "lat", "lng", "lon",
                      "latitude", "longitude", "zip", "months_since", "days_since", "last_visit", "prior_band", "major_band", "due_estimate", "rule_points")
+# Names of count columns in public tables.
 COUNT_COLUMNS = ("n", "count", "facilities", "due", "with_prior_major", "active", "places", "inspections", "majors")
 
 

@@ -110,3 +110,22 @@ def nearby(places: DataFrame, key: str, radius_m: float, n: int, levels: int = 1
     mine = places.select(key, "lon", "lat").join(near_spots, ["lon", "lat"]).where(c(key) != c("near_id"))
     out = first_rows(mine, [key], [c("meters"), c("near_id")], n)
     return out.select(key, "near_id", "meters")
+
+
+def neighbour_counts(places: DataFrame, key: str, radius_m: float) -> DataFrame:
+    """``key, near``: how many other places lie within ``radius_m``; places without any are left out.
+
+    Places at the same coordinates are one spot with a size, and only spots of neighbouring cells of one radius meet.
+    """
+    c = F.col
+    step_y, step_x = radius_m / 110540.0, radius_m / (111320.0 * 0.258)
+    cx, cy = F.floor(c("lon") / F.lit(step_x)).cast("long"), F.floor(c("lat") / F.lit(step_y)).cast("long")
+    spots = places.where("lon is not null and lat is not null").groupBy("lon", "lat").agg(F.count("*").alias("size")).withColumns({"_cx": cx, "_cy": cy})
+    around = [F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)])).alias(n) for n in ("_dx", "_dy")]
+    look = spots.select("lon", "lat", "_cx", "_cy", around[0]).select("*", around[1]).select(
+        "lon", "lat", (c("_cx") + c("_dx")).alias("_cx"), (c("_cy") + c("_dy")).alias("_cy"))
+    there = spots.select("_cx", "_cy", "size", c("lon").alias("lon_b"), c("lat").alias("lat_b"))
+    near = (look.join(there, ["_cx", "_cy"]).where(metres(c("lon"), c("lat"), c("lon_b"), c("lat_b")) <= radius_m)
+            .groupBy("lon", "lat").agg(F.sum("size").alias("_all")))
+    out = places.select(key, "lon", "lat").join(near, ["lon", "lat"]).select(key, (c("_all") - 1).alias("near"))
+    return out.where("near > 0")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions import age_years, daynum, month_start, possible_age
 from ..rules import RULES, Rules
 
+# Names of the history features.
 HISTORY = ("prior_n", "days_since_last", "last_score", "last_major", "prior_major_rate", "prior_mean_score",
            "prior_mean_viol")
 HISTORY_WINDOW = ("w_prior_n", "w_days_since_last", "w_last_score", "w_last_major", "w_major_rate",

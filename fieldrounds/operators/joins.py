@@ -21,21 +21,34 @@ def censor(visits: DataFrame, drop: Column, days: int = 45, triggered=("reinspec
     return v.where(~F.col("_drop") & ~(F.col("visit_type").isin(*triggered) & F.col("_near"))).drop("_drop", "_near")
 
 
-def colocated_pairs(rows: DataFrame, max_visits: int = 60, apart_days: int = 60) -> DataFrame:
-    """Pairs of visits at one address by different businesses, the same day or far apart.
+def colocated_sums(rows: DataFrame, apart_days: int = 60) -> DataFrame:
+    """Pairs of visits at one address by different businesses, the same day or ``apart_days`` apart, as sums per address (J9).
 
-    An address with more than ``max_visits`` visits says nothing about co-location and is left out,
-    as the measure is defined; that also bounds the pairs of an address. Heavy addresses are found by
-    a grouped count with map-side partials and removed before any row meets another.
+    ``pairs`` counts them, ``majors`` the majors on either side, ``both`` the pairs with a major on both. No pair is formed: what
+    meets a visit is the address's total less what is too near, less the same two sums of its own business. Windows run over
+    days of an address or of a business, so the calendar bounds them.
     """
+    from pyspark.sql import Window as W
     c = F.col
-    usual = rows.groupBy("address").agg(F.count("*").alias("_n")).where(c("_n") <= max_visits).select("address")
-    kept = rows.join(usual, "address", "left_semi")
-    a = kept.select("address", c("business_id").alias("business_a"), c("record_id").alias("record_a"), c("day").alias("day_a"), c("major").alias("major_a"))
-    b = kept.select("address", c("business_id").alias("business_b"), c("record_id").alias("record_b"), c("day").alias("day_b"), c("major").alias("major_b"))
-    gap = F.abs(F.datediff("day_a", "day_b"))
-    return (a.join(b, "address").where((c("business_a") < c("business_b")) & ((gap == 0) | (gap >= apart_days)))
-            .withColumn("same_day", gap == 0))
+    own = rows.groupBy("address", "business_id", "dn").agg(F.count("*").alias("n"), F.count_if("major").alias("k"))
+    days = own.groupBy("address", "dn").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+
+    def sums(df: DataFrame, parts: list[str], name: str) -> DataFrame:
+        all_, near = W.partitionBy(*parts), W.partitionBy(*parts).orderBy("dn").rangeBetween(1 - apart_days, apart_days - 1)
+        return df.select("*", *[(F.sum(x).over(all_) - F.sum(x).over(near)).alias(f"{name}_{x}") for x in ("n", "k")])
+    mine = sums(own, ["address", "business_id"], "own")
+    there = sums(days, ["address"], "far").select(
+        c("address").alias("_address"), c("dn").alias("_dn"), c("n").alias("day_n"), c("k").alias("day_k"), "far_n", "far_k")
+    met = mine.join(there, (c("address") == c("_address")) & (c("dn") == c("_dn")))
+
+    def kind(same: bool, n: Column, k: Column) -> Column:
+        return F.struct(F.lit(same).alias("same_day"), (c("n") * n).alias("pairs"), (c("k") * n).alias("majors"), (c("k") * k).alias("both"))
+    both = F.explode(F.array(kind(True, c("day_n") - c("n"), c("day_k") - c("k")),
+                             kind(False, c("far_n") - c("own_n"), c("far_k") - c("own_k")))).alias("s")
+    # Each pair was met from both sides.
+    g = met.select("address", both).select("address", "s.*").groupBy("address", "same_day").agg(
+        (F.sum("pairs") / 2).cast("long").alias("pairs"), F.sum("majors").alias("majors"), (F.sum("both") / 2).cast("long").alias("both"))
+    return g.where("pairs > 0")
 
 
 def match_places(archive: DataFrame, places: DataFrame) -> DataFrame:

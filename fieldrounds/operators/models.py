@@ -39,6 +39,7 @@ def reading_scores(visits: DataFrame, at: str, readings: dict[str, int | None],
 
 # ── fitted models: MLlib on Spark frames; the driver holds coefficients and metrics ──
 
+# Names of the features of the fitted models.
 NUMERIC = ("avg_score", "last_score", "routines", "routines_major", "majors", "health_closures", "reinspections", "grp")
 COUNT_FEATURES = ("avg_deficit", "last_deficit", "routines_major", "majors", "health_closures", "reinspections", "grp")
 

@@ -1,33 +1,42 @@
-"""Cluster bootstrap: draws by md5, statistics from per-cluster sums.
+"""Cluster bootstrap: Poisson weights by md5, statistics from per-cluster sums.
 
-Rows are never replicated: each cluster is reduced to the sums a statistic needs, and a replicate is
-a weighted sum of those. Every replicate draws as many clusters as there are, with replacement, from
-a hash of its number, so a lost task recomputes the same draw.
+A replicate gives each cluster a Poisson(1) weight, the limit of drawing as many clusters as there are with replacement. The
+weight is a hash of seed, cluster and replicate, so every task makes the weights of its own clusters where they lie: no draw is
+stored, joined or shuffled. Each cluster is first reduced to the sums a statistic needs, weighted sums are added up map-side, and what
+is shuffled is a row per replicate, part and task.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import norm_key
-from .ordering import dense_codes
 from .ranking import auc
 
+# 32-bit cut points of the Poisson(1) distribution: a uniform number at or above the k-th counts k or more.
+POISSON_CUTS = tuple(int(sum(math.exp(-1) / math.factorial(i) for i in range(k)) * 2 ** 32) for k in range(1, 11))
 
-def draws(spark: SparkSession, n: int, reps: int, seed: int = 0) -> DataFrame:
-    """``rep, code, times``: how often each of ``n`` clusters is drawn in each replicate (BS0)."""
-    word = F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")).cast("binary"))
-    pick = F.conv(F.substring(word, 1, 8), 16, 10).cast("long") % n
-    return (spark.range(reps * n).select(F.floor(F.col("id") / n).cast("int").alias("rep"), pick.alias("code"))
-            .groupBy("rep", "code").agg(F.count("*").alias("times")))
+
+def drawn(df: DataFrame, key: str, reps: int, seed: int = 0) -> DataFrame:
+    """``df`` once for each replicate that draws its cluster, with ``rep`` and ``times`` (BS0).
+
+    One md5 holds the numbers of four replicates.
+    """
+    c = F.col
+    quads = df.where(c(key).isNotNull()).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit((reps - 1) // 4))))
+    word = F.md5(F.concat_ws(":", F.lit(str(seed)), c(key).cast("string"), c("_b").cast("string")).cast("binary"))
+    each = quads.withColumn("_h", word).withColumn("_i", F.explode(F.array(*[F.lit(i) for i in range(4)])))
+    u = F.conv(F.substr(c("_h"), 8 * c("_i") + 1, F.lit(8)), 16, 10).cast("long")
+    times = sum(((c("_u") >= k).cast("int") for k in POISSON_CUTS[1:]), (c("_u") >= POISSON_CUTS[0]).cast("int"))
+    out = each.withColumn("_u", u).select(*df.columns, (4 * c("_b") + c("_i")).alias("rep"), times.alias("times"))
+    return out.where((c("times") > 0) & (c("rep") < reps))
 
 
 def weights(clusters: DataFrame, key: str, reps: int, seed: int = 0) -> DataFrame:
     """``rep, key, times`` for the distinct keys of ``clusters``."""
-    codes = dense_codes(clusters, key)
-    n = codes.count()
-    return draws(clusters.sparkSession, max(n, 1), reps, seed).join(codes, "code").select("rep", key, "times")
+    return drawn(clusters.select(key).distinct(), key, reps, seed).select("rep", key, "times")
 
 
 def address_cluster(address: Column) -> Column:
@@ -35,9 +44,9 @@ def address_cluster(address: Column) -> Column:
     return norm_key(address)
 
 
-def replicate_sums(sums: DataFrame, w: DataFrame, key: str, names: list[str], parts: list[str] = ()) -> DataFrame:
+def replicate_sums(sums: DataFrame, key: str, names: list[str], parts: list[str] = (), reps: int = 1000, seed: int = 0) -> DataFrame:
     """Per replicate (and part), the drawn total of each per-cluster sum."""
-    return (sums.join(w, key).groupBy("rep", *parts)
+    return (drawn(sums, key, reps, seed).groupBy("rep", *parts)
             .agg(*[F.sum(F.col("times") * F.col(n)).alias(n) for n in names]))
 
 
@@ -55,7 +64,7 @@ def cluster_interval(df: DataFrame, key: str, sums: dict[str, Column], stats: di
     """Interval of statistics written over per-cluster sums (BS1): ``stats`` maps a name to a function
     from the drawn sums to a Column, and ``sums`` are aggregates of the rows of a cluster."""
     per = df.groupBy(key, *parts).agg(*[c.alias(n) for n, c in sums.items()])
-    got = replicate_sums(per, weights(df, key, reps, seed), key, list(sums), parts)
+    got = replicate_sums(per, key, list(sums), parts, reps, seed)
     cols = {n: F.col(n) for n in sums}
     return percentiles(got.select("rep", *parts, *[f(cols).alias(n) for n, f in stats.items()]), list(stats), parts)
 
@@ -65,10 +74,10 @@ def paired_auc(df: DataFrame, key: str, a: str, b: str, reps: int = 1000, seed:
     arms = F.explode(F.array(*[F.struct(F.lit(n).alias("arm"), F.col(n).cast("double").alias("score")) for n in (a, b)])).alias("_a")
     rows = df.select(key, y, arms).select(key, y, "_a.arm", "_a.score").groupBy(key, "arm", "score").agg(
         F.count("*").alias("_n"), F.sum(y).alias("_p"))
-    drawn = rows.join(weights(df, key, reps, seed), key).groupBy("rep", "arm", "score").agg(
+    sampled = drawn(rows, key, reps, seed).groupBy("rep", "arm", "score").agg(
         F.sum(F.col("times") * F.col("_n")).alias("_n"), F.sum(F.col("times") * F.col("_p")).alias("_p"))
     # auc() takes rows with a 0/1 label; grouped counts enter as weights of a positive and a negative row.
-    long = drawn.select("rep", "arm", "score", F.explode(F.array(
+    long = sampled.select("rep", "arm", "score", F.explode(F.array(
         F.struct(F.lit(1).alias("y"), F.col("_p").alias("w")), F.struct(F.lit(0).alias("y"), (F.col("_n") - F.col("_p")).alias("w")))).alias("_r"))
     got = auc(long.select("rep", "arm", "score", "_r.y", "_r.w"), ["rep", "arm"], weight=F.col("w"))
     g = got.groupBy("rep").agg(F.max(F.when(F.col("arm") == a, F.col("auc"))).alias("auc_a"), F.max(F.when(F.col("arm") == b, F.col("auc"))).alias("auc_b"))
@@ -84,7 +93,7 @@ def share_ratios(df: DataFrame, key: str, group: str, wrong: Column, labelled: C
     """Each group's share of the wrongly named over its share of the labelled, by replicate, with the
     95% interval, the family-wise one and that one widened by a design effect (BS7)."""
     per = df.groupBy(key, group).agg(F.sum(wrong.cast("int")).alias("wrong"), F.sum(labelled.cast("int")).alias("lab"))
-    got = replicate_sums(per, weights(df, key, reps, seed), key, ["wrong", "lab"], [group])
+    got = replicate_sums(per, key, ["wrong", "lab"], [group], reps, seed)
     total = got.groupBy("rep").agg(F.sum("wrong").alias("_w"), F.sum("lab").alias("_l")).where("_w > 0 and _l > 0")
     ratio = (F.col("wrong") / F.col("_w")) / (F.col("lab") / F.col("_l"))
     r = got.where("lab > 0").join(total, "rep").select("rep", group, ratio.alias("ratio"))

@@ -40,20 +40,24 @@ def usual_intervals(visits: DataFrame, types: DataFrame, asof: DataFrame, months
     """Usual days between routines by (month, type), Kaplan-Meier with open intervals (AG6).
 
     Finished gaps enter every later month, open intervals of active places the month they are open
-    in. Gaps are counted by (type, length) before the months are attached. ``business_type`` is null
-    on the pooled row of a month.
+    in. Gaps are counted by type, length and first month that sees them before later months are attached, so what is spread over
+    months is a calendar of lengths, not visits. ``business_type`` is null on the pooled row of a month.
     """
     c = F.col
     w = W.partitionBy("business_id").orderBy("dn")
     gaps = (visits.where("visit_type = 'routine'").select("business_id", "day", "dn").withColumn("t", c("dn") - F.lag("dn").over(w))
             .where("t is not null").join(types, "business_id"))
-    at = F.explode(F.filter(F.array(*[F.lit(m).cast("date") for m in months]), lambda m: m > c("day"))).alias("month")
-    closed = gaps.select("business_type", "t", at).withColumn("event", F.lit(True))
+    every_month = F.array(*[F.lit(m).cast("date") for m in sorted(months)])
+    seen_from = F.size(F.filter(every_month, lambda m: m <= c("day")))
+    counted = gaps.groupBy("business_type", "t", seen_from.alias("_from")).agg(F.count("*").alias("n"))
+    at = F.explode(F.slice(every_month, c("_from") + 1, F.lit(len(months)))).alias("month")
+    closed = counted.where(c("_from") < len(months)).select("business_type", "t", "n", at).withColumn("event", F.lit(True))
     live = asof.where(F.datediff("month", "last_visit") <= rules.active_days).join(types, "business_id")
-    still = live.select("business_type", F.datediff("month", "last_routine_date").alias("t"), "month", F.lit(False).alias("event"))
-    every = closed.unionByName(still).select("month", "t", "event", F.explode(F.array(c("business_type"), F.lit("*"))).alias("business_type"))
-    km = km_median(every, ["month", "business_type"])
-    plain = closed.groupBy("month").agg(F.median("t").alias("_plain"))
+    still = (live.groupBy("business_type", F.datediff("month", "last_routine_date").alias("t"), "month").agg(F.count("*").alias("n"))
+             .withColumn("event", F.lit(False)))
+    every = closed.unionByName(still).select("month", "t", "n", "event", F.explode(F.array(c("business_type"), F.lit("*"))).alias("business_type"))
+    km = km_median(every, ["month", "business_type"], count="n")
+    plain = closed.groupBy("month").agg(F.percentile("t", F.lit(0.5), c("n")).alias("_plain"))
     pooled = km.where("business_type = '*'").join(plain, "month", "left").select("month", F.coalesce("median", "_plain", F.lit(365.0)).alias("pooled"))
     kept = km.where((c("business_type") != "*") & (c("events") >= rules.min_gaps) & c("median").isNotNull()).select("month", "business_type", c("median").alias("interval"))
     return kept.unionByName(pooled.select("month", F.lit(None).cast("string").alias("business_type"), c("pooled").alias("interval")))
@@ -131,17 +135,16 @@ def reasons(f: DataFrame, used: DataFrame) -> DataFrame:
     c = F.col
     d = f.join(used, "business_id", "left")
     one = F.transform("scores_used", lambda u: F.concat(u["score"].cast("string"), F.when(u["closure"], F.concat(
-        F.lit(" (a health closure, our reading; "), F.when(u["source_score"].isNull(), "no score was given").otherwise(
-            F.concat(F.lit("the score that day was "), u["source_score"].cast("string"))), F.lit(")"))).otherwise("")))
+        F.lit(" [set for a closure; source: "), F.coalesce(u["source_score"].cast("string"), F.lit("none")), F.lit("]"))).otherwise("")))
     total = F.aggregate("scores_used", F.lit(0.0), lambda a, u: a + u["score"])
     mean = F.format_string("%.1f", F.bround(total / F.when(F.size("scores_used") > 0, F.size("scores_used")), 1))
     some = F.coalesce(F.size("scores_used") > 0, F.lit(False))
-    listed = F.concat(F.lit("Routine scores: "), F.array_join(one, ", "), F.lit(" (mean "), mean, F.lit(")."))
-    first = F.when((F.length("escalation") > 0) & ~c("held"), F.concat(F.lit("First: "), c("escalation"), F.lit(". "))).otherwise("")
-    majors = F.when(c("routines_major") > 0, F.concat(F.lit(" "), c("routines_major").cast("string"), F.lit(" of "), c("routines").cast("string"),
-                                                     F.lit(" routine visits found a major."))).otherwise("")
-    text = F.concat(first, F.when(some, listed).otherwise("No scored routine visit on record; counted as a typical A (97)."), majors)
-    return d.withColumn("why", F.when(c("held"), "On hold: points, band and order are withheld.").otherwise(text)).drop("scores_used")
+    listed = F.concat(F.lit("Mean "), mean, F.lit(" of: "), F.array_join(one, ", "), F.lit("."))
+    first = F.when((F.length("escalation") > 0) & ~c("held"), F.concat(F.lit("Raised for: "), c("escalation"), F.lit(". "))).otherwise("")
+    majors = F.when(c("routines_major") > 0, F.concat(F.lit(" Routines with a major: "), c("routines_major").cast("string"), F.lit("/"),
+                                                     c("routines").cast("string"), F.lit("."))).otherwise("")
+    text = F.concat(first, F.when(some, listed).otherwise("Mean taken as 97, for want of any score."), majors)
+    return d.withColumn("why", F.when(c("held"), "Held: no number is shown.").otherwise(text)).drop("scores_used")
 
 
 def closure_facts(visits: DataFrame, list_date: str, days: int = 730) -> DataFrame:

@@ -1,8 +1,6 @@
 """Bands, curves, audits, drift, monitoring and checks."""
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
 from ..operators import bands as bd, checks as ck, monitor as mo, ranking as rk, resample as rs, snapshot as sn, views as vw
@@ -18,7 +16,7 @@ from .records import RV, display
 from .registry import LIST_DATE, ORIGIN, ORIGINS, Tables, query
 from .resampling import REPS, draw_ctes, pct
 
-RULES = replace(TABLE_RULES, curve_min=40, band_z=1.0)
+RULES = TABLE_RULES
 _AT = snap_ctes(f"SELECT DATE '{ORIGIN}' AS as_of")
 _ALL_AT = snap_ctes("SELECT * FROM (VALUES " + ", ".join(f"(DATE '{d}')" for d in ORIGINS) + ") v(as_of)")
 CUTS = [14.0, 11.0, 9.0]
@@ -92,9 +90,9 @@ def bd4(t: Tables):
 
 _GROUPS = """, hist AS (SELECT CAST(points AS INT) AS p, count(*) AS n, sum(y) AS k, row_number() OVER (ORDER BY points DESC) AS i FROM o WHERE eligible AND y IS NOT NULL GROUP BY points),
 walk AS (SELECT i, p, n, k, 1 AS g, n AS run FROM hist WHERE i = 1 UNION ALL
- SELECT h.i, h.p, h.n, h.k, CASE WHEN w.run >= 40 THEN w.g + 1 ELSE w.g END, CASE WHEN w.run >= 40 THEN h.n ELSE w.run + h.n END FROM walk w JOIN hist h ON h.i = w.i + 1),
+ SELECT h.i, h.p, h.n, h.k, CASE WHEN w.run >= 200 THEN w.g + 1 ELSE w.g END, CASE WHEN w.run >= 200 THEN h.n ELSE w.run + h.n END FROM walk w JOIN hist h ON h.i = w.i + 1),
 grp0 AS (SELECT g, min(p) AS lo, max(p) AS hi, sum(n) AS n, sum(k) AS k FROM walk GROUP BY g),
-grp AS (SELECT min(lo) AS lo, max(hi) AS hi, sum(n) AS n, sum(k) AS k FROM (SELECT *, CASE WHEN g > 1 AND n < 40 THEN g - 1 ELSE g END AS gg FROM grp0) GROUP BY gg)"""
+grp AS (SELECT min(lo) AS lo, max(hi) AS hi, sum(n) AS n, sum(k) AS k FROM (SELECT *, CASE WHEN g > 1 AND n < 200 THEN g - 1 ELSE g END AS gg FROM grp0) GROUP BY gg)"""
 
 
 @query("bd5_curve_groups", "SELECT lo, hi, CAST(n AS BIGINT) AS n, CAST(k AS BIGINT) AS k FROM grp", ORIGIN_CTE + _GROUPS)
@@ -173,9 +171,9 @@ def bs7_audit(t: Tables):
     return _fair(t).drop("precision_low", "precision_high")
 
 
-@query("bd11_fairness_problems", """SELECT district, 'share of wrongly named' AS problem FROM fair WHERE named >= 3 AND false_share_ratio > 1.25 UNION ALL SELECT district, 'false-positive rate' FROM fair WHERE named >= 3 AND fpr_ratio > 1.5""", ORIGIN_CTE + _AUDIT)
+@query("bd11_fairness_problems", """SELECT district, 'share of wrongly named' AS problem FROM fair WHERE named >= 10 AND false_share_ratio > 1.25 UNION ALL SELECT district, 'false-positive rate' FROM fair WHERE named >= 10 AND fpr_ratio > 1.5""", ORIGIN_CTE + _AUDIT)
 def bd11(t: Tables):
-    return bd.fairness_problems(_fair(t).withColumn("high", F.lit(None).cast("double")), min_named=3)
+    return bd.fairness_problems(_fair(t).withColumn("high", F.lit(None).cast("double")))
 
 
 @query("bd12_drift", """
@@ -333,8 +331,7 @@ def bd15_alerts(t: Tables):
     want = m.where("y is not null").groupBy("run").agg(F.avg("y").alias("expected_rate"))
     p = mo.persistence_group(m.where("area = 'city'"))
     per = p.groupBy("run", "address").agg(F.sum(F.col("y") * (F.col("in_band_1") - F.col("in_baseline"))).alias("diff"))
-    w = rs.weights(p.where("address is not null"), "address", REPS)
-    paired = rs.percentiles(rs.replicate_sums(per, w, "address", ["diff"], ["run"]), ["diff"], ["run"]).withColumnRenamed("diff_high", "high")
+    paired = rs.percentiles(rs.replicate_sums(per, "address", ["diff"], ["run"], REPS), ["diff"], ["run"]).withColumnRenamed("diff_high", "high")
     none = m.where("complete and y is not null").groupBy("run", "area").agg(F.sum("y").alias("observed"))
     oe = none.join(want, "run").join(m.where("complete and y is not null").groupBy("run", "area").agg(F.count("*").alias("n")), ["run", "area"]).select(
         "run", "area", (F.col("observed") / (F.col("expected_rate") * F.col("n"))).alias("ratio"))

@@ -166,11 +166,12 @@ def cln15_unknown(t: Tables):
 
 
 @query("cln16_unique_facility_ids", """
-SELECT business_id, CASE WHEN count(*) OVER (PARTITION BY 'S' || business_id // 2) > 1 THEN 'S' || business_id // 2 || '-' || business_id
- ELSE 'S' || business_id // 2 END AS facility_id FROM place0 WHERE business_id % 3 <> 0""")
+SELECT business_id, CASE WHEN count(*) OVER (PARTITION BY fid) > 1 THEN fid || '-' || business_id ELSE fid END AS facility_id
+FROM (SELECT business_id, CASE WHEN business_id % 3 = 0 THEN 'T' || business_id ELSE 'S' || business_id // 2 END AS fid FROM place0)""")
 def cln16(t: Tables):
-    p = t.places.where("business_id % 3 <> 0").select(
-        "business_id", F.concat(F.lit("S"), F.floor(F.col("business_id") / 2).cast("string")).alias("facility_id"))
+    k = F.col("business_id")
+    p = t.places.select("business_id", F.when(k % 3 == 0, F.concat(F.lit("T"), k.cast("string"))).otherwise(
+        F.concat(F.lit("S"), F.floor(k / 2).cast("string"))).alias("facility_id"))
     return clean.unique_facility_ids(p)
 
 
@@ -319,7 +320,7 @@ def fn12(t: Tables):
 
 @query("fn13_visit_phrase", """
 SELECT visit_type, source_type, CASE visit_type WHEN 'routine' THEN 'routine inspection' WHEN 'reinspection' THEN 'reinspection'
- ELSE 'complaint or other field visit (our reading; source type: ' || source_type || ')' END AS phrase, count(*) AS n FROM rec GROUP BY 1, 2, 3""")
+ ELSE 'complaint or other field visit [type read from: ' || source_type || ']' END AS phrase, count(*) AS n FROM rec GROUP BY 1, 2, 3""")
 def fn13(t: Tables):
     return t.records.groupBy("visit_type", "source_type", fn.visit_phrase(F.col("visit_type"), F.col("source_type")).alias("phrase")).agg(F.count("*").alias("n"))
 

@@ -21,7 +21,7 @@ def _sql_r(*names):
 
 
 _SINCE = f"""
-since AS (SELECT *, count(*) OVER w AS prior_n, dn - lag(dn) OVER o AS days_since_last, last_value(score IGNORE NULLS) OVER w AS last_score,
+since AS MATERIALIZED (SELECT *, count(*) OVER w AS prior_n, dn - lag(dn) OVER o AS days_since_last, last_value(score IGNORE NULLS) OVER w AS last_score,
  coalesce(CAST(lag(n_major) OVER o > 0 AS INT), 0) AS last_major, avg(major) OVER w AS prior_major_rate, avg(score) OVER w AS prior_mean_score,
  avg(n_items) OVER w AS prior_mean_viol, avg(rated) OVER w AS prior_mean_rated, last_value(rated IGNORE NULLS) OVER w AS last_rated
  FROM research WINDOW w AS {_ROWS}, o AS (PARTITION BY business_id ORDER BY dn, later, seq))"""
@@ -317,14 +317,13 @@ def j6(t: Tables):
     return h.prompted_by_complaint(t.visits).where("prompted").select("business_id", "record_id")
 
 
-@query("j9_colocated_pairs", """SELECT a.record_id AS record_a, b.record_id AS record_b, CAST(a.day = b.day AS INT) AS same_day,
- CAST(a.n_major > 0 AS INT) AS major_a, CAST(b.n_major > 0 AS INT) AS major_b
-FROM addr a JOIN addr b ON a.address = b.address AND a.business_id < b.business_id WHERE a.n <= 60 AND b.n <= 60 AND (a.day = b.day OR abs(a.day - b.day) >= 60)""",
-       "addr AS (SELECT v.*, p.address, count(*) OVER (PARTITION BY p.address) AS n FROM visit v JOIN place0 p USING (business_id) WHERE visit_type = 'routine')")
+@query("j9_colocated_pairs", """SELECT address, CAST(same_day AS INT) AS same_day, count(*) AS pairs, CAST(sum(ma + mb) AS BIGINT) AS majors, CAST(sum(ma * mb) AS BIGINT) AS both FROM (
+ SELECT a.address, a.day = b.day AS same_day, CAST(a.n_major > 0 AS INT) AS ma, CAST(b.n_major > 0 AS INT) AS mb FROM addr a JOIN addr b ON a.address = b.address AND a.business_id < b.business_id
+ WHERE a.day = b.day OR abs(a.day - b.day) >= 60) GROUP BY 1, 2""".replace("AS both", 'AS "both"'),
+       "addr AS MATERIALIZED (SELECT v.business_id, v.day, v.n_major, p.address FROM visit v JOIN place0 p USING (business_id) WHERE visit_type = 'routine')")
 def j9(t: Tables):
     rt = t.visits.where("visit_type = 'routine'").join(t.places.select("business_id", "address"), "business_id")
-    p = joins.colocated_pairs(rt.select("business_id", "record_id", "address", "day", (F.col("n_major") > 0).alias("major")))
-    return p.select("record_a", "record_b", "same_day", "major_a", "major_b")
+    return joins.colocated_sums(rt.select("business_id", "address", "dn", (F.col("n_major") > 0).alias("major")))
 
 
 @query("j10_archive_match", """SELECT a.facility_id, coalesce(i.business_id, f.business_id) AS matched

@@ -123,9 +123,9 @@ def set2(t: Tables):
     return _r(wl.backtest(lists, t.visits), "coverage", "precision")
 
 
-@query("fn16_list_reasons", """SELECT w.facility_id, CASE WHEN u.used IS NULL THEN 'No scored routine visit on record; counted as a typical A (97).' ELSE 'Routine scores: ' || u.used || ' (mean ' || printf('%.1f', u.mean) || ').' END
- || CASE WHEN w.routines_major > 0 THEN ' ' || w.routines_major || ' of ' || w.routines || ' routine visits found a major.' ELSE '' END AS why
-FROM wlist w LEFT JOIN (SELECT u.business_id, string_agg(u.score || CASE WHEN u.closure THEN ' (a health closure, our reading; ' || CASE WHEN v.score IS NULL THEN 'no score was given' ELSE 'the score that day was ' || v.score END || ')' ELSE '' END, ', ' ORDER BY u.day, u.seq) AS used,
+@query("fn16_list_reasons", """SELECT w.facility_id, CASE WHEN u.used IS NULL THEN 'Mean taken as 97, for want of any score.' ELSE 'Mean ' || printf('%.1f', u.mean) || ' of: ' || u.used || '.' END
+ || CASE WHEN w.routines_major > 0 THEN ' Routines with a major: ' || w.routines_major || '/' || w.routines || '.' ELSE '' END AS why
+FROM wlist w LEFT JOIN (SELECT u.business_id, string_agg(u.score || CASE WHEN u.closure THEN ' [set for a closure; source: ' || coalesce(CAST(v.score AS VARCHAR), 'none') || ']' ELSE '' END, ', ' ORDER BY u.day, u.seq) AS used,
  avg(u.score) AS mean FROM used u JOIN visit v USING (business_id, seq) GROUP BY 1) u ON u.business_id = w.business_id""", ONE_MONTH + "," + _USED)
 def fn16(t: Tables):
     return wl.reasons(this_month(t), sn.scores_used(t.visits, LIST_MONTH, RULES)).select("facility_id", "why")

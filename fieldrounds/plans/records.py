@@ -1,8 +1,6 @@
 """Record views: display records, closures, grades, facts, themes."""
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as ag, views as vw
@@ -10,7 +8,6 @@ from ..sources.adapt import TABLE_RULES
 from .features import _INTERVAL, _r, routines
 from .registry import LIST_DATE, TRAIN_END, Tables, query
 
-SMALL_CAP = replace(TABLE_RULES, max_items=20)
 
 RV = """
 rv AS (SELECT v.* EXCLUDE (record_id, status, score, grade, n_major, n_minor, n_grp, is_order, is_reopen, n_records),
@@ -109,15 +106,15 @@ def vw8(t: Tables):
 
 
 @query("rk12_items_shown", """SELECT business_id, count(*) AS shown, count(*) FILTER (severity = 'major') AS major, count(*) FILTER (severity = 'minor') AS minor, CAST(min(day) AS VARCHAR) AS oldest FROM (
- SELECT *, row_number() OVER (PARTITION BY business_id ORDER BY CASE severity WHEN 'major' THEN 0 ELSE 1 END, day DESC, record_id DESC, line DESC, severity DESC, item_text DESC) AS rn FROM its WHERE last_day - day <= 1095) WHERE rn <= 20 GROUP BY 1""", RV)
+ SELECT *, row_number() OVER (PARTITION BY business_id ORDER BY CASE severity WHEN 'major' THEN 0 ELSE 1 END, day DESC, record_id DESC, line DESC, severity DESC, item_text DESC) AS rn FROM its WHERE last_day - day <= 1095) WHERE rn <= 150 GROUP BY 1""", RV)
 def rk12(t: Tables):
-    s = vw.items_shown(dated_items(t), [F.col(c) for c in ("record_id", "line", "severity", "item_text")], SMALL_CAP)
+    s = vw.items_shown(dated_items(t), [F.col(c) for c in ("record_id", "line", "severity", "item_text")], TABLE_RULES)
     return s.groupBy("business_id").agg(F.count("*").alias("shown"), *[F.count_if(F.col("severity") == x).alias(x) for x in ("major", "minor")], F.min("day").alias("oldest"))
 
 
-@query("rk13_cut_lists", "SELECT business_id, count(*) AS total FROM its WHERE last_day - day <= 1095 GROUP BY 1 HAVING count(*) > 20", RV)
+@query("rk13_cut_lists", "SELECT business_id, count(*) AS total FROM its WHERE last_day - day <= 1095 GROUP BY 1 HAVING count(*) > 150", RV)
 def rk13(t: Tables):
-    return vw.cut_places(dated_items(t), SMALL_CAP)
+    return vw.cut_places(dated_items(t), TABLE_RULES)
 
 
 @query("ag13_place_statistics", """SELECT d.business_id, count(*) AS records, count(*) FILTER (r) AS records_36, count(*) FILTER (visit_type = 'routine') AS routines, count(*) FILTER (visit_type = 'reinspection') AS reinspections,
@@ -222,13 +219,13 @@ def ag9(t: Tables):
     return _r(m, "graded_a_share", "majors_graded_a_share", "major_after_major", "major_after_clean")
 
 
-@query("ag9_colocated_agreement", """SELECT CAST(same_day AS INT) AS same_day, count(*) AS pairs, CASE WHEN count(*) > 30 THEN round(corr(ma, mb), 6) + 0.0 END AS corr FROM (
- SELECT a.day = b.day AS same_day, CAST(a.n_major > 0 AS INT)::DOUBLE AS ma, CAST(b.n_major > 0 AS INT)::DOUBLE AS mb FROM addr a JOIN addr b ON a.address = b.address AND a.business_id < b.business_id
- WHERE a.n <= 60 AND b.n <= 60 AND (a.day = b.day OR abs(a.day - b.day) >= 60)) GROUP BY 1""",
-       "addr AS (SELECT v.*, p.address, count(*) OVER (PARTITION BY p.address) AS n FROM visit v JOIN place0 p USING (business_id) WHERE visit_type = 'routine')")
+@query("ag9_colocated_agreement", """SELECT CAST(same_day AS INT) AS same_day, CAST(count(*) // 2 AS BIGINT) AS pairs, CASE WHEN count(*) > 60 THEN round(corr(ma, mb), 6) + 0.0 END AS corr FROM (
+ SELECT a.day = b.day AS same_day, CAST(a.n_major > 0 AS INT)::DOUBLE AS ma, CAST(b.n_major > 0 AS INT)::DOUBLE AS mb FROM addr a JOIN addr b ON a.address = b.address AND a.business_id <> b.business_id
+ WHERE a.day = b.day OR abs(a.day - b.day) >= 60) GROUP BY 1""",
+       "addr AS MATERIALIZED (SELECT v.business_id, v.day, v.n_major, p.address FROM visit v JOIN place0 p USING (business_id) WHERE visit_type = 'routine')")
 def ag9_pairs(t: Tables):
     rt = t.visits.where("visit_type = 'routine'").join(t.places.select("business_id", "address"), "business_id")
-    g = ag.colocated_agreement(rt.select("business_id", "record_id", "address", "day", (F.col("n_major") > 0).alias("major")))
+    g = ag.colocated_agreement(rt.select("business_id", "address", "dn", (F.col("n_major") > 0).alias("major")))
     return _r(g, "corr")
 
 

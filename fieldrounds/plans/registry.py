@@ -4,10 +4,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators import clean, geo, history
-from ..session import cut
+from ..session import stored, stored_by
 from ..sources import adapt
 from .base_sql import BASE
 
@@ -21,6 +22,24 @@ ORIGIN = "2000-01-01"
 ORIGINS = ("1999-07-01", "1999-10-01", "2000-01-01")
 
 
+_KEPT: dict[tuple[str, str, str], str] = {}
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], key: str | None = None) -> DataFrame:
+    """A table made once per source folder and application, bucketed by ``key``; every query that needs it reads it.
+
+    A source folder is taken as it was at first use, as a query takes its files. Made again if its files are gone.
+    """
+    at = (spark.sparkContext.applicationId, sf_dir, name)
+    if at in _KEPT:
+        try:
+            return spark.read.table(_KEPT[at])
+        except AnalysisException:
+            pass
+    df, _KEPT[at] = stored_by(build(), name, key)
+    return df
+
+
 class Tables:
     """The test tables as visits, places and items."""
 
@@ -34,19 +53,20 @@ class Tables:
     def records(self) -> DataFrame:
         return adapt.records(self.spark, self.dir)
 
-    # The merged and the cleaned visits are tables that later steps read several times, each time with
-    # other columns. Left as plans, every use would scan and shuffle the sources again.
+    # The merged and the cleaned visits are tables that all queries read, each with other columns. They are
+    # written once, bucketed by place, so that a window over places needs no shuffle of its own.
     @cached_property
     def merged(self) -> DataFrame:
-        return cut(adapt.merged(self.spark, self.dir))
+        return kept(self.spark, self.dir, "merged", lambda: adapt.merged(self.spark, self.dir), "business_id")
 
     @cached_property
     def visits(self) -> DataFrame:
-        return cut(adapt.read_visits(self.merged))
+        return kept(self.spark, self.dir, "visits", lambda: adapt.read_visits(self.merged), "business_id")
 
     @cached_property
     def theme_visits(self) -> DataFrame:
-        return cut(adapt.read_visits(cut(adapt.merged(self.spark, self.dir, themes=True))))
+        return kept(self.spark, self.dir, "theme_visits", lambda: adapt.read_visits(
+            stored(adapt.merged(self.spark, self.dir, themes=True), "theme_merged")), "business_id")
 
     @cached_property
     def items(self) -> DataFrame:
@@ -68,17 +88,19 @@ class Tables:
 
     @cached_property
     def scored(self) -> DataFrame:
+        return kept(self.spark, self.dir, "scored", self._scored, "business_id")
+
+    def _scored(self) -> DataFrame:
         """Routine visits of the test years with the rules read as of the 1st of their month."""
         cols = ["rule_mean_all", "rule_mean12", "persistence", "prior_n", "prior_major_rate", "days_since_last"]
         rows = history.month_start_rows(self.research, cols).where(F.col("day") > TRAIN_END)
         dims = self.located.select("business_id", "business_type", "zip5", "address", "district", "permit_status")
         risk = F.round(100 * F.coalesce("prior_major_rate", F.lit(0.2))).cast("int")
-        # Read several times by every measure that uses it, so it is written once.
-        return cut(rows.join(dims, "business_id").select(
+        return rows.join(dims, "business_id").select(
             "business_id", "record_id", "day", "dn", "month_start", "n_major", F.col("major").cast("int").alias("y"),
             F.round("rule_mean_all", 6).alias("rule"), F.round("rule_mean12", 6).alias("rule12"), F.round("persistence", 6).alias("pers"), "prior_n",
             "days_since_last", risk.alias("risk"), "business_type", "zip5", "address", "district", "permit_status",
-            geo.area_key(F.col("district"), F.col("zip5")).alias("area")))
+            geo.area_key(F.col("district"), F.col("zip5")).alias("area"))
 
     @cached_property
     def research(self) -> DataFrame:

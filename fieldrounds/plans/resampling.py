@@ -1,4 +1,4 @@
-"""Bootstrap intervals from md5 draws, at a small number of replicates."""
+"""Bootstrap intervals from md5 weights, at the rules' numbers of replicates."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
@@ -9,15 +9,18 @@ from .evaluation import SCORED, _F20, slot_ctes, ties
 from .features import _r, snap_ctes, snaps
 from .registry import ORIGIN, Tables, query
 
-REPS = 25
+# Replicates for facilities and addresses, for windows, and for districts.
+REPS, WINDOW_REPS, DISTRICT_REPS = 1000, 2000, 10_000
 
 
 def draw_ctes(src: str, key: str, name: str = "wt", reps: int = REPS, seed: int = 0) -> str:
-    """Clusters numbered in key order and drawn by md5, as CTEs."""
+    """Poisson weights of the clusters of ``src`` by md5, as a CTE."""
+    times = " + ".join(f"CAST(u >= {c} AS INT)" for c in rs.POISSON_CUTS)
     return f"""
-{name}_code AS (SELECT {key}, row_number() OVER (ORDER BY {key}) - 1 AS code, count(*) OVER () AS nc FROM (SELECT DISTINCT {key} FROM {src})),
-{name} AS (SELECT rep, {key}, count(*) AS times FROM (SELECT i // nc AS rep, CAST(('0x' || substr(md5('{seed}:' || i), 1, 8)) AS BIGINT) % nc AS code
-  FROM (SELECT max(nc) AS nc FROM {name}_code) n, range(0, {reps} * nc) r(i)) d JOIN {name}_code USING (code) GROUP BY rep, {key})"""
+{name} AS MATERIALIZED (SELECT rep, {key}, times FROM (SELECT {key}, 4 * b + i AS rep, {times} AS times FROM (
+  SELECT {key}, b, i, CAST(('0x' || substr(h, CAST(8 * i + 1 AS INT), 8)) AS BIGINT) AS u FROM (
+   SELECT {key}, b, md5('{seed}:' || CAST({key} AS VARCHAR) || ':' || b) AS h FROM (SELECT DISTINCT {key} FROM {src} WHERE {key} IS NOT NULL), range(0, {(reps + 3) // 4}) q(b)), range(0, 4) r(i)))
+ WHERE times > 0 AND rep < {reps})"""
 
 
 def pct(stat: str) -> str:
@@ -128,31 +131,31 @@ def bs6(t: Tables):
 FROM (SELECT rep, district, (wrong / CAST(tw AS DOUBLE)) / (lab / CAST(tl AS DOUBLE)) AS ratio FROM (SELECT *, sum(wrong) OVER (PARTITION BY rep) AS tw, sum(lab) OVER (PARTITION BY rep) AS tl FROM (
  SELECT rep, district, sum(times * w) AS wrong, sum(times * l) AS lab FROM per JOIN wt USING (address) GROUP BY 1, 2)) WHERE lab > 0 AND tw > 0 AND tl > 0) GROUP BY district""".replace("/ nd", "/ 9"),
        SCORED + """, inside AS (SELECT *, y = 0 AND pers >= 10000 AS wrong FROM scored WHERE district IS NOT NULL),
-per AS (SELECT address, district, sum(CAST(wrong AS INT)) AS w, count(*) AS l FROM inside GROUP BY 1, 2),""" + draw_ctes("inside", "address"))
+per AS (SELECT address, district, sum(CAST(wrong AS INT)) AS w, count(*) AS l FROM inside GROUP BY 1, 2),""" + draw_ctes("inside", "address", reps=DISTRICT_REPS))
 def bs7(t: Tables):
     d = t.scored.where("district is not null")
     wrong = (F.col("y") == 0) & (F.col("pers") >= 10000)
-    out = rs.share_ratios(d, "address", "district", wrong, F.lit(True), REPS)
+    out = rs.share_ratios(d, "address", "district", wrong, F.lit(True), DISTRICT_REPS)
     return _r(out, *[c for c in out.columns if c != "district"])
 
 
 @query("bs8_days_earlier_interval", f"""SELECT arm, {pct('days')} FROM (SELECT rep, arm, sum(times * s) / sum(times * n) AS days FROM (
  SELECT month_start, arm, sum(dn - assigned) FILTER (y = 1) AS s, count(*) FILTER (y = 1) AS n FROM given GROUP BY 1, 2) JOIN wt USING (month_start) GROUP BY 1, 2) GROUP BY arm""",
-       SCORED + "," + slot_ctes("month_start, area") + "," + draw_ctes("scored", "month_start"))
+       SCORED + "," + slot_ctes("month_start, area") + "," + draw_ctes("scored", "month_start", reps=WINDOW_REPS))
 def bs8(t: Tables):
     s = rk.assigned_slots(t.scored.select("record_id", "month_start", "area", "dn", "y", "rule", "pers"), ["month_start", "area"], {"rule": "rule", "pers": "pers"})
     sums = {"s": F.sum(F.when(F.col("y") == 1, F.col("days_earlier"))), "n": F.count_if(F.col("y") == 1)}
-    df = rs.cluster_interval(s, "month_start", sums, {"days": lambda x: x["s"] / x["n"]}, ["arm"], REPS)
+    df = rs.cluster_interval(s, "month_start", sums, {"days": lambda x: x["s"] / x["n"]}, ["arm"], WINDOW_REPS)
     return _r(df, "days_low", "days_high")
 
 
 @query("bs9_window_auc_interval", f"""SELECT {pct('auc')} FROM (SELECT rep, sum(times * num) / CAST(sum(times * den) AS DOUBLE) AS auc FROM ok JOIN wt USING (month_start, area) GROUP BY rep)""".replace("USING (month_start, area)", "USING (win)"),
        SCORED + "," + ties("rule", parts="month_start, area") + """, ok AS (SELECT month_start || '|' || area AS win, num, den FROM (
- SELECT month_start, area, sum((n - pos) * (cp - pos + pos / 2.0::DOUBLE)) AS num, sum(pos) * sum(n - pos) AS den FROM tie GROUP BY 1, 2) WHERE den > 0),""" + draw_ctes("ok", "win"))
+ SELECT month_start, area, sum((n - pos) * (cp - pos + pos / 2.0::DOUBLE)) AS num, sum(pos) * sum(n - pos) AS den FROM tie GROUP BY 1, 2) WHERE den > 0),""" + draw_ctes("ok", "win", reps=WINDOW_REPS))
 def bs9_interval(t: Tables):
     w = rk.within_window_auc(t.scored.withColumnRenamed("rule", "score"), ["month_start", "area"])
     w = w.select(F.concat_ws("|", F.col("month_start").cast("string"), "area").alias("win"), "num2", "den")
-    df = rs.cluster_interval(w, "win", {"s": F.sum("num2"), "d": F.sum("den")}, {"auc": lambda x: x["s"] / 2 / x["d"]}, reps=REPS)
+    df = rs.cluster_interval(w, "win", {"s": F.sum("num2"), "d": F.sum("den")}, {"auc": lambda x: x["s"] / 2 / x["d"]}, reps=WINDOW_REPS)
     return _r(df, "auc_low", "auc_high")
 
 
@@ -164,7 +167,7 @@ def bs11(t: Tables):
     from ..functions import name_group
     d = t.scored.where("y = 0").withColumn("name_group", name_group(F.col("business_type"), {"first": ["building"], "second": ["household"]}))
     per = d.groupBy("address", "name_group").agg(F.sum((F.col("pers") >= 10000).cast("int")).alias("f"), F.count("*").alias("n"))
-    got = rs.replicate_sums(per, rs.weights(d, "address", REPS), "address", ["f", "n"], ["name_group"]).withColumn("share", F.col("f") / F.col("n"))
+    got = rs.replicate_sums(per, "address", ["f", "n"], ["name_group"], REPS).withColumn("share", F.col("f") / F.col("n"))
     base = got.where("name_group = 'unclassified'").select("rep", F.col("share").alias("_base"))
     r = got.where("name_group <> 'unclassified'").join(base, "rep").withColumn("ratio", F.col("share") / F.col("_base"))
     return _r(rs.percentiles(r, ["ratio"], ["name_group"]), "ratio_low", "ratio_high")

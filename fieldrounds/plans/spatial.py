@@ -26,10 +26,9 @@ def j8(t: Tables):
     return n.select("business_id", "near_id", (F.round("meters", 3) + F.lit(0.0)).alias("meters"))
 
 
-@query("j8_neighbours_within_500m", """SELECT business_id, count(*) AS near FROM (SELECT *, row_number() OVER (PARTITION BY business_id ORDER BY m, near_id) AS rn FROM (
- SELECT a.business_id, b.business_id AS near_id, sqrt(pow((b.lon - a.lon) * 111320.0::DOUBLE * cos(a.lat * 3.141592653589793::DOUBLE / 180.0::DOUBLE), 2) + pow((b.lat - a.lat) * 110540.0::DOUBLE, 2)) AS m
- FROM place0 a JOIN place0 b ON a.business_id <> b.business_id AND abs(a.lat - b.lat) < 0.008::DOUBLE AND abs(a.lon - b.lon) < 0.02::DOUBLE) WHERE m <= 500) WHERE rn <= 20 GROUP BY 1""")
+@query("j8_neighbours_within_500m", """SELECT business_id, count(*) AS near FROM (SELECT a.business_id, sqrt(pow((b.lon - a.lon) * 111320.0::DOUBLE * cos(a.lat * 3.141592653589793::DOUBLE / 180.0::DOUBLE), 2) + pow((b.lat - a.lat) * 110540.0::DOUBLE, 2)) AS m
+ FROM place0 a JOIN place0 b ON a.business_id <> b.business_id AND abs(a.lat - b.lat) < 0.008::DOUBLE AND abs(a.lon - b.lon) < 0.02::DOUBLE) WHERE m <= 500 GROUP BY 1""")
 def j8_count(t: Tables):
-    return geo.nearby(t.places, "business_id", 500.0, 20).groupBy("business_id").agg(F.count("*").alias("near"))
+    return geo.neighbour_counts(t.places, "business_id", 500.0)
 
 

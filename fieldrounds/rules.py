@@ -26,9 +26,7 @@ THEME_PATTERNS: tuple[tuple[str, str], ...] = (
     ("grp_staff", r"person in charge|personal cleanliness"),
     ("grp_food", r"thawing|food separated|vegetables washed|toxic substances"),
     ("grp_storage", r"food storage|consumer self-service|labeled (&|and) honestly"),
-    ("grp_equipment",
-     r"non-?food contact|warewashing|equipment ?/ ?utensils|equipment and utensils|vending machines"
-     r"|ventilation|thermometers|wiping cloth"),
+    ("grp_equipment", r"non-?food contact|warewashing|equipment ?/ ?utensils|equipment and utensils|vending machines|ventilation|thermometers|wiping cloth"),
     ("grp_signs", r"grade card|identification on vehicle"),
     ("grp_other", r"fire safety"),
 )
@@ -41,11 +39,17 @@ RISK_THEMES = ("health", "hands", "handsink", "temperature", "condition", "sanit
 VISIT_TYPES = {"Routine": "routine", "Re-inspection": "reinspection",
                "Site Investigation": "complaint", "Environmental": "complaint",
                "Status Verification": "status_check"}
+# Statuses that keep a record, the item status, the rank of statuses of one day, and the record types shown.
 OK_STATUS = ("Complete", "Ordered Closed", "Approved to Reopen")
 ITEM_STATUS = ("Self Closed",)
 STATUS_RANK = {"Ordered Closed": 3, "Self Closed": 2, "Approved to Reopen": 1}
 RECORD_TYPES = ("routine", "reinspection", "followup")
 
+# A visit's type in words, and what parts the words of a search.
+VISIT_LABELS = {"routine": "routine inspection", "reinspection": "reinspection", "followup": "re-grade or reopening visit",
+                "complaint": "complaint or other field visit", "status_check": "status verification"}
+SEARCH_SEPARATORS = r"\s*(?:&|/|@|,|\+|\band\b|\bat\b|\bon\b)\s*|\s+"
+
 # Street words written short in addresses and searches.
 STREET_WORDS = {"st": "street", "ave": "avenue", "av": "avenue", "blvd": "boulevard", "rd": "road",
                 "dr": "drive", "ln": "lane", "ct": "court", "pl": "place", "pkwy": "parkway",
@@ -74,12 +78,13 @@ EXCLUDED_TYPES = ("Class A Cottage Food Operation", "Class B Cottage Food Operat
                   "Mobile Food Facility Commissary Processing",
                   "Mobile Food Facility Commissary Non-Processing", "")
 PUBLIC_KINDS = ("restaurant", "limited", "market")
+# Fixed value: the kinds that bands are made for.
 BAND_KINDS = ("restaurant",)
 
 
 @dataclass(frozen=True)
 class Rules:
-    """Day counts, shares and thresholds; change one by ``replace(RULES, ...)``."""
+    """Day counts, shares and thresholds; change one by ``replace(RULES, ...)``."""
 
     window_days: int = 365
     score_window_days: int = 730

@@ -61,6 +61,23 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_by(df: DataFrame, name: str, key: str | None) -> tuple[DataFrame, str]:
+    """``stored`` as a table of this session, in as many buckets of ``key`` as there are shuffle partitions, sorted by it.
+
+    Returns the table and its name.
+    """
+    spark = df.sparkSession
+    called = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tables/{called}"
+    writer = df.write.format("parquet").option("path", path)
+    if key is not None:
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # Dealt as the buckets are, so that each task writes one bucket's file.
+        writer = df.repartition(n, key).write.format("parquet").option("path", path).bucketBy(n, key).sortBy(key)
+    writer.saveAsTable(called)
+    return spark.read.table(called), called
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``stored``, under the name that earlier code uses."""
     return stored(df, "cut")

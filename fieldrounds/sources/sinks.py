@@ -37,8 +37,10 @@ def write_visits(visits: DataFrame, table: str, buckets: int = 512) -> None:
     visits.write.bucketBy(buckets, "business_id").sortBy("business_id", "dn").saveAsTable(table)
 
 
+# The columns of a monthly list, in order.
 LIST_COLUMNS = ("facility_id", "name", "address", "business_type", "last_routine_date", "last_routine_score", "rule_mean", "due_estimate",
-                "rule_order", "rule_points", "why", "last_routine_outcome", "closures_24m", "escalation")
+                "rule_order", "rule_points", "why", "last_routine_outcome", "closures_24m", "escalation", "last_closure", "reopened_on", "posted_grade",
+                "no_reopen_on_record")
 
 
 def write_month(lists: DataFrame, path: str) -> None:
