@@ -23,6 +23,15 @@ def unit_draw(seed: str, *cols: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long") / F.lit(float(1 << 48))
 
 
+def lowest_part(hashed: Column, rows: int, total: int) -> Column:
+    """Whether a 64-bit hash lies in the lowest part, expected to hold half as many again as ``rows`` of ``total``.
+
+    Taking the first ``rows`` in hash order after this filter sends few rows beyond them to one place, from however many partitions.
+    """
+    share = min(1.0, (1.5 * rows + 100) / max(total, 1))
+    return hashed <= F.lit(-(1 << 63) + int(share * ((1 << 64) - 1)))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once per row, however often ``body`` names it."""
     return F.element_at(F.transform(F.array(value), body), 1)

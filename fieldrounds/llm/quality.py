@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import id_remainder
+from .common import id_remainder, lowest_part
 from .pu import Linear, fit_nnpu, prior_from_labels
 
 LOWER, UPPER, LETTER, DIGIT, SPACE, LINE, STOP, SYMBOL = range(8)
@@ -76,8 +76,8 @@ def _expand(x: np.ndarray, knots: np.ndarray) -> np.ndarray:
 
 def sampled_texts(docs: DataFrame, ids: DataFrame, seed: str, rows: int) -> pd.Series:
     """Texts of at most ``rows`` ids, the first in a seeded order. ``ids`` has the one column ``doc_id``."""
-    first = ids.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(
-        F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(rows)
+    known = ids.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64(F.lit(seed), "doc_id").alias("h"))
+    first = known.where(lowest_part(F.col("h"), rows, known.count())).distinct().orderBy("h", "doc_id").limit(rows)
     # At most ``rows`` ids of eight bytes: the bound is the parameter above.
     few = docs.sparkSession.createDataFrame([(r[0],) for r in first.collect()], "few_id long")
     return docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("few_id"))
