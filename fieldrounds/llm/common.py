@@ -29,7 +29,7 @@ def lowest_part(hashed: Column, rows: int, total: int) -> Column:
     Taking the first ``rows`` in hash order after this filter sends few rows beyond them to one place, from however many partitions.
     """
     share = min(1.0, (1.5 * rows + 100) / max(total, 1))
-    return hashed <= F.lit(-(1 << 63) + int(share * ((1 << 64) - 1)))
+    return hashed <= F.lit(min((1 << 63) - 1, int((2 * share - 1) * (1 << 63))))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
