@@ -108,9 +108,20 @@ def bd6(t: Tables):
     return _r(c.select("lo", "hi", "labelled", "positives", "rate"), "rate")
 
 
-@query("bd6_risk_curve_interval")
+_INTERVAL_SQL = _GROUPS + """, gi AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY lo) - 1 AS g FROM grp),
+per AS (SELECT address, g, count(*) AS n, sum(y) AS k FROM o JOIN gi ON CAST(points AS INT) BETWEEN lo AND hi WHERE eligible AND y IS NOT NULL GROUP BY 1, 2),""" + draw_ctes("per", "address") + """,
+dr AS (SELECT rep, g, sum(times * n) AS n, sum(times * k) AS k FROM per JOIN wt USING (address) GROUP BY 1, 2),
+al AS MATERIALIZED (SELECT r.rep, gi.g, CAST(greatest(coalesce(d.n, 0), 1) AS DOUBLE) AS n, CAST(coalesce(d.k, 0) AS DOUBLE) AS k FROM (SELECT DISTINCT rep FROM dr) r CROSS JOIN gi LEFT JOIN dr d ON d.rep = r.rep AND d.g = gi.g
+ UNION ALL SELECT -1, g, CAST(greatest(n, 1) AS DOUBLE), CAST(k AS DOUBLE) FROM gi),
+me AS MATERIALIZED (SELECT a.rep, a.g AS ag, b.g AS bg, sum(x.k) / sum(x.n) AS m FROM al a JOIN al b ON a.rep = b.rep AND a.g <= b.g JOIN al x ON x.rep = a.rep AND x.g BETWEEN a.g AND b.g GROUP BY 1, 2, 3),
+fit AS (SELECT rep, g, max(m) AS rate FROM (SELECT al.rep, al.g, ag, min(m) AS m FROM al JOIN me ON me.rep = al.rep AND ag <= al.g AND bg >= al.g GROUP BY 1, 2, 3) GROUP BY 1, 2),
+sp AS (SELECT g, quantile_cont(rate, 0.025) AS low, quantile_cont(rate, 0.975) AS high FROM fit WHERE rep >= 0 GROUP BY g)"""
+
+
+@query("bd6_risk_curve_interval", """SELECT lo, hi, CAST(n AS BIGINT) AS labelled, CAST(k AS BIGINT) AS positives, round(rate, 6) + 0.0 AS rate, round(least(rate, low), 6) + 0.0 AS low, round(greatest(rate, high), 6) + 0.0 AS high
+FROM gi JOIN (SELECT g, rate FROM fit WHERE rep = -1) p USING (g) JOIN sp USING (g)""", ORIGIN_CTE + _INTERVAL_SQL)
 def bd6_interval(t: Tables):
-    return bd.risk_curve(origin(t), "address", REPS, RULES.curve_min)
+    return _r(bd.risk_curve(origin(t), "address", REPS, RULES.curve_min), "rate", "low", "high")
 
 
 @query("bd6_curve_bins", f"""SELECT bin, min(points)::INT AS min_points, max(points)::INT AS max_points, count(*) AS labelled, CAST(sum(y) AS BIGINT) AS positives, round(avg(y), 6) + 0.0 AS rate, {_w('sum(y)', 'count(*)', '-')} AS low, {_w('sum(y)', 'count(*)', '+')} AS high FROM (

@@ -113,13 +113,15 @@ def ag10(t: Tables):
     return _r(out, *[c for c in out.columns if c not in ("grp", "n", "areas")])
 
 
-@query("bs6_area_intervals", f"""SELECT grp, {pct('recall')}, {pct('flag_rate')} FROM (SELECT rep, grp, 100.0::DOUBLE * sum(times * fy) / sum(times * p) AS recall, 100.0::DOUBLE * sum(times * f) / sum(times * n) AS flag_rate FROM (
+@query("bs6_area_intervals", f"""SELECT grp, {pct('recall')}, {pct('flag_rate')}, {pct('fpr')} FROM (SELECT rep, grp, 100.0::DOUBLE * sum(times * fy) / sum(times * p) AS recall, 100.0::DOUBLE * sum(times * f) / sum(times * n) AS flag_rate,
+ 100.0::DOUBLE * sum(times * (f - fy)) / sum(times * (n - p)) AS fpr FROM (
  SELECT zip5, grp, count(*) AS n, sum(y) AS p, sum(CAST(pers >= 10000 AS INT)) AS f, sum(CAST(pers >= 10000 AS INT) * y) AS fy FROM grouped GROUP BY 1, 2) JOIN wt USING (zip5) GROUP BY 1, 2) GROUP BY grp""",
        SCORED + "," + _GROUPED + "," + draw_ctes("scored", "zip5"))
 def bs6(t: Tables):
     flag = (F.col("pers") >= 10000).cast("int")
     sums = {"n": F.count("*"), "p": F.sum("y"), "f": F.sum(flag), "fy": F.sum(flag * F.col("y"))}
-    stats = {"recall": lambda s: F.lit(100.0) * s["fy"] / s["p"], "flag_rate": lambda s: F.lit(100.0) * s["f"] / s["n"]}
+    stats = {"recall": lambda s: F.lit(100.0) * s["fy"] / s["p"], "flag_rate": lambda s: F.lit(100.0) * s["f"] / s["n"],
+             "fpr": lambda s: F.lit(100.0) * (s["f"] - s["fy"]) / (s["n"] - s["p"])}
     df = rs.cluster_interval(grouped(t), "zip5", sums, stats, ["grp"], REPS)
     return _r(df, *[c for c in df.columns if c != "grp"])
 
@@ -159,6 +161,16 @@ def bs9_interval(t: Tables):
     return _r(df, "auc_low", "auc_high")
 
 
+@query("bs10_spearman_interval", f"""SELECT {pct('rho')} FROM (SELECT rep, sum(times * r) / sum(times) AS rho FROM spear JOIN wt USING (month_start) GROUP BY rep)""", SCORED + """, spear AS MATERIALIZED (
+ SELECT month_start, corr(-rd, rx) AS r FROM (SELECT *, rank() OVER (PARTITION BY month_start ORDER BY rule) + (count(*) OVER (PARTITION BY month_start, rule) - 1) / 2.0::DOUBLE AS rx,
+  rank() OVER (PARTITION BY month_start ORDER BY dn) + (count(*) OVER (PARTITION BY month_start, dn) - 1) / 2.0::DOUBLE AS rd FROM scored)
+ GROUP BY 1 HAVING count(*) >= 10 AND min(rule) < max(rule) AND min(dn) < max(dn)),""" + draw_ctes("spear", "month_start", reps=WINDOW_REPS))
+def bs10_interval(t: Tables):
+    s = rk.within_window_spearman(t.scored.select("month_start", "rule", "dn"), ["month_start"], "rule", "dn")
+    df = rs.cluster_interval(s, "month_start", {"r": F.sum("rho"), "n": F.count("*")}, {"rho": lambda x: x["r"] / x["n"]}, reps=WINDOW_REPS)
+    return _r(df, "rho_low", "rho_high")
+
+
 @query("bs11_name_group_ratio", f"""SELECT name_group, {pct('ratio')} FROM (SELECT rep, name_group, (f / CAST(n AS DOUBLE)) / max(f / CAST(n AS DOUBLE)) FILTER (name_group = 'unclassified') OVER (PARTITION BY rep) AS ratio FROM (
  SELECT rep, name_group, sum(times * f) AS f, sum(times * n) AS n FROM per JOIN wt USING (address) GROUP BY 1, 2)) WHERE name_group <> 'unclassified' GROUP BY name_group""",
        SCORED + """, clean AS (SELECT address, CASE WHEN business_type IN ('BUILDING') THEN 'first' WHEN business_type = 'HOUSEHOLD' THEN 'second' ELSE 'unclassified' END AS name_group, CAST(pers >= 10000 AS INT) AS f FROM scored WHERE y = 0),

@@ -1,10 +1,14 @@
 """Shapes of plans that must hold at scale."""
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SMALL
-from fieldrounds.operators import history, snapshot
+from fieldrounds.operators import history, resample, snapshot
 from fieldrounds.operators.episodes import read_closures
 from fieldrounds.plans.registry import Tables
+from fieldrounds.session import shared_folder, stored
 from fieldrounds.sources.adapt import TABLE_RULES, merged
 
 
@@ -25,8 +29,41 @@ def test_no_single_partition_and_no_cross_product(t, make):
     assert "SinglePartition" not in p and "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
 
 
-def test_one_shuffle_feeds_every_history_feature(t):
-    assert plan(history.add_features(t.research)).count("Exchange hashpartitioning") == 1
+def test_the_bucketed_record_feeds_every_history_feature_without_a_shuffle(t):
+    assert plan(history.add_features(t.research)).count("Exchange") == 0
+
+
+def test_one_shuffle_feeds_every_history_feature_of_a_plain_record(spark, t):
+    plain = stored(t.research, "plain")
+    assert plan(history.add_features(plain)).count("Exchange hashpartitioning") == 1
+
+
+def test_the_record_is_written_once_and_read_as_files(spark, t):
+    for name in ("merged", "visits", "scored"):
+        first = plan(getattr(t, name))
+        again = plan(getattr(Tables(spark, SMALL), name))
+        assert "FileScan parquet" in first and "ExistingRDD" not in first
+        place = re.search(r"Location: [^,]*", first)[0]
+        assert place in again
+
+
+def test_bootstrap_weights_are_made_where_the_clusters_lie(spark):
+    per = stored(spark.range(100).selectExpr("id AS c", "id % 7 AS v"), "per")
+    p = plan(resample.replicate_sums(per, "c", ["v"], reps=1000))
+    assert "Join" not in p and p.count("Exchange") == 1 and p.index("HashAggregate") < p.index("Generate")
+    got = resample.drawn(per, "c", 1000).agg(F.sum("times"), F.count_distinct("rep")).first()
+    assert abs(got[0] / 100_000 - 1) < 0.02 and got[1] == 1000
+
+
+def test_a_named_shared_folder_is_asked_for_on_a_cluster(spark):
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(Cluster)
 
 
 def test_only_needed_columns_are_read(spark):
