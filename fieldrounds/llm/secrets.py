@@ -106,9 +106,9 @@ def redact(docs: DataFrame, ledger: DataFrame, mask: str = "[secret]", rules: tu
     """``docs`` with each finding put into ``mask`` (spans that overlap share one) and ``n_chars``, if there, made to fit."""
     hit = findings(ledger, rules).select(F.col("blob").alias("_blob"), "found")
     blob = F.unhex(F.sha2(F.coalesce(docs["text"], F.lit("")), 256))
-    joined = docs.join(hit, blob == F.col("_blob"), "left")
-    old = docs["text"]
-    found = F.col("found")
+    # Columns are named through their frames: ``docs`` may have any names of its own.
+    joined = docs.join(hit, blob == hit["_blob"], "left")
+    old, found = docs["text"], hit["found"]
     # Spans are in order of start; one that starts before an earlier one ends is joined to it.
     merged = F.aggregate(found, F.array().cast(SPANS), lambda done, s: F.when(
         (F.size(done) > 0) & (s["start"] < F.element_at(done, -1)["end"]),
