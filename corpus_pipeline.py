@@ -37,10 +37,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     sized = stored(mixing.sizes(docs), "sizes")
     by = mixing.plan(sized).select(F.col("source").alias("_source"), F.col("whole").alias("_whole"), F.col("edge").alias("_edge"))
     place = mixing.place(docs["doc_id"])
-    copies = F.col("_whole") + F.when(place * mixing.BINS < F.col("_edge"), 1).otherwise(0)
-    taken = docs.join(by, docs["source"].eqNullSafe(F.col("_source")))
-    return (taken.select(*[docs[c] for c in docs.columns], copies.alias("copies"), (copies * mixing.words(docs["text"])).alias("taken"))
-            .where(F.col("copies") > 0))
+    copies = by["_whole"] + F.when(place * mixing.BINS < by["_edge"], 1).otherwise(0)
+    taken = docs.join(by, docs["source"].eqNullSafe(by["_source"])).where(copies > 0)
+    return taken.select(*[docs[c] for c in docs.columns], copies.alias("copies"), (copies * mixing.words(docs["text"])).alias("taken"))
 
 
 STAGES = [("quality", good_quality), ("near_duplicates", one_per_group), ("decontaminate", without_benchmark),
