@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import shared_folder, stored
+from .common import lowest_part
 
 MAGIC = 0x184D2A5D          # fixed value: the skippable frame that holds a dictionary in a Zstandard WARC file
 SAMPLE_RECORDS, SAMPLE_BYTES, DICT_BYTES = 800, 8192, 65536
@@ -93,7 +94,7 @@ def build_dictionary(pages: DataFrame) -> bytes:
     import zstandard
 
     rows = (pages.select(F.substring(F.encode(F.coalesce("html", F.lit("")), "UTF-8"), 1, SAMPLE_BYTES).alias("p"), F.xxhash64("page_id").alias("h"))
-            .orderBy("h", "p").limit(SAMPLE_RECORDS).collect())
+            .where(lowest_part(F.col("h"), SAMPLE_RECORDS, pages.count())).orderBy("h", "p").limit(SAMPLE_RECORDS).collect())
     samples = [bytes(r["p"]) for r in rows if r["p"]]
     if len(samples) < 8 or sum(map(len, samples)) < 4 * DICT_BYTES:
         return b""
