@@ -1,18 +1,18 @@
 """N-gram Jaccard join by chosen paths.
 
 Documents become sets of five-word shingles; equal sets are one class member from the start. Each set is embedded as ``COORDINATES``
-minhash values, so that two sets agree on a coordinate with probability equal to their Jaccard similarity. In each of
-``runs`` independent runs the sets are split on sampled coordinates, each with probability 1 / (threshold * coordinates): sets that
-agree on a sampled value share a bucket. A bucket of more than ``small`` members is split again on coordinates sampled for its own
-path, to ``depth`` levels. What is left is compared by brute force on the minhash vectors, in square blocks where a bucket is still large,
-with a bar low enough that a pair at the threshold fails it less than once in a million. Sets that pass are joined into candidate groups.
+minhash values, so that two sets agree on a coordinate with probability equal to their Jaccard similarity. In each of many
+independent runs the sets are split on a sampled coordinate: sets that have the same value there share a bucket. A bucket of more than ``small``
+members is split again on a coordinate sampled for its own path, to ``depth`` levels. What is left is compared by brute force on the minhash vectors,
+in square blocks where a bucket is still large, with a bar low enough that a pair at the threshold fails it less than once in a million. Sets
+that pass are joined into candidate groups. A few runs come first; in the others a bucket whose members are all of one candidate group
+already has nothing to add and is dropped, so a large group of near copies is not compared again in every run.
 
 Links are then counted exactly: within each candidate group, all pairs of true shingle sets are compared in square blocks of
 ``block`` members. Pairs never leave a task; a set's link counts and a spanning tree of its links do. Classes are the connected components of the links.
 
-Recall: a run that splits on c coordinates parts a pair of similarity s with probability (1 - s) ** c, c being at least 1 (a path that
-samples none is not split). At the threshold a run keeps a pair through three levels at least 0.8 ** 3 of the time, so twelve runs
-all part it once in 5,000 times in crowded buckets and once in 10**8 times in buckets that were small at once; above the threshold less often.
+Recall: a run that splits a pair's buckets k times keeps a pair of similarity s together with probability s ** k. At the threshold that is 0.8 in
+buckets that are small at once and 0.51 in the most crowded; twenty runs all part such a pair once in 10**14 and once in 10**6 times.
 
 Cases: words are ``\\w+`` of the lower-cased text; one to four words make one shingle; a text without words has no set, is its own
 class and has no links. A null text counts as empty. Rows that repeat an id are rows of their own, with links to one another.
@@ -33,7 +33,7 @@ from .common import segments, together
 
 WORD = re.compile(r"\w+")
 WORDS, THRESHOLD = 5, 0.8
-COORDINATES, SMALL, DEPTH, RUNS, BLOCK = 64, 64, 3, 12, 512
+COORDINATES, SMALL, DEPTH, RUNS, BLOCK = 64, 64, 3, (3, 17), 512
 LEAST_AGREE = 35            # of 64: a pair at 0.8 agrees on 51 on average, and on fewer than 35 once in a million
 SEED = 20240229
 
@@ -105,68 +105,48 @@ def described(docs: DataFrame) -> DataFrame:
 def sets_of(rows: DataFrame) -> DataFrame:
     """One row per distinct set: how many rows have it, where its text can be read again, and its vector."""
     return rows.where("set_key is not null").groupBy("set_key").agg(
-        F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key")).alias("at"), F.first("vector").alias("vector"))
+        F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_key")).alias("at"), F.first("vector").alias("vector"))
 
 
-def _sampled(paths: np.ndarray, threshold: float) -> np.ndarray:
-    """Whether each path samples each coordinate: a fixed draw for each path and coordinate."""
+def _step(paths: np.ndarray, coordinate: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The paths that go on from ``paths`` by the given values of the given coordinates."""
     with np.errstate(over="ignore"):
-        h = _mix(paths[:, None] + np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return (h >> np.uint64(11)).astype(np.float64) / float(1 << 53) < 1.0 / (threshold * COORDINATES)
-
-
-def _split(paths: np.ndarray, vectors: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and new paths: each row once for each coordinate that its path samples."""
-    row, c = np.nonzero(_sampled(paths, threshold))
-    with np.errstate(over="ignore"):
-        token = vectors[row, c].astype(np.uint64) | (c.astype(np.uint64) << np.uint64(32))
-        return row, _mix(paths[row] * np.uint64(0x9E3779B97F4A7C15) + _mix(token))
+        token = values.astype(np.uint64) | (coordinate.astype(np.uint64) << np.uint64(32))
+        return _mix(paths * np.uint64(0x9E3779B97F4A7C15) + _mix(token))
 
 
 def _vectors(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint32).reshape(-1, COORDINATES) if len(column) else np.zeros((0, COORDINATES), np.uint32)
 
 
-def _roots(runs: int, threshold: float) -> np.ndarray:
-    """One path per run, from a seeded series, passing over those that sample no coordinate: such a run would look at nothing."""
-    series = _mix(np.arange(1, 8 * runs + 1, dtype=np.uint64) + np.uint64(SEED))
-    return series[_sampled(series, threshold).any(1)][:runs]
-
-
-def first_level(sets: DataFrame, runs: int, threshold: float) -> DataFrame:
-    """``path, set_key``: the buckets of all runs after one split."""
+def first_level(sets: DataFrame, runs: range) -> DataFrame:
+    """``path, set_key``: the buckets of the given runs after one split. Runs take the coordinates in a seeded order, each once before any again."""
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        roots = _roots(runs, threshold)
+        order = np.argsort(_mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(SEED)))
         for b in batches:
             v = _vectors(b["vector"])
-            for r in roots:                         # all rows of a run share its root, so its sample is drawn once
-                c = np.flatnonzero(_sampled(np.array([r]), threshold)[0])
-                for k in c:
-                    with np.errstate(over="ignore"):
-                        token = v[:, k].astype(np.uint64) | np.uint64(int(k) << 32)
-                        path = _mix(r * np.uint64(0x9E3779B97F4A7C15) + _mix(token))
-                    yield pd.DataFrame({"path": path.view(np.int64), "set_key": b["set_key"]})
+            for r in runs:
+                k = order[r % COORDINATES]
+                path = _step(np.full(len(v), r + 1, np.uint64), np.full(len(v), k), v[:, k])
+                yield pd.DataFrame({"path": path.view(np.int64), "set_key": b["set_key"]})
     return sets.select("set_key", "vector").mapInPandas(split, "path long, set_key binary")
 
 
-def next_level(members: DataFrame, threshold: float) -> DataFrame:
-    """The members of large buckets (``path, set_key, vector``) in their next buckets; a path that samples nothing is kept as it is."""
+def next_level(members: DataFrame) -> DataFrame:
+    """The members of large buckets (``path, set_key, vector, grp``) in their next buckets: each path samples one coordinate."""
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            paths = b["path"].to_numpy(np.int64).view(np.uint64)
-            row, new = _split(paths, _vectors(b["vector"]), threshold)
-            stay = np.flatnonzero(~_sampled(paths, threshold).any(1))
-            with np.errstate(over="ignore"):
-                held = _mix(paths[stay] + np.uint64(1))
-            at = np.concatenate([row, stay])
-            yield pd.DataFrame({"path": np.concatenate([new, held]).view(np.int64), "set_key": b["set_key"].to_numpy()[at], "vector": b["vector"].to_numpy()[at]})
-    return members.mapInPandas(split, "path long, set_key binary, vector binary")
+            paths, v = b["path"].to_numpy(np.int64).view(np.uint64), _vectors(b["vector"])
+            k = (_mix(paths + np.uint64(SEED)) % np.uint64(COORDINATES)).astype(np.int64)
+            yield b.assign(path=_step(paths, k, v[np.arange(len(v)), k]).view(np.int64))
+    return members.mapInPandas(split, "path long, set_key binary, vector binary, grp long")
 
 
-def with_sizes(members: DataFrame) -> DataFrame:
-    """Members of buckets of two or more, with the bucket's ``size``."""
-    sizes = members.groupBy(F.col("path").alias("_path")).agg(F.count("*").alias("size")).where("size > 1")
-    return members.join(sizes, F.col("path") == F.col("_path")).drop("_path")
+def with_sizes(members: DataFrame, mixed: bool) -> DataFrame:
+    """Members of buckets of two or more, with the bucket's ``size``; with ``mixed`` only of those that hold more than one ``grp``."""
+    both = [F.min("grp").alias("_low"), F.max("grp").alias("_high")] if mixed else []
+    sizes = members.groupBy(F.col("path").alias("_path")).agg(F.count("*").alias("size"), *both).where("_low <> _high" if mixed else "size > 1")
+    return members.join(sizes.select("_path", "size"), F.col("path") == F.col("_path")).drop("_path")
 
 
 def in_blocks(members: DataFrame, group: str, key: str, block: int) -> DataFrame:
@@ -204,9 +184,12 @@ def _joined(rows: np.ndarray, cols: np.ndarray, n: int) -> list[tuple[int, int]]
 
 
 def _alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Candidate edges inside each bucket or block pair, by agreeing coordinates."""
+    """Candidate edges of each bucket or block pair, by agreeing coordinates.
+
+    A bucket, or a block with itself, gives a spanning forest. Two blocks give only what joins pieces that their own forests leave apart.
+    """
     for bucket in segments(batches, ["path", "lo", "hi"]):
-        v, keys, n = _vectors(bucket["vector"]), bucket["set_key"].to_numpy(), len(bucket)
+        v, keys, n, mine = _vectors(bucket["vector"]), bucket["set_key"].to_numpy(), len(bucket), bucket["mine"].to_numpy()
         rows, cols = [], []
         for i in range(n - 1):
             near = np.flatnonzero((v[i + 1:] == v[i]).sum(1) >= LEAST_AGREE)
@@ -214,43 +197,78 @@ def _alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 rows.append(np.full(len(near), i))
                 cols.append(near + i + 1)
         if rows:
-            edges = _joined(np.concatenate(rows), np.concatenate(cols), n)
-            yield pd.DataFrame({"a": [keys[i] for i, _ in edges], "b": [keys[r] for _, r in edges]}, dtype=object)
+            i, j = np.concatenate(rows), np.concatenate(cols)
+            if bucket["lo"].iloc[0] == bucket["hi"].iloc[0]:
+                edges = _joined(i, j, n)
+            else:
+                forest, within = Forest(n), mine[i] == mine[j]
+                for a, b in zip(i[within].tolist(), j[within].tolist()):
+                    forest.join(a, b)
+                edges = [(a, b) for a, b in zip(i[~within].tolist(), j[~within].tolist()) if forest.join(a, b)]
+            yield pd.DataFrame({"a": [keys[a] for a, _ in edges], "b": [keys[b] for _, b in edges]}, dtype=object)
+
 
+def candidate_edges(sets: DataFrame, runs: range, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
+    """``a, b``: sets that met in a bucket and agree on enough coordinates, as a spanning forest of each bucket.
 
-def candidate_edges(sets: DataFrame, runs: int = RUNS, threshold: float = THRESHOLD, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
-    """``a, b``: sets that met in a bucket and agree on enough coordinates, as a spanning forest of each bucket."""
-    vectors = sets.select(F.col("set_key").alias("_set_key"), "vector")
-    level = stored(with_sizes(stored(first_level(sets, runs, threshold), "paths")), "buckets")
+    ``sets`` has ``set_key, vector, grp``, the group a set is known to be in or a number of its own.
+    """
+    vectors = sets.select(F.col("set_key").alias("_set_key"), "vector", "grp")
+    level = with_sizes(stored(first_level(sets, runs), "paths"), False).drop("size")
     level = stored(level.join(vectors, F.col("set_key") == F.col("_set_key")).drop("_set_key"), "members")
     out = None
     for at in range(1, depth + 1):
+        level = stored(with_sizes(level, True), "buckets")
         leaves = level if at == depth else level.where(F.col("size") <= small)
-        found = together(in_blocks(leaves, "path", "set_key", BLOCK).select("path", "lo", "hi", "set_key", "vector"), "path", "lo", "hi").mapInPandas(
+        found = together(in_blocks(leaves, "path", "set_key", BLOCK).select("path", "lo", "hi", "mine", "set_key", "vector"), "path", "lo", "hi").mapInPandas(
             _alike, "a binary, b binary")
         out = found if out is None else out.unionByName(found)
         if at < depth:
-            large = level.where(F.col("size") > small).select("path", "set_key", "vector")
-            level = stored(with_sizes(next_level(large, threshold)), "buckets")
+            level = stored(next_level(level.where(F.col("size") > small).select("path", "set_key", "vector", "grp")), "paths")
     return out.distinct()
 
 
+def candidate_groups(sets: DataFrame, runs: tuple[int, ...] = RUNS, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
+    """``node, root`` of every set that has a candidate, after all rounds of runs."""
+    groups, done = None, 0
+    for n in runs:
+        now, done = range(done, done + n), done + n
+        if groups is None:
+            known = sets.select("set_key", "vector", F.xxhash64("set_key").alias("grp"))
+            groups = components(candidate_edges(known, now, small, depth))
+        else:
+            known = sets.select("set_key", "vector").join(groups, F.col("set_key") == F.col("node"), "left").select(
+                "set_key", "vector", F.xxhash64(F.coalesce("root", "set_key")).alias("grp"))
+            more = candidate_edges(stored(known, "sets"), now, small, depth)
+            groups = components(more.unionByName(groups.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    return groups
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``a, b`` edges: the least node it is connected to.
 
-    Each round takes the least root among neighbours and then the root's own root, so long chains halve.
+    In each round every node points at its least neighbour, or at itself if it is less than all of them; pointers are followed to their ends,
+    and edges are drawn again between the ends, of which there are at most half as many. Edges are met twice in a round, nodes a few times.
     """
-    both = stored(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where(F.col("a") != F.col("b")).distinct(), "edges")
-    roots = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("r")).select("node", F.least("node", "r").alias("root")), "roots")
+    left = stored(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    out = None
     while True:
-        near = (both.join(roots, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("near")))
-        step = roots.join(near, F.col("node") == F.col("a")).select("node", "root", F.least("root", "near").alias("low"))
-        jump = roots.select(F.col("node").alias("j"), F.col("root").alias("j_root"))
-        moved = stored(step.join(jump, F.col("low") == F.col("j"), "left").select(
-            "node", F.least("low", F.coalesce("j_root", "low")).alias("root"), (F.least("low", F.coalesce("j_root", "low")) != F.col("root")).alias("moved")), "roots")
-        roots = moved.select("node", "root")
-        if moved.where("moved").limit(1).count() == 0:
-            return roots
+        ends = left.select(F.col("a").alias("n"), F.col("b").alias("m")).union(left.select("b", "a"))
+        step = stored(ends.groupBy("n").agg(F.min("m").alias("m")).select(F.col("n").alias("node"), F.least("n", "m").alias("root")), "roots")
+        while True:
+            on = step.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+            step = stored(step.select("node", "root").join(on, F.col("root") == F.col("_n")).select(
+                "node", F.col("_r").alias("root"), (F.col("_r") != F.col("root")).alias("moved")), "roots")
+            if step.where("moved").limit(1).count() == 0:
+                break
+        step = step.select("node", "root")
+        on = step.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+        out = step if out is None else stored(out.join(on, F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_r", "root").alias("root")), "groups")
+        for side, other in (("a", "b"), ("b", "a")):
+            left = left.join(on, F.col(side) == F.col("_n")).select(F.col("_r").alias(side), other)
+        left = stored(left.select("a", "b").where("a <> b").distinct(), "edges")
+        if left.limit(1).count() == 0:
+            return out
 
 
 def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -314,19 +332,21 @@ def linked(docs: DataFrame, sets: DataFrame, groups: DataFrame, threshold: float
     return together(dealt, "grp", "lo", "hi").mapInPandas(_linked(threshold, words), "set_key binary, root binary, links long, rows long")
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS, small: int = SMALL, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
+def classes(docs: DataFrame, threshold: float = THRESHOLD, runs: tuple[int, ...] = RUNS, small: int = SMALL, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
     """A row for each row of ``docs``: ``doc_id, text_key, class_id, links, set_links``.
 
     ``class_id`` is the least id of the class, ``links`` the other rows with similarity of at least ``threshold`` (equal sets included), and
-    ``set_links`` the different sets among them.
+    ``set_links`` the different sets among them. ``threshold`` may not be under the one that ``LEAST_AGREE`` is made for.
     """
+    if threshold < THRESHOLD:
+        raise ValueError(f"threshold {threshold} is under {THRESHOLD}")
     rows = stored(described(docs), "described")
     sets = stored(sets_of(rows), "sets")
-    groups = components(candidate_edges(sets, runs, threshold, small, depth))
+    groups = candidate_groups(sets, runs, small, depth)
     found = stored(linked(docs, sets, groups, threshold, WORDS, block), "links")
     counts = found.groupBy("set_key").agg(F.sum("links").alias("links"), F.sum("rows").alias("rows"))
     roots = components(found.where(F.col("set_key") != F.col("root")).select(F.col("set_key").alias("a"), F.col("root").alias("b")))
-    known = (sets.select("set_key", "n", F.col("at")["doc_id"].alias("first_id"))
+    known = (sets.select("set_key", "n", "first_id")
              .join(counts.withColumnRenamed("set_key", "_k1"), F.col("set_key") == F.col("_k1"), "left")
              .join(roots, F.col("set_key") == F.col("node"), "left")
              .select("set_key", "first_id", F.coalesce("root", "set_key").alias("class_key"), F.coalesce("links", F.lit(0)).alias("set_links"),
@@ -344,4 +364,4 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     only if their texts are equal; a row without an id goes if its class has one."""
     gone = stored(classes(docs, **options).where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(
         F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_doc_id")) & (F.xxhash64(docs["text"]) == F.col("_text_key")), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_doc_id"]) & (F.xxhash64(docs["text"]) == gone["_text_key"]), "left_anti")
