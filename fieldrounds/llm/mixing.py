@@ -73,8 +73,9 @@ def plan(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int
                .where((F.col("rest") > 0) & (F.col("words") > 0) & (F.col("upto") > F.col("rest")))
                .groupBy("source").agg(F.min(F.struct("bin", ((F.col("rest") - F.col("upto") + F.col("words")) / F.col("words")).alias("part"))).alias("last")))
     edge = reached.select(F.col("source").alias("_source"), (F.col("last")["bin"] + F.col("last")["part"]).alias("edge"))
-    return rates.join(edge, F.col("source").eqNullSafe(F.col("_source")), "left").select(
-        "source", "source_size", "target", "whole", F.coalesce("edge", F.lit(0.0)).alias("edge"))
+    # Written, so that its true size decides how documents meet it: a catalogue that is small is sent to them, and they stay where they lie.
+    return stored(rates.join(edge, F.col("source").eqNullSafe(F.col("_source")), "left").select(
+        "source", "source_size", "target", "whole", F.coalesce("edge", F.lit(0.0)).alias("edge")), "mixture")
 
 
 def copies() -> Column:
