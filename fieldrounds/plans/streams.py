@@ -35,18 +35,30 @@ def st2(t: Tables):
     return t.spark.read.parquet(f"{folder}/out")
 
 
-@query("st3_closure_episodes")
-def st3(t: Tables):
+# The three date groups in which visits land, oldest first, as they would arrive.
+GROUPS = (("1990-01-01", "1997-01-01"), ("1997-01-01", "1999-06-01"), ("1999-06-01", "2100-01-01"))
+
+
+def live_episodes(t: Tables, files: int | None = None):
+    """Each group of visits lands and is drained before the next; a closing row then flushes what is held.
+
+    One run reads a group whole, whatever its number of files: a batch that cut a group would have the rest of it come
+    behind the watermark. ``files`` is the number of files of a group, as many as partitions when not given.
+    """
     folder = st.scratch(t.spark, "visits")
     m = t.merged
-    # Landed in three files groups, oldest first, as visits would arrive.
-    for lo, hi in (("1990-01-01", "1997-01-01"), ("1997-01-01", "1999-06-01"), ("1999-06-01", "2100-01-01")):
-        m.where((F.col("day") >= lo) & (F.col("day") < hi)).write.mode("append").parquet(f"{folder}/in")
-    live = t.spark.readStream.schema(m.schema).option("maxFilesPerTrigger", 16).parquet(f"{folder}/in")
-    st.run_to_folder(st.closure_episodes(live), folder)
+    lands = [m.where((F.col("day") >= lo) & (F.col("day") < hi)) for lo, hi in GROUPS]
+    for group in [*(g.repartition(files) if files else g for g in lands), st.closing_row(m)]:
+        group.write.mode("append").parquet(f"{folder}/in")
+        st.run_to_folder(st.closure_episodes(t.spark.readStream.schema(m.schema).parquet(f"{folder}/in")), folder)
     return st.latest_episodes(t.spark.read.parquet(f"{folder}/out"))
 
 
+@query("st3_closure_episodes")
+def st3(t: Tables):
+    return live_episodes(t)
+
+
 def batch_episodes(t: Tables):
     """The same episodes from the batch reading, orders only."""
     v = t.merged.withColumns({"inferred": F.lit(False), "unplaced": F.lit(False)})

@@ -124,6 +124,14 @@ def closure_episodes(visits: DataFrame, delay: str = "30 days", gap: int = RULES
             .applyInPandasWithState(_episodes(gap), EPISODE_OUT, EPISODE_STATE, "append", GroupStateTimeout.EventTimeTimeout))
 
 
+def closing_row(visits: DataFrame, delay_days: int = 30) -> DataFrame:
+    """One row that ends a feed of visits (ST3): of no place and no kind, and dated so late that the watermark passes every visit."""
+    blank = {f.name: F.lit(None).cast(f.dataType) for f in visits.schema.fields}
+    last = visits.agg((F.max("dn") + delay_days + 3).cast("int").alias("_at")).where("_at is not null")
+    blank |= {"dn": F.col("_at").cast(visits.schema["dn"].dataType), "day": F.date_from_unix_date("_at"), "is_order": F.lit(False), "is_reopen": F.lit(False)}
+    return last.select(*[v.alias(c) for c, v in blank.items()])
+
+
 def latest_episodes(log: DataFrame) -> DataFrame:
     """The last word on each episode from the change log."""
     done = F.struct(F.col("reopened_on").isNotNull(), F.col("ended"), F.col("closure") == "health")

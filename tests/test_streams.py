@@ -1,10 +1,11 @@
 """Streaming results against the batch ones."""
+import pytest
 from pyspark.sql import functions as F
 
-from conftest import SMALL
+from conftest import CHECK, SMALL
 from fieldrounds.plans import QUERIES
 from fieldrounds.plans.registry import Tables
-from fieldrounds.plans.streams import batch_episodes
+from fieldrounds.plans.streams import batch_episodes, live_episodes
 
 
 def test_episodes_match_the_batch_reading(spark):
@@ -19,6 +20,18 @@ def test_episodes_match_the_batch_reading(spark):
         assert got == (r.closure, None if r.reopened_on is None else str(r.reopened_on))
 
 
+@pytest.mark.parametrize("files", [1, 12, 40])
+def test_all_episodes_whatever_the_number_of_files(spark, files):
+    t = Tables(spark, SMALL)
+    got = sorted((r.business_id, r.started, r.closure, r.reopened_on) for r in live_episodes(t, files).collect())
+    assert got == sorted((r.business_id, r.day, r.closure, r.reopened_on) for r in batch_episodes(t).collect())
+
+
+def test_the_last_visits_are_read_too(spark):
+    assert {(r.business_id, r.started) for r in QUERIES["st3_closure_episodes"](spark, CHECK).collect()} == {
+        (r.business_id, str(r.day)) for r in batch_episodes(Tables(spark, CHECK)).collect()}
+
+
 def test_months_from_closed_days(spark):
     from fieldrounds.streaming.streams import by_month
     d = spark.createDataFrame([("2024-01-01", 3, 1), ("2024-01-30", 2, 0), ("2024-02-01", 1, 1)], "day string, n long, positives long").withColumn("day", F.to_date("day"))
