@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import half_up, log_odds, points_formula
 from ..rules import RULES, Rules
+from .clean import theme_columns
 from .ordering import exact_quantiles
 
 
@@ -42,6 +43,22 @@ def reading_scores(visits: DataFrame, at: str, readings: dict[str, int | None],
 # Names of the features of the fitted models.
 NUMERIC = ("avg_score", "last_score", "routines", "routines_major", "majors", "health_closures", "reinspections", "grp")
 COUNT_FEATURES = ("avg_deficit", "last_deficit", "routines_major", "majors", "health_closures", "reinspections", "grp")
+# Kinds with an indicator in the fitted comparators; the count score has none.
+MODEL_KINDS = ("restaurant", "limited", "market")
+
+
+def count_features(rules: Rules = RULES) -> tuple[str, ...]:
+    """What the count score may choose from: the record and its themes."""
+    return (*COUNT_FEATURES, *theme_columns(rules))
+
+
+def model_features(rules: Rules = RULES) -> tuple[str, ...]:
+    """What the comparators read: the record, its themes and the kind of place."""
+    return (*NUMERIC, *theme_columns(rules), *[f"kind_{k}" for k in MODEL_KINDS])
+
+
+def with_kinds(frame: DataFrame) -> DataFrame:
+    return frame.withColumns({f"kind_{k}": F.coalesce((F.col("kind") == k).cast("int"), F.lit(0)) for k in MODEL_KINDS})
 
 
 def training_rows(rows: DataFrame, end: str, start: str | None = None) -> DataFrame:
@@ -65,7 +82,7 @@ class BoostedTrees:
     row. Too few rows for that split: the full number of rounds.
     """
 
-    def __init__(self, categories: list[str], numeric: list[str], max_iter: int = 40, depth: int = 4, seed: int = 0, val_days: int = 90):
+    def __init__(self, categories: list[str], numeric: list[str], max_iter: int = 300, depth: int = 4, seed: int = 0, val_days: int = 90):
         self.categories, self.numeric = list(categories), list(numeric)
         self.max_iter, self.depth, self.seed, self.val_days = max_iter, depth, seed, val_days
         self.rounds = None
@@ -125,7 +142,7 @@ def _numeric(frame: DataFrame, numeric, y: str | None) -> tuple[DataFrame, list[
     return data, [f"{n}_m" for n in numeric] + [f"{n}_na" for n in numeric]
 
 
-def fit_trees(frame: DataFrame, additive: bool = False, numeric=NUMERIC, y: str = "y", weight: str = "weight", rounds: int = 30, seed: int = 0):
+def fit_trees(frame: DataFrame, additive: bool = False, numeric=NUMERIC, y: str = "y", weight: str = "weight", rounds: int = 200, seed: int = 0):
     """Boosted comparator; additive means stumps, so no interactions (ML6). MLlib has no monotone
     constraint: :func:`monotone_breaks` reports where a fit is not monotone."""
     from pyspark.ml import Pipeline
@@ -192,7 +209,7 @@ def _gradient(hist: DataFrame, features: list[str], scale: list[float], params:
 STEP_SIZES = tuple(16.0 / 2.5 ** i for i in range(8))
 
 
-def nonneg_logistic(hist: DataFrame, features: list[str], scale: list[float], lam: float, start: list[float], steps: int = 8) -> list[float]:
+def nonneg_logistic(hist: DataFrame, features: list[str], scale: list[float], lam: float, start: list[float], steps: int = 200) -> list[float]:
     """Log loss plus ``lam`` times the sum of weights, every weight at least 0, by projected gradient
     over the few coefficients the driver holds; one pass gives a gradient, one tries every step size."""
     p = list(start)
@@ -211,8 +228,8 @@ def nonneg_logistic(hist: DataFrame, features: list[str], scale: list[float], la
     return p
 
 
-def fit_count(frame: DataFrame, features=COUNT_FEATURES, y: str = "y", weight: str = "weight", rules: Rules = RULES, path: int = 12,
-              multipliers: int = 60) -> dict[str, int]:
+def fit_count(frame: DataFrame, features=COUNT_FEATURES, y: str = "y", weight: str = "weight", rules: Rules = RULES, path: int = 40,
+              multipliers: int = 320, steps: int = 200) -> dict[str, int]:
     """The count score (ML7): whole points per unit for at most ``max_features`` features.
 
     A non-negative lasso path on standardized features picks the features, an unpenalized refit
@@ -237,7 +254,7 @@ def fit_count(frame: DataFrame, features=COUNT_FEATURES, y: str = "y", weight: s
     chosen: list[int] = []
     for i in range(path):
         lam = 0.05 * (1e-4 / 0.05) ** (i / max(path - 1, 1))
-        start = nonneg_logistic(hist, names, sd, lam, start)
+        start = nonneg_logistic(hist, names, sd, lam, start, steps)
         hit = [k for k, b in enumerate(start[1:]) if b > 1e-4]
         if len(hit) > rules.max_features:
             break
@@ -245,7 +262,7 @@ def fit_count(frame: DataFrame, features=COUNT_FEATURES, y: str = "y", weight: s
     if not chosen:
         return {}
     kept = [names[k] for k in chosen]
-    fit = nonneg_logistic(hist, kept, [sd[k] for k in chosen], 0.0, [start[0]] + [start[1 + k] for k in chosen], 40)
+    fit = nonneg_logistic(hist, kept, [sd[k] for k in chosen], 0.0, [start[0]] + [start[1 + k] for k in chosen], steps)
     unit = [b / sd[k] for b, k in zip(fit[1:], chosen)]
     tries = []
     for j in range(multipliers):
@@ -328,7 +345,8 @@ def permutation_importance(model: BoostedTrees, rows: DataFrame, columns: list[s
     return reduce(DataFrame.unionByName, out).groupBy("feature").agg(F.avg("drop").alias("auc_drop"))
 
 
-def stability(train: DataFrame, now: DataFrame, cuts_shares: list[float], reps: int, features=COUNT_FEATURES, seed: int = 0) -> DataFrame:
+def stability(train: DataFrame, now: DataFrame, cuts_shares: list[float], reps: int = 30, features=COUNT_FEATURES, seed: int = 0,
+              rules: Rules = RULES, path: int = 40, multipliers: int = 320, steps: int = 200) -> DataFrame:
     """How often each place keeps its band when the count score is refit on resampled places (ML14)."""
     from functools import reduce
 
@@ -341,7 +359,8 @@ def stability(train: DataFrame, now: DataFrame, cuts_shares: list[float], reps:
     out = []
     for r in range(reps):
         w = times.where(F.col("rep") == r).drop("rep")
-        fitted = fit_count(train.join(w, "business_id").withColumn("weight", F.col("weight") * F.col("times")), features, path=8, multipliers=40)
+        fitted = fit_count(train.join(w, "business_id").withColumn("weight", F.col("weight") * F.col("times")), features, rules=rules, path=path,
+                           multipliers=multipliers, steps=steps)
         pts = now.withColumn("points", rule_points(fitted))
         b = assign_bands(pts, band_cuts(pts.where("eligible"), shares=tuple(cuts_shares)))
         out.append(b.select("business_id", F.col("band").eqNullSafe(F.col("band_now")).cast("double").alias("same")))
