@@ -2,6 +2,7 @@
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -299,6 +300,18 @@ def test_licence_texts_in_other_clothes(spark, odd):
     assert licences.scan(odd).count() == 0 and licences.scan(odd.limit(0)).count() == 0
 
 
+def test_whole_licences_and_their_headers(spark):
+    at = Path(licences.__file__).with_name("licence_texts")
+    apache = "".join(f"# {x}\n" for x in licences.APACHE_HEAD.split("\n"))
+    gpl = "/*\n * Copyright (C) 2020 Someone\n * All rights reserved.\n *\n * " + dict(licences._gnu_heads())["GPL-3.0-or-later"].replace("\n", "\n * ") + "\n */"
+    docs = spark.createDataFrame([(1, (at / "Apache-2.0.txt").read_text()), (2, (at / "GPL-3.txt").read_text()), (3, apache), (4, gpl), (5, (at / "MPL-2.0.txt").read_text()),
+                                  (6, "All rights reserved.\n" + licences.MIT), (7, "// (c) 2020 Someone\n" + licences.UNLICENSE)], "doc_id long, text string")
+    got = [r for r in rows(licences.scan(docs)) if r[1] == "text"]
+    assert got == [(i, "text", x, None) for i, x in enumerate(("Apache-2.0", "GPL-3.0-only", "Apache-2.0", "GPL-3.0-or-later", "MPL-2.0", "MIT", "Unlicense"), 1)]
+    own = spark.createDataFrame([("Own", "Ask first.")], "licence string, text string")
+    assert rows(licences.scan(spark.createDataFrame([(1, "ask FIRST"), (2, licences.MIT)], "doc_id long, text string"), own)) == [(1, "text", "Own", None)]
+
+
 # 9: secrets
 
 def base_spans(text):
