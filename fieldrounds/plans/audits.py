@@ -228,6 +228,21 @@ def ag17(t: Tables):
     return _r(rk.with_resampled(d, F.col("permit_status") == "Expired", 0.1, 5), "like_group", "worst")
 
 
+@query("ag17_missing_closers_by_share")
+def ag17_shares(t: Tables):
+    """Twenty draws at each share for each of three orderings; each is the query above at other arguments."""
+    from functools import reduce
+
+    from pyspark.sql import DataFrame
+    out = []
+    for ordering in ("rule", "rule12", "pers"):
+        d = t.scored.select("record_id", F.col(ordering).alias("score"), "y", "permit_status")
+        for share in (0.05, 0.1, 0.2):
+            r = rk.with_resampled(d, F.col("permit_status") == "Expired", share, 20)
+            out.append(r.select(F.lit(ordering).alias("ordering"), F.lit(share).alias("share"), "like_group", "worst"))
+    return _r(reduce(DataFrame.unionByName, out), "like_group", "worst")
+
+
 @query("ag18_interim_rates", """SELECT days, grp, count(*) AS labelled, CAST(sum(y) AS BIGINT) AS positives, round(avg(y), 6) + 0.0 AS rate FROM (
  SELECT d.days, g.grp, CASE d.days WHEN 90 THEN y_d90 WHEN 180 THEN y_d180 ELSE y_d270 END AS y FROM o, (VALUES (90), (180), (270)) d(days), (VALUES ('all'), ('1')) g(grp) WHERE eligible AND (g.grp = 'all' OR band = '1')) WHERE y IS NOT NULL GROUP BY 1, 2""", ORIGIN_CTE)
 def ag18(t: Tables):

@@ -178,6 +178,11 @@ def ag2(t: Tables):
     return ag.gap_by_top_types(routines(t), 3)
 
 
+@query("ag2_gap_by_common_types", "SELECT business_type, count(*) AS n, median(next_gap) AS median_gap FROM rt WHERE next_gap IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8", _INTERVAL)
+def ag2_common(t: Tables):
+    return ag.gap_by_top_types(routines(t))
+
+
 @query("ag2_gap_by_record_fifth", """SELECT greatest(CAST(ceil((p - 1) * 5 / CAST(n - 1 AS DOUBLE)) AS INT), 1) AS fifth, count(*) AS n, median(next_gap) AS median_gap FROM (
  SELECT *, row_number() OVER (ORDER BY record, record_id) AS p, count(*) OVER () AS n FROM rt WHERE next_gap IS NOT NULL AND record IS NOT NULL) GROUP BY 1""", _INTERVAL)
 def ag2_fifth(t: Tables):
