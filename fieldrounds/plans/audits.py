@@ -230,12 +230,12 @@ def ag17(t: Tables):
 
 @query("ag17_missing_closers_by_share")
 def ag17_shares(t: Tables):
-    """Twenty draws at each share for each of three orderings; each is the query above at other arguments."""
+    """Twenty draws at each share for three orderings: the model (here its stand-in ``risk``), the rule and persistence."""
     from functools import reduce
 
     from pyspark.sql import DataFrame
     out = []
-    for ordering in ("rule", "rule12", "pers"):
+    for ordering in ("risk", "rule", "pers"):
         d = t.scored.select("record_id", F.col(ordering).alias("score"), "y", "permit_status")
         for share in (0.05, 0.1, 0.2):
             r = rk.with_resampled(d, F.col("permit_status") == "Expired", share, 20)

@@ -18,5 +18,5 @@ def test_missing_closers_at_every_share_and_ordering(monkeypatch, spark):
         return spark.createDataFrame([(0.5, 0.5)], "like_group double, worst double")
     monkeypatch.setattr(ranking, "with_resampled", spy)
     got = QUERIES["ag17_missing_closers_by_share"](spark, SMALL).collect()
-    assert [(r.ordering, r.share) for r in got] == [(o, s) for o in ("rule", "rule12", "pers") for s in (0.05, 0.1, 0.2)]
+    assert [(r.ordering, r.share) for r in got] == [(o, s) for o in ("risk", "rule", "pers") for s in (0.05, 0.1, 0.2)]
     assert asked == [(s, 20) for s in (0.05, 0.1, 0.2)] * 3
