@@ -3,10 +3,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, jaccard, licences, mixing, quality, secrets, topk, toxicity, warc
-from .common import table
+from . import chat, decontaminate, jaccard, licences, mixing, quality, runs, secrets, tokens, topk, toxicity, warc
+from .common import id_remainder, let, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -209,3 +210,62 @@ FROM documents d LEFT JOIN m ON d.doc_id = m.node LEFT JOIN c ON d.doc_id = c.a
 @query("op10_jaccard_paths", OP10)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents")).drop("text_key")
+
+
+@query("op12_token_counts")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+OP13 = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS o,
+         xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda x: ascii(x)::BIGINT),
+             lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) AS h
+  FROM documents),
+p AS (SELECT *, len(o) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(o) > 0 THEN (h // 10) % len(o) END AS a FROM d),
+q AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM p),
+w AS MATERIALIZED (
+  SELECT row, i, CASE WHEN a IS NULL OR i < a THEN o[i + 1] ELSE o[a + (i - a) % p + 1] END AS w
+  FROM (SELECT *, unnest(range(n)) AS i FROM q)),
+e AS MATERIALIZED (
+  SELECT row, i, hash(string_agg(w, ' ') OVER (PARTITION BY row ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)) AS s FROM w),
+c AS MATERIALIZED (
+  SELECT row, period FROM (SELECT x.row, y.i - x.i AS period FROM e x JOIN e y ON x.row = y.row AND x.s = y.s AND y.i > x.i WHERE x.i % 8 = 0)
+  GROUP BY row, period HAVING count(*) >= greatest(1, (2 * period - 7) // 8)),
+m AS (SELECT c.row, period, x.i, x.i - row_number() OVER (PARTITION BY c.row, period ORDER BY x.i) AS island
+      FROM c JOIN w x ON c.row = x.row JOIN w y ON y.row = x.row AND y.i = x.i + period WHERE x.w = y.w),
+f AS (SELECT * FROM (SELECT row, period, min(i) AS start, count(*) + period AS length FROM m GROUP BY row, period, island) WHERE length >= greatest(24, 3 * period)),
+r AS MATERIALIZED (SELECT row, start::BIGINT AS start, length::BIGINT AS length, min(period)::BIGINT AS period FROM f GROUP BY row, start, length),
+s AS (SELECT row, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS text FROM r GROUP BY row),
+b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY row ORDER BY length::DOUBLE / period DESC, start, period) = 1),
+x AS (SELECT DISTINCT row, unnest(range(start + period, start + length)) AS i FROM r),
+k AS (SELECT w.row, string_agg(w, ' ' ORDER BY w.i) AS text FROM w ANTI JOIN x ON w.row = x.row AND w.i = x.i GROUP BY w.row)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, b.start, b.length, b.period, (1000 * b.length) // b.period AS exponent_milli,
+       sha256(coalesce(s.text, '')) AS runs_sha256, sha256(coalesce(k.text, '')) AS collapsed_sha256
+FROM d LEFT JOIN s ON d.row = s.row LEFT JOIN b ON d.row = b.row LEFT JOIN k ON d.row = k.row
+"""
+
+
+def with_loops(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` of documents, where a tenth of them, by a hash of the id, repeat the words after a place over and over."""
+    h = F.crc32(F.coalesce(docs["doc_id"].cast("string"), F.lit("")).cast("binary"))
+    g = F.floor(h / 10).cast("long")
+
+    def looped(words: Column) -> Column:
+        n = F.size(words)
+        start = F.pmod(g, n)
+        period = 1 + F.floor((n - start) / (3 + g % 8)).cast("long")
+        source = lambda i: F.when(i < start, i).otherwise(start + (i - start) % period)
+        return F.when(n > 0, F.array_join(F.transform(words, lambda _, i: F.element_at(words, (source(i) + 1).cast("int"))), " ")).otherwise("")
+    words = F.regexp_extract_all(F.coalesce(docs["text"], F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    return docs.select(docs["doc_id"], F.when(id_remainder(docs["doc_id"], 10) == 0, let(words, looped)).otherwise(docs["text"]).alias("text"))
+
+
+@query("op13_periodic_runs", OP13)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find(with_loops(table(spark, sf_dir, "documents"))).withColumn("best", runs.strongest(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+                        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.col("digest").alias("collapsed_sha256"))
