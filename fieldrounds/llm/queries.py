@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, jaccard, licences, mixing, quality, runs, secrets, tokens, topk, toxicity, warc
+from . import chat, decontaminate, jaccard, lexical, licences, mixing, quality, runs, secrets, tokens, topk, toxicity, warc
 from .common import id_remainder, let, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -212,6 +212,34 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents")).drop("text_key")
 
 
+OP11 = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, text FROM documents),
+t AS MATERIALIZED (
+  SELECT row, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM d),
+n AS (SELECT row, count(*)::BIGINT AS n FROM t GROUP BY row),
+s AS MATERIALIZED (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM n),
+p AS MATERIALIZED (SELECT row, doc_id, term, count(*)::BIGINT AS tf FROM t GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p CROSS JOIN s GROUP BY term),
+b AS MATERIALIZED (SELECT row_number() OVER () AS item, item_id, text FROM benchmark),
+q AS (
+  SELECT item, item_id, term, count(*)::BIGINT AS times FROM (
+    SELECT item, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM b)
+  GROUP BY ALL),
+r AS (
+  SELECT q.item, q.item_id, p.row, p.doc_id,
+         sum(q.times * w.w * ((1000000000 * p.tf) // (1000 * p.tf + 12 * (75 + (25 * n.n * s.docs) // s.terms))))::BIGINT AS score
+  FROM q JOIN w ON q.term = w.term JOIN p ON p.term = q.term JOIN n ON n.row = p.row CROSS JOIN s GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+FROM r WHERE score > 0 AND doc_id IS NOT NULL QUALIFY rank <= 20
+"""
+
+
+@query("op11_lexical_search", OP11)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 @query("op12_token_counts")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
