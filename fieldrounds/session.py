@@ -1,6 +1,8 @@
 """Session settings, the shared folder, and the one place where lineage is cut."""
 from __future__ import annotations
 
+import contextvars
+import gc
 import os
 import re
 import tempfile
@@ -50,6 +52,47 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+# Paths of the tables that ``stored`` wrote for the piece of work under way in this context; none outside such a piece.
+_WORK: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("work", default=None)
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete the files of tables that ``stored`` wrote and that nothing reads any more."""
+    for t in tables:
+        if t is not None and getattr(t, "_stored_at", None):
+            _delete(t.sparkSession, t._stored_at)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Shuffle files go when the driver's JVM finds that no frame uses them; ask it to look now, before more are written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def begin_work(spark: SparkSession) -> None:
+    """Start a piece of work whose tables go when the next one starts in this context (a thread has its own).
+
+    What the earlier piece returned must have been written by then; a table of it that is still wanted is taken out with ``keep``.
+    """
+    for path in _WORK.get() or []:
+        _delete(spark, path)
+    _WORK.set([])
+    release(spark)
+
+
+def keep(table: DataFrame) -> DataFrame:
+    """Take a table that ``stored`` wrote out of the piece of work under way."""
+    work = _WORK.get()
+    if work and getattr(table, "_stored_at", None) in work:
+        work.remove(table._stored_at)
+    return table
+
+
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it from there.
 
@@ -58,7 +101,12 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    work = _WORK.get()
+    if work is not None:
+        work.append(path)
+    return out
 
 
 def stored_by(df: DataFrame, name: str, key: str | None) -> tuple[DataFrame, str]:
