@@ -22,14 +22,21 @@ def band_cuts(df: DataFrame, points: str = "points", shares: tuple[float, ...] =
     c = F.col
     hist = df.groupBy(points).agg(F.count("*").alias("_n"))
     cum = with_scalars(running_sums(hist, [], [c(points).desc()], {"_cum": c("_n")}), hist.agg(F.sum("_n").alias("_all")))
-    near = [F.min_by(c(points), F.struct(F.abs(c("_cum") - F.lit(s) * c("_all")), -c(points))).cast("double").alias(f"_c{i}")
-            for i, s in enumerate(shares)]
-    picks = F.array_compact(F.array(*[c(f"_c{i}") for i in range(len(shares))]))
+    return cum.agg(falling_cuts([nearest_cut(s, points) for s in shares]).alias("cuts"))
 
+
+def nearest_cut(share: float, points: str = "points") -> Column:
+    """Of rows with points, ``_cum`` (rows down to these) and ``_all``: the points where the share above is nearest, the higher of two."""
+    c = F.col
+    return F.min_by(c(points), F.struct(F.abs(c("_cum") - F.lit(share) * c("_all")), -c(points))).cast("double")
+
+
+def falling_cuts(cuts: list[Column]) -> Column:
+    """The cut-offs that fall, in order; one that does not is left out."""
     def fall(acc: Column, x: Column) -> Column:
         last = F.try_element_at(acc, F.lit(-1))
         return F.when(last.isNull() | (x < last), F.concat(acc, F.array(x))).otherwise(acc)
-    return cum.agg(*near).select(F.aggregate(picks, F.array().cast("array<double>"), fall).alias("cuts"))
+    return F.aggregate(F.array_compact(F.array(*cuts)), F.array().cast("array<double>"), fall)
 
 
 def band_of(points: Column, cuts: Column) -> Column:

@@ -1,10 +1,14 @@
 """Models and the rules fitted on snapshots."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from dataclasses import replace
 
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from . import boost, newton
 from ..functions import half_up, log_odds, points_formula
 from ..rules import RULES, Rules
+from .bands import band_of, falling_cuts, nearest_cut
 from .clean import theme_columns
 from .ordering import exact_quantiles
 
@@ -142,17 +146,21 @@ def _numeric(frame: DataFrame, numeric, y: str | None) -> tuple[DataFrame, list[
     return data, [f"{n}_m" for n in numeric] + [f"{n}_na" for n in numeric]
 
 
-def fit_trees(frame: DataFrame, additive: bool = False, numeric=NUMERIC, y: str = "y", weight: str = "weight", rounds: int = 200, seed: int = 0):
-    """Boosted comparator; additive means stumps, so no interactions (ML6). MLlib has no monotone
-    constraint: :func:`monotone_breaks` reports where a fit is not monotone."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import Imputer, VectorAssembler
-    data, names = _numeric(frame, numeric, y)
-    return Pipeline(stages=[
-        Imputer(strategy="median", inputCols=[f"{n}_d" for n in numeric], outputCols=[f"{n}_m" for n in numeric]),
-        VectorAssembler(inputCols=names, outputCol="features"),
-        GBTClassifier(labelCol="label", weightCol=weight, maxIter=rounds, maxDepth=1 if additive else 4, stepSize=0.1, seed=seed)]).fit(data)
+# Which way a feature of the comparators may move the odds, where it may move them one way only.
+FALLING, RISING = ("avg_score", "last_score"), ("routines_major", "majors", "health_closures", "reinspections", "grp")
+
+
+def monotone_signs(names) -> tuple[int, ...]:
+    """1 for a feature that may only raise the odds (findings and themes), -1 for one that may only lower them (scores), else 0."""
+    return tuple(-1 if n in FALLING else 1 if n in RISING or n.startswith("th_") else 0 for n in names)
+
+
+def fit_trees(frame: DataFrame, names, additive: tuple[bool, ...] = (False, True), y: str = "y", weight: str = "weight", rounds: int = 200,
+              each: Column | None = None, reps: int = 1) -> list[boost.Boosted]:
+    """The boosted and the additive comparator (ML6), monotone, missing values as they are; for each weighting in turn, all in the same passes."""
+    packs = newton.packed_vectors(frame, list(names), y, weight, None, reps, each)
+    rule = boost.Growth(rounds=rounds, monotone=monotone_signs(names))
+    return boost.fit(packs, list(names), [(r, replace(rule, additive=a)) for r in range(reps) for a in additive])
 
 
 def predict(model, frame: DataFrame, numeric=NUMERIC, name: str = "p") -> DataFrame:
@@ -177,136 +185,42 @@ def recalibration(scored: DataFrame, p: str = "p", y: str = "y") -> tuple[float,
     return float(m.coefficients[0]), float(m.intercept)
 
 
-def _histogram(frame: DataFrame, features: list[str], y: str, weight: str) -> DataFrame:
-    """Distinct integer feature vectors with the weight of each class: a fit reads this, not the rows."""
-    pos = F.sum(F.when(F.col(y) == 1, F.col(weight)).otherwise(0.0)).alias("wp")
-    return frame.groupBy(*[F.col(f).cast("double").alias(f) for f in features]).agg(pos, F.sum(weight).alias("w"))
-
-
-def _score(features: list[str], scale: list[float], params: list[float]) -> Column:
-    z = F.lit(params[0])
-    for f, s, b in zip(features, scale, params[1:]):
-        z = z + F.lit(b / s) * F.col(f)
-    return z
-
-
-def _losses(hist: DataFrame, features: list[str], scale: list[float], many: list[list[float]]) -> list[float]:
-    """Weighted mean log loss of several parameter vectors in one aggregate."""
-    cols = []
-    for p in many:
-        z = _score(features, scale, p)
-        cols.append(F.sum(F.col("w") * (F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))) - F.col("wp") * z))
-    row = hist.agg(F.sum("w"), *cols).first()
-    return [v / row[0] for v in row[1:]]
-
-
-def _gradient(hist: DataFrame, features: list[str], scale: list[float], params: list[float]) -> list[float]:
-    g = F.col("w") / (1 + F.exp(-_score(features, scale, params))) - F.col("wp")
-    row = hist.withColumn("_g", g).agg(F.sum("w"), F.sum("_g"), *[F.sum(F.col("_g") * F.col(f) / F.lit(s)) for f, s in zip(features, scale)]).first()
-    return [v / row[0] for v in row[1:]]
-
-
-STEP_SIZES = tuple(16.0 / 2.5 ** i for i in range(8))
-
-
-def nonneg_logistic(hist: DataFrame, features: list[str], scale: list[float], lam: float, start: list[float], steps: int = 200) -> list[float]:
-    """Log loss plus ``lam`` times the sum of weights, every weight at least 0, by projected gradient
-    over the few coefficients the driver holds; one pass gives a gradient, one tries every step size."""
-    p = list(start)
-    total = _losses(hist, features, scale, [p])[0] + lam * sum(p[1:])
-    for _ in range(steps):
-        g = _gradient(hist, features, scale, p)
-        many = [[p[0] - r * g[0]] + [max(0.0, b - r * (d + lam)) for b, d in zip(p[1:], g[1:])] for r in STEP_SIZES]
-        values = [v + lam * sum(q[1:]) for v, q in zip(_losses(hist, features, scale, many), many)]
-        best = min(range(len(many)), key=values.__getitem__)
-        gain = total - values[best]
-        if gain <= 0:
-            break
-        p, total = many[best], values[best]
-        if gain < 1e-8:
-            break
-    return p
-
-
-def fit_count(frame: DataFrame, features=COUNT_FEATURES, y: str = "y", weight: str = "weight", rules: Rules = RULES, path: int = 40,
-              multipliers: int = 320, steps: int = 200) -> dict[str, int]:
-    """The count score (ML7): whole points per unit for at most ``max_features`` features.
-
-    A non-negative lasso path on standardized features picks the features, an unpenalized refit
-    weighs them, and the multiplier that keeps the most likelihood rounds the weights. Every loss is
-    an aggregate over distinct feature vectors; all multipliers are scored in one pass.
-    """
-    import math
-
-    from ..session import cut
-    names = list(features)
-    hist = cut(_histogram(frame, names, y, weight))
-    # Many small passes follow: as many tasks as the distinct vectors need.
-    hist = hist.coalesce(max(1, min(hist.rdd.getNumPartitions(), hist.count() // 20_000)))
-    w = F.col("w")
-    m = hist.agg(F.sum(w), F.sum("wp"), *[(F.sum(w * F.col(f)) / F.sum(w)).alias(f"m_{f}") for f in names],
-                 *[(F.sum(w * F.col(f) * F.col(f)) / F.sum(w)).alias(f"q_{f}") for f in names]).first()
-    total, pos = m[0], m[1]
-    if not total or pos <= 0 or pos >= total:
-        return {}
-    sd = [math.sqrt(max(m[f"q_{f}"] - m[f"m_{f}"] ** 2, 0.0)) or 1.0 for f in names]
-    start = [math.log(pos / (total - pos))] + [0.0] * len(names)
-    chosen: list[int] = []
-    for i in range(path):
-        lam = 0.05 * (1e-4 / 0.05) ** (i / max(path - 1, 1))
-        start = nonneg_logistic(hist, names, sd, lam, start, steps)
-        hit = [k for k, b in enumerate(start[1:]) if b > 1e-4]
-        if len(hit) > rules.max_features:
-            break
-        chosen = hit
-    if not chosen:
-        return {}
-    kept = [names[k] for k in chosen]
-    fit = nonneg_logistic(hist, kept, [sd[k] for k in chosen], 0.0, [start[0]] + [start[1 + k] for k in chosen], steps)
-    unit = [b / sd[k] for b, k in zip(fit[1:], chosen)]
+def point_tries(names: list[str], unit: list[float], multipliers: int = 320, rules: Rules = RULES) -> list[list[int]]:
+    """Whole points by feature, one list for each multiplier that gives new and admissible ones."""
     tries = []
     for j in range(multipliers):
         k = 0.5 * (400 / 0.5) ** (j / (multipliers - 1))
         pts = [int(round(u * k)) for u in unit]
-        deficits = [p for f, p in zip(kept, pts) if f in ("avg_deficit", "last_deficit")]
+        deficits = [p for f, p, u in zip(names, pts, unit) if f in ("avg_deficit", "last_deficit") and u > 0]
         if max(pts) in range(1, rules.max_weight + 1) and (not deficits or max(deficits) >= 1) and pts not in tries:
             tries.append(pts)
-    if not tries:
-        return {}
-    ll = _candidate_likelihood(hist, kept, tries)
-    best = max(range(len(tries)), key=lambda i: (ll[i], -i))
-    return {f: p for f, p in sorted(zip(kept, tries[best]), key=lambda x: -x[1]) if p > 0}
-
-
-def _candidate_likelihood(hist: DataFrame, features: list[str], tries: list[list[int]]) -> list[float]:
-    """Log likelihood of each candidate's total after a one-variable refit: totals are whole numbers,
-    so each candidate is a short histogram and all are counted in one pass."""
-    import math
-    total = [sum((F.lit(p) * F.col(f) for f, p in zip(features, pts)), F.lit(0.0)) for pts in tries]
-    rows = hist.select("w", "wp", F.posexplode(F.array(*total)).alias("i", "t")).groupBy("i", "t").agg(F.sum("w").alias("w"), F.sum("wp").alias("wp")).collect()
-    out = []
-    for i in range(len(tries)):
-        h = [(r.t, r.w, r.wp) for r in rows if r.i == i]
-        a, b = 0.0, 0.0
-        mean = sum(t * w for t, w, _ in h) / sum(w for _, w, _ in h)
-        for _ in range(40):             # Newton on two numbers
-            ga = gb = haa = hab = hbb = 0.0
-            for t, w, wp in h:
-                x = t - mean
-                q = 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * x))))
-                d, v = wp - w * q, w * q * (1 - q)
-                ga, gb, haa, hab, hbb = ga + d, gb + d * x, haa + v, hab + v * x, hbb + v * x * x
-            det = haa * hbb - hab * hab
-            if det <= 1e-12:
-                break
-            da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
-            a, b = a + da, max(0.0, b + db)
-            if abs(da) + abs(db) < 1e-10:
-                break
-        out.append(sum(wp * (a + b * (t - mean)) - w * (max(a + b * (t - mean), 0.0) + math.log1p(math.exp(-abs(a + b * (t - mean))))) for t, w, wp in h))
+    return tries
+
+
+def fit_counts(vectors: newton.Vectors, rules: Rules = RULES, path: int = 40, multipliers: int = 320) -> list[dict[str, int]]:
+    """The count score (ML7) of every weighting: whole points per unit for at most ``max_features`` features.
+
+    A non-negative lasso path on standardized features picks the features, an unpenalized refit weighs them, and the multiplier that keeps the most
+    likelihood rounds the weights. All weightings go together, in a few tens of passes.
+    """
+    chosen = newton.sparse_paths(vectors, rules.max_features, path)
+    units = newton.refits(vectors, chosen)
+    tries = [(r, p) for r in range(vectors.reps) if chosen[r] for p in point_tries(vectors.names, units[r].tolist(), multipliers, rules)]
+    likelihood = newton.points_likelihood(vectors, tries)
+    out: list[dict[str, int]] = [{} for _ in range(vectors.reps)]
+    best = [float("-inf")] * vectors.reps
+    for (r, pts), ll in zip(tries, likelihood):
+        if ll > best[r] + 1e-9:
+            best[r] = ll
+            out[r] = {f: p for f, p in sorted(zip(vectors.names, pts), key=lambda x: -x[1]) if p > 0}
     return out
 
 
+def fit_count(frame: DataFrame, features=COUNT_FEATURES, y: str = "y", weight: str = "weight", rules: Rules = RULES, path: int = 40, multipliers: int = 320) -> dict[str, int]:
+    """The count score of the rows as they are; nothing if only one class is there."""
+    return fit_counts(newton.Vectors.of(frame, list(features), y, weight), rules, path, multipliers)[0]
+
+
 def select_rule(metrics: DataFrame, publishable=("average score", "count score"), epsilon: float = RULES.epsilon) -> DataFrame:
     """The sparsest publishable rule within ``epsilon`` of the best model at every origin; else of the
     best publishable one; else the most accurate on average (ML13).
@@ -345,24 +259,28 @@ def permutation_importance(model: BoostedTrees, rows: DataFrame, columns: list[s
     return reduce(DataFrame.unionByName, out).groupBy("feature").agg(F.avg("drop").alias("auc_drop"))
 
 
-def stability(train: DataFrame, now: DataFrame, cuts_shares: list[float], reps: int = 30, features=COUNT_FEATURES, seed: int = 0,
-              rules: Rules = RULES, path: int = 40, multipliers: int = 320, steps: int = 200) -> DataFrame:
-    """How often each place keeps its band when the count score is refit on resampled places (ML14)."""
-    from functools import reduce
+def stability(train: DataFrame, now: DataFrame, reps: int = 30, features=COUNT_FEATURES, seed: int = 0, rules: Rules = RULES,
+              path: int = 40, multipliers: int = 320) -> DataFrame:
+    """How often each place keeps its band (``band_now``) when the count score is refit on resampled places (ML14).
 
+    All refits are one batch of weightings. Bands are cut again, in each refit, at the shares of the eligible list that today's bands hold.
+    """
     from ..session import cut
-    from .bands import assign_bands, band_cuts
     from .resample import weights
-    from .views import rule_points
-    times = cut(weights(train, "business_id", reps, seed))
-    train, now = cut(train), cut(now)
-    out = []
-    for r in range(reps):
-        w = times.where(F.col("rep") == r).drop("rep")
-        fitted = fit_count(train.join(w, "business_id").withColumn("weight", F.col("weight") * F.col("times")), features, rules=rules, path=path,
-                           multipliers=multipliers, steps=steps)
-        pts = now.withColumn("points", rule_points(fitted))
-        b = assign_bands(pts, band_cuts(pts.where("eligible"), shares=tuple(cuts_shares)))
-        out.append(b.select("business_id", F.col("band").eqNullSafe(F.col("band_now")).cast("double").alias("same")))
-    return reduce(DataFrame.unionByName, out).groupBy("business_id").agg(F.avg("same").alias("kept"))
-
+    c = F.col
+    drawn = weights(train, "business_id", reps, seed).groupBy("business_id").agg(F.map_from_entries(F.collect_list(F.struct("rep", "times"))).alias("_of"))
+    often = F.transform(F.sequence(F.lit(0), F.lit(reps - 1)), lambda r: F.coalesce(F.try_element_at("_of", r.cast("int")), F.lit(0)))
+    fits = fit_counts(newton.Vectors.of(train.join(drawn, "business_id").withColumn("_times", often), list(features), times=c("_times"), reps=reps), rules, path, multipliers)
+    ordered = now.where("eligible").groupBy("band_now").agg(F.count("*").alias("n")).collect()     # a row per band
+    size = sum(r["n"] for r in ordered)
+    held = sorted((int(r["band_now"]), r["n"]) for r in ordered if r["band_now"] is not None)
+    shares = [sum(n for b, n in held if b <= k) / size for k, _ in held]
+    points = F.array(*[sum((F.lit(float(w)) * c(f) for f, w in fit.items()), F.lit(0.0)) for fit in fits])
+    each = cut(now.select("business_id", "eligible", "band_now", F.posexplode(points).alias("rep", "points")))
+    # A row per refit and whole number of points: a short table.
+    hist = each.where("eligible").groupBy("rep", "points").agg(F.count("*").alias("_n"))
+    down, whole = W.partitionBy("rep").orderBy(c("points").desc()), W.partitionBy("rep")
+    hist = hist.withColumns({"_cum": F.sum("_n").over(down), "_all": F.sum("_n").over(whole)})
+    cuts = hist.groupBy("rep").agg(falling_cuts([nearest_cut(s) for s in shares]).alias("cuts"))
+    band = F.when(c("eligible"), band_of(c("points"), c("cuts")))
+    return each.join(cuts, "rep", "left").groupBy("business_id").agg(F.avg(band.eqNullSafe(c("band_now")).cast("double")).alias("kept"))

@@ -101,6 +101,14 @@ def event_weights(f: DataFrame) -> DataFrame:
     return f.join(n, ["business_id", "event"]).withColumn("weight", 1.0 / F.col("_n")).drop("_n")
 
 
+def weights_by_end(f: DataFrame, ends: list[str]) -> DataFrame:
+    """``weights``: each row's event weight when only snapshots up to each of several days are read, 0 for later ones (WF16)."""
+    upto = [F.col("as_of") <= F.lit(e).cast("date") for e in ends]
+    n = f.groupBy("business_id", "event").agg(F.array(*[F.count_if(u) for u in upto]).alias("_n"))
+    got = f.join(n, ["business_id", "event"])
+    return got.withColumn("weights", F.array(*[F.when(u, 1.0 / F.element_at("_n", i + 1)).otherwise(0.0) for i, u in enumerate(upto)])).drop("_n")
+
+
 def baselines(f: DataFrame, rules: Rules = RULES) -> DataFrame:
     """The orderings a list is compared with: persistence and the last score."""
     return f.select("*", persistence_key(F.col("routines_major"), F.col("majors"), F.col("last_score"), rules).alias("persistence"),

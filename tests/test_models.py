@@ -34,8 +34,11 @@ def test_boosting_may_take_300_rounds(monkeypatch, spark, query):
 
 
 def test_comparators_and_the_count_score_are_whole(monkeypatch, spark):
-    assert asked(monkeypatch, spark, "ml6_boosted_and_additive", "fit_trees")["rounds"] == 200
+    got = asked(monkeypatch, spark, "ml6_boosted_and_additive", "fit_trees")
+    assert (got["rounds"], got["additive"]) == (200, (False, True))
     assert "th_small" in FEATURES and "kind_market" in FEATURES and "th_small" in COUNTED
+    signs = dict(zip(FEATURES, md.monotone_signs(FEATURES)))
+    assert (signs["avg_score"], signs["majors"], signs["th_small"], signs["routines"], signs["kind_market"]) == (-1, 1, 1, 0, 0)
     got = asked(monkeypatch, spark, "ml7_count_score", "fit_count")
     assert (got["path"], got["multipliers"], got["features"]) == (40, 320, COUNTED)
     got = asked(monkeypatch, spark, "ml14_stability", "stability")
@@ -43,4 +46,5 @@ def test_comparators_and_the_count_score_are_whole(monkeypatch, spark):
 
 
 def test_the_origin_run_has_the_boosted_and_additive_arms(monkeypatch, spark):
-    assert asked(monkeypatch, spark, "ml12_origin_run", "fit_trees")["rounds"] == 200
+    got = asked(monkeypatch, spark, "ml13_rule_selection", "fit_trees")
+    assert (got["rounds"], got["reps"], got["additive"]) == (200, 2, (False, True))
