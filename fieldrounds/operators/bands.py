@@ -123,18 +123,59 @@ def validate_cuts(counts: list[tuple], cuts: list[float], z: float = RULES.band_
     return cuts
 
 
-def validated_cuts(df: DataFrame, cuts: list[float], rules: Rules = RULES) -> list[float]:
-    """:func:`validate_cuts` on the counts of a frame with several origins."""
-    got = band_counts(df, cuts).collect()
-    return validate_cuts([(r.as_of, r.band, r.k, r.n) for r in got], cuts, rules.band_z)
+def validated_cuts(df: DataFrame, cuts: DataFrame, most: int, rules: Rules = RULES) -> DataFrame:
+    """One row with ``cuts``: those of a one-row frame (at most ``most``) that hold on a frame with several origins (BD4), by the rule of ``validate_cuts``.
 
-
-def curve_groups(df: DataFrame, min_n: int = RULES.curve_min) -> DataFrame:
-    """One row with ``groups``: point values pooled from the top into groups of at least ``min_n``
+    Counts by origin and band are a short table, one array per band; a fold over as many turns as there are cuts looks for the first split that is not
+    real and adds its two bands up, so nothing goes to the driver.
+    """
+    c, count = F.col, "struct<k:bigint,n:bigint>"
+    # Bands are numbers here: 0 above the first cut, the number of cuts below the last.
+    lab = with_scalars(df.where("eligible and y is not null").select("as_of", "points", "y"), cuts)
+    counts = lab.groupBy("as_of", F.size(F.filter("cuts", lambda x: x > c("points"))).alias("b")).agg(
+        F.sum("y").cast("long").alias("k"), F.count("*").alias("n"))
+    by_origin = counts.groupBy("as_of").agg(F.map_from_entries(F.collect_list(F.struct("b", F.struct("k", "n")))).alias("m"))
+    nothing = F.struct(F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("n")).cast(count)
+    table = F.transform(F.sequence(F.lit(0), F.size("cuts")), lambda b: F.transform("_of", lambda m: F.coalesce(F.try_element_at(m, b), nothing)))
+    state = with_scalars(by_origin.agg(F.collect_list("m").alias("_of")), cuts).select("cuts", table.alias("rows"))
+
+    def total(a: Column, part: str) -> Column:
+        return F.aggregate(a, F.lit(0).cast("long"), lambda t, x: t + x[part])
+
+    def real(hi: Column, lo: Column) -> Column:
+        rate = lambda x: x["k"] / F.when(x["n"] > 0, x["n"])
+        above = F.forall(F.zip_with(hi, lo, lambda h, o: F.coalesce(rate(h) > rate(o), F.lit(False))), lambda x: x)
+        ph, pl = (total(x, "k") / F.when(total(x, "n") > 0, total(x, "n")) for x in (hi, lo))
+        se = F.sqrt(ph * (1 - ph) / (total(hi, "n") / F.size(hi)) + pl * (1 - pl) / (total(lo, "n") / F.size(lo)))
+        return above & (F.size(hi) > 0) & F.coalesce((se > 0) & ((ph - pl) / se >= rules.band_z), F.lit(False))
+
+    def turn(acc: Column, _: Column) -> Column:
+        cuts_, rows = acc["cuts"], acc["rows"]
+        at = F.filter(F.sequence(F.lit(1), F.greatest(F.size(cuts_), F.lit(1))),
+                      lambda i: (i <= F.size(cuts_)) & ~real(F.element_at(rows, i), F.element_at(rows, i + 1)))
+        bad = F.try_element_at(at, F.lit(1))
+
+        def merged(b: Column) -> Column:
+            both = F.zip_with(F.element_at(rows, b), F.element_at(rows, b + 1),
+                              lambda x, y: F.struct((x["k"] + y["k"]).alias("k"), (x["n"] + y["n"]).alias("n")))
+            return F.struct(F.concat(F.slice(cuts_, F.lit(1), b - 1), F.slice(cuts_, b + 1, F.size(cuts_))).alias("cuts"),
+                            F.concat(F.slice(rows, F.lit(1), b - 1), F.array(both), F.slice(rows, b + 2, F.size(rows))).alias("rows"))
+        return F.when(bad.isNull(), acc).otherwise(merged(F.coalesce(bad, F.lit(1))))
+    start = F.struct(c("cuts"), c("rows"))
+    return state.select(F.aggregate(F.array(*[F.lit(i) for i in range(most)]), start, turn)["cuts"].alias("cuts"))
+
+
+def attached(df: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """Columns of a short table: its only row, or that of the same ``keys``."""
+    return df.join(few, keys) if keys else with_scalars(df, few)
+
+
+def curve_groups(df: DataFrame, min_n: int = RULES.curve_min, keys: list[str] = ()) -> DataFrame:
+    """One row (per ``keys``) with ``groups``: point values pooled from the top into groups of at least ``min_n``
     labelled places, low to high, each with its counts (BD5)."""
-    hist = df.where("eligible and y is not null").groupBy(F.col("points").cast("int").alias("p")).agg(
+    hist = df.where("eligible and y is not null").groupBy(*keys, F.col("points").cast("int").alias("p")).agg(
         F.count("*").alias("n"), F.sum("y").alias("k"))
-    arr = hist.agg(F.array_sort(F.collect_list(F.struct((-F.col("p")).alias("m"), "p", "n", "k"))).alias("h"))
+    arr = hist.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("p")).alias("m"), "p", "n", "k"))).alias("h"))
     group = "struct<lo:int,hi:int,n:bigint,k:bigint>"
     empty = F.struct(F.array().cast(f"array<{group}>").alias("done"), F.lit(None).cast(group).alias("cur"))
 
@@ -154,51 +195,60 @@ def curve_groups(df: DataFrame, min_n: int = RULES.curve_min) -> DataFrame:
         joined = F.concat(F.slice(acc["done"], F.lit(1), F.size(acc["done"]) - 1),
                           F.array(made(cur["lo"], last["hi"], last["n"] + cur["n"], last["k"] + cur["k"])))
         return F.when(cur.isNull(), acc["done"]).when(last.isNull(), F.array(cur)).otherwise(joined)
-    return arr.select(F.reverse(F.aggregate("h", empty, step, finish)).alias("groups"))
+    return arr.select(*keys, F.reverse(F.aggregate("h", empty, step, finish)).alias("groups"))
 
 
 def isotonic(w: Column, s: Column) -> Column:
-    """Closest non-decreasing means of ``s / w`` with weights ``w``: for each place the largest, over
-    starts at or before it, of the smallest mean up to an end at or after it."""
-    n = F.size(w)
+    """Closest non-decreasing means of ``s / w`` with weights ``w``, by pooling adjacent violators in one fold.
+
+    The fold keeps blocks of pooled places; a place that lies below the last block takes it in, and goes on as long as it does. Each place is pooled once.
+    """
+    block = "array<struct<w:double,s:double,n:int>>"
+
+    def pooled(done: Column, x: Column) -> Column:
+        def back(acc: Column, b: Column) -> Column:
+            stop = acc["stop"] | (b["s"] * acc["w"] <= acc["s"] * b["w"])
+            return F.when(stop, F.struct(acc["w"].alias("w"), acc["s"].alias("s"), acc["n"].alias("n"), acc["took"].alias("took"), F.lit(True).alias("stop"))).otherwise(
+                F.struct((acc["w"] + b["w"]).alias("w"), (acc["s"] + b["s"]).alias("s"), (acc["n"] + b["n"]).alias("n"), (acc["took"] + 1).alias("took"), F.lit(False).alias("stop")))
+        start = F.struct(x["w"].alias("w"), x["s"].alias("s"), F.lit(1).alias("n"), F.lit(0).alias("took"), F.lit(False).alias("stop"))
+        return F.aggregate(F.reverse(done), start, back)
 
-    def mean(i: Column, j: Column) -> Column:
-        def total(a: Column) -> Column:
-            return F.aggregate(F.slice(a, i, j - i + 1), F.lit(0.0), lambda t, v: t + v)
-        return total(s) / total(w)
-    at = F.sequence(F.lit(1), n)
-    return F.transform(at, lambda i: F.array_max(F.transform(
-        F.sequence(F.lit(1), i), lambda a: F.array_min(F.transform(F.sequence(i, n), lambda b: mean(a, b))))))
+    def step(done: Column, x: Column) -> Column:
+        add = lambda m: F.concat(F.slice(done, F.lit(1), F.size(done) - m["took"]), F.array(F.struct(m["w"].alias("w"), m["s"].alias("s"), m["n"].alias("n"))))
+        return F.element_at(F.transform(F.array(pooled(done, x)), add), 1)
+    each = F.zip_with(w, s, lambda a, b: F.struct(a.alias("w"), b.alias("s")))
+    blocks = F.aggregate(each, F.array().cast(block), step)
+    return F.flatten(F.transform(blocks, lambda b: F.array_repeat(b["s"] / b["w"], b["n"])))
 
 
-def risk_curve(df: DataFrame, cluster: str, reps: int = 200, min_n: int = RULES.curve_min, seed: int = 0) -> DataFrame:
-    """The monotone rate of each group of points with an address-cluster interval (BD6).
+def risk_curve(df: DataFrame, cluster: str, reps: int = 200, min_n: int = RULES.curve_min, seed: int = 0, keys: list[str] = ()) -> DataFrame:
+    """The monotone rate of each group of points with an address-cluster interval (BD6), a curve for each of ``keys`` (BD8).
 
     One row per group: ``lo, hi, labelled, positives, rate, low, high``. A replicate reweights each
-    cluster's counts by group; its fit is the same short fold.
+    cluster's counts by group; all keys and replicates go through the same short fold at once.
     """
-    c = F.col
-    groups = curve_groups(df, min_n)
-    base = groups.select(F.posexplode("groups").alias("g", "x")).select("g", "x.lo", "x.hi", "x.n", "x.k")
-    rows = with_scalars(df.where("eligible and y is not null").select(cluster, "points", "y"), groups)
+    c, keys = F.col, list(keys)
+    groups = curve_groups(df, min_n, keys)
+    base = groups.select(*keys, F.posexplode("groups").alias("g", "x")).select(*keys, "g", "x.lo", "x.hi", "x.n", "x.k")
+    rows = attached(df.where("eligible and y is not null").select(cluster, *keys, "points", "y"), groups, keys)
     which = F.size(F.filter("groups", lambda g: g["lo"] <= c("points"))) - 1
-    per = rows.select(cluster, "y", which.alias("g")).groupBy(cluster, "g").agg(F.count("*").alias("n"), F.sum("y").alias("k"))
-    drawn = replicate_sums(per, cluster, ["n", "k"], ["g"], reps, seed)
-    size = groups.select(F.size("groups").alias("_g"))
+    per = rows.select(cluster, *keys, "y", which.alias("g")).groupBy(cluster, *keys, "g").agg(F.count("*").alias("n"), F.sum("y").alias("k"))
+    drawn = replicate_sums(per, cluster, ["n", "k"], [*keys, "g"], reps, seed)
+    size = groups.select(*keys, F.size("groups").alias("_g"))
 
-    def fitted(t: DataFrame, keys: list[str]) -> DataFrame:
-        m = t.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("g", F.struct("n", "k")))).alias("m"))
-        m = with_scalars(m, size)
+    def fitted(t: DataFrame, by: list[str]) -> DataFrame:
+        m = t.groupBy(*keys, *by).agg(F.map_from_entries(F.collect_list(F.struct("g", F.struct("n", "k")))).alias("m"))
+        m = attached(m, size, keys)
         ids = F.sequence(F.lit(0), c("_g") - 1)
         w = F.transform(ids, lambda i: F.greatest(F.coalesce(c("m")[i]["n"], F.lit(0)), F.lit(1)).cast("double"))
         # An undrawn group enters with weight 1 and rate 0, as one clean place.
         s = F.transform(ids, lambda i: F.coalesce(c("m")[i]["k"], F.lit(0)).cast("double"))
-        return m.select(*keys, w.alias("w"), s.alias("s")).select(*keys, F.posexplode(isotonic(c("w"), c("s"))).alias("g", "rate"))
-    point = fitted(base.select("g", "n", "k").withColumn("one", F.lit(1)), ["one"]).select("g", "rate")
+        return m.select(*keys, *by, w.alias("w"), s.alias("s")).select(*keys, *by, F.posexplode(isotonic(c("w"), c("s"))).alias("g", "rate"))
+    point = fitted(base.withColumn("one", F.lit(1)), ["one"]).select(*keys, "g", "rate")
     q = F.percentile("rate", F.array(F.lit(0.025), F.lit(0.975)))
-    spread = fitted(drawn, ["rep"]).groupBy("g").agg(q.alias("q"))
-    out = base.join(point, "g").join(spread, "g", "left")
-    return out.select("lo", "hi", c("n").alias("labelled"), c("k").alias("positives"), "rate",
+    spread = fitted(drawn, ["rep"]).groupBy(*keys, "g").agg(q.alias("q"))
+    out = base.join(point, [*keys, "g"]).join(spread, [*keys, "g"], "left")
+    return out.select(*keys, "lo", "hi", c("n").alias("labelled"), c("k").alias("positives"), "rate",
                       F.least("rate", F.coalesce(F.element_at("q", 1), c("rate"))).alias("low"),
                       F.greatest("rate", F.coalesce(F.element_at("q", 2), c("rate"))).alias("high"))
 
@@ -237,10 +287,12 @@ def named_bands(rows: DataFrame, ratios=(0.25, 0.5, 1.0, 2.0, 3.0)) -> DataFrame
                     , F.coalesce(F.col("low") > F.col("cost_ratio") / (1 + F.col("cost_ratio")), F.lit(False)).alias("named"))
 
 
-def outside_bands(df: DataFrame, cuts: list[float], city: list[float], rules: Rules = RULES) -> DataFrame:
-    """Bands outside the city only when the same cuts hold there too (BD10)."""
-    ok = bool(city) and validated_cuts(df.where("district is null"), city, rules) == city
-    return df if ok else df.withColumn("band", F.when(F.col("district").isNotNull(), F.col("band")))
+def outside_bands(df: DataFrame, city: DataFrame, most: int, rules: Rules = RULES) -> DataFrame:
+    """Bands outside the city only when all of the city's validated cuts (a row of ``cuts``) hold there too (BD10)."""
+    there = validated_cuts(df.where("district is null"), city, most, rules)
+    ok = with_scalars(city, there.select(F.col("cuts").alias("_there"))).select(((F.size("cuts") > 0) & (F.col("cuts") == F.col("_there"))).alias("_ok"))
+    named = with_scalars(df, ok)
+    return named.withColumn("band", F.when(F.col("_ok") | F.col("district").isNotNull(), F.col("band"))).drop("_ok")
 
 
 def interim_rates(df: DataFrame, days: tuple[int, ...] = RULES.interim_days) -> DataFrame:

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from . import boost, newton
@@ -176,13 +177,17 @@ def monotone_breaks(scored: DataFrame, feature: str, p: str = "p", bins: int = 1
     return g.withColumn("falls", F.col("mean_p") < F.lag("mean_p").over(W.orderBy("value")))
 
 
-def recalibration(scored: DataFrame, p: str = "p", y: str = "y") -> tuple[float, float]:
-    """Slope and intercept of the labels on the log odds (ML11)."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    d = scored.select(log_odds(F.col(p)).alias("z"), F.col(y).cast("double").alias("label"))
-    m = LogisticRegression(regParam=1e-9, maxIter=200, tol=1e-9).fit(VectorAssembler(inputCols=["z"], outputCol="features").transform(d))
-    return float(m.coefficients[0]), float(m.intercept)
+def recalibration(scored: DataFrame, p: str = "p", y: str = "y", steps: int = 30) -> tuple[float, float]:
+    """Slope and intercept of the labels on the log odds (ML11), by Newton steps over distinct log odds."""
+    packs = newton.packed_vectors(scored.select(log_odds(F.col(p)).alias("z"), y, F.lit(1.0).alias("weight")), ["z"], y)
+    at = np.zeros((1, 2))
+    for _ in range(steps):
+        _, gradient, hessian = newton.sums_over(packs, 1, 1, np.zeros(1, int), at)
+        step = np.linalg.lstsq(hessian[0], gradient[0], rcond=None)[0]
+        at = at - step
+        if np.abs(step).max() < 1e-12:
+            break
+    return float(at[0, 1]), float(at[0, 0])
 
 
 def point_tries(names: list[str], unit: list[float], multipliers: int = 320, rules: Rules = RULES) -> list[list[int]]:

@@ -82,10 +82,55 @@ def bd4_counts(t: Tables):
     return bd.band_counts(origin(t, ORIGINS), CUTS)
 
 
-@query("bd4_validated_cuts")
+def _validation(name: str, counts: str, cuts: int = 3, z: float = RULES.band_z) -> str:
+    """The merging of bands in SQL, a turn per cut: ``{name}_map`` gives each band's group in the end."""
+    out = f"""
+{name}_grid AS MATERIALIZED (SELECT a.as_of, b.band, coalesce(c.k, 0) AS k, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT as_of FROM {counts}) a CROSS JOIN range(1, {cuts + 2}) b(band) LEFT JOIN {counts} c ON c.as_of = a.as_of AND c.band = b.band),
+{name}_m0 AS (SELECT band, band AS g FROM range(1, {cuts + 2}) b(band)),"""
+    for j in range(cuts):
+        out += f"""
+{name}_c{j} AS (SELECT as_of, g, sum(k)::DOUBLE AS k, sum(n)::DOUBLE AS n FROM {name}_grid JOIN {name}_m{j} USING (band) GROUP BY 1, 2),
+{name}_p{j} AS (SELECT h.g, bool_and(coalesce(h.k / nullif(h.n, 0) > l.k / nullif(l.n, 0), FALSE)) AS above, sum(h.k) / nullif(sum(h.n), 0) AS ph, sum(l.k) / nullif(sum(l.n), 0) AS pl, sum(h.n) / count(*) AS nh, sum(l.n) / count(*) AS nl
+ FROM {name}_c{j} h JOIN {name}_c{j} l ON l.as_of = h.as_of AND l.g = h.g + 1 GROUP BY h.g),
+{name}_b{j} AS (SELECT coalesce(min(g) FILTER (NOT coalesce(above AND sqrt(ph * (1 - ph) / nh + pl * (1 - pl) / nl) > 0 AND (ph - pl) / sqrt(ph * (1 - ph) / nh + pl * (1 - pl) / nl) >= {z}, FALSE)), 99) AS b FROM {name}_p{j}),
+{name}_m{j + 1} AS (SELECT band, CASE WHEN g > b THEN g - 1 ELSE g END AS g FROM {name}_m{j}, {name}_b{j}),"""
+    return out + f"""
+{name}_map AS (SELECT a.band, a.g < b.g AS kept FROM {name}_m{cuts} a JOIN {name}_m{cuts} b ON b.band = a.band + 1)"""
+
+
+_BANDED = f"CASE {' '.join(f'WHEN points >= {c} THEN {i + 1}' for i, c in enumerate(CUTS))} ELSE {len(CUTS) + 1} END"
+_CITY = f""", cc AS (SELECT as_of, {_BANDED} AS band, sum(y) AS k, count(*) AS n FROM o WHERE eligible AND y IS NOT NULL AND district IS NOT NULL GROUP BY 1, 2),""" + _validation("city", "cc")
+_TRUE_CUTS = ", ".join(f"({i + 1}, {c}::DOUBLE)" for i, c in enumerate(CUTS))
+
+
+def _cuts(t: Tables):
+    return t.spark.createDataFrame([(CUTS,)], "cuts array<double>")
+
+
+@query("bd4_validated_cuts", f"SELECT v.band, v.cut, CAST(m.kept AS INT) AS kept FROM (VALUES {_TRUE_CUTS}) v(band, cut) JOIN city_map m ON m.band = v.band", ORIGINS_CTE + _CITY)
 def bd4(t: Tables):
-    kept = bd.validated_cuts(origin(t, ORIGINS).where("district is not null"), CUTS, RULES)
-    return t.spark.createDataFrame([(i + 1, c, c in kept) for i, c in enumerate(CUTS)], "band int, cut double, kept boolean")
+    kept = bd.validated_cuts(origin(t, ORIGINS).where("district is not null"), _cuts(t), len(CUTS), RULES)
+    each = F.posexplode(F.array(*[F.lit(c) for c in CUTS])).alias("i", "cut")
+    return kept.select("cuts", each).select((F.col("i") + 1).alias("band"), "cut", F.array_contains("cuts", F.col("cut")).alias("kept"))
+
+
+# Months of the record pooled, by year: enough labelled places for every split to be tried, some of them real.
+_YEARS = f", yy AS (SELECT year(as_of) AS as_of, {_BANDED} AS band, sum(y) AS k, count(*) AS n FROM o WHERE eligible AND y IS NOT NULL GROUP BY 1, 2)," + _validation("yrs", "yy")
+EVERY_MONTH = snap_ctes("SELECT CAST(d AS DATE) AS as_of FROM range(DATE '1996-02-01', DATE '2000-07-01' + 1, INTERVAL 1 MONTH) r(d)") + (
+    f", o AS (SELECT *, avg_deficit AS points, rated_2y >= 2 AS eligible, {_BAND} AS band, closures_read > 0 AS closure_read, CASE WHEN district IS NULL THEN 'outside' ELSE 'city' END AS side FROM fr WHERE kind = 'restaurant')")
+
+
+def every_month(t: Tables):
+    return origin(t, sn.month_starts("1996-02-01", "2000-07-01")).withColumns(
+        {"closure_read": F.col("closures_read") > 0, "side": F.when(F.col("district").isNull(), "outside").otherwise("city")})
+
+
+@query("bd4_validated_cuts_by_year", f"SELECT v.band, v.cut, CAST(m.kept AS INT) AS kept FROM (VALUES {_TRUE_CUTS}) v(band, cut) JOIN yrs_map m ON m.band = v.band", EVERY_MONTH + _YEARS)
+def bd4_years(t: Tables):
+    rows = every_month(t).withColumn("as_of", F.year("as_of"))
+    kept = bd.validated_cuts(rows, _cuts(t), len(CUTS), RULES)
+    each = F.posexplode(F.array(*[F.lit(c) for c in CUTS])).alias("i", "cut")
+    return kept.select("cuts", each).select((F.col("i") + 1).alias("band"), "cut", F.array_contains("cuts", F.col("cut")).alias("kept"))
 
 
 _GROUPS = """, hist AS (SELECT CAST(points AS INT) AS p, count(*) AS n, sum(y) AS k, row_number() OVER (ORDER BY points DESC) AS i FROM o WHERE eligible AND y IS NOT NULL GROUP BY points),
@@ -131,26 +176,43 @@ def bd6_bins(t: Tables):
     return _r(bd.curve_bins(origin(t)), "rate")
 
 
-_RAWCURVE = ", curve AS (SELECT closure_read, min(points)::INT AS lo, max(points)::INT AS hi, avg(y) AS rate FROM (SELECT points, y, closures_read > 0 AS closure_read, least(floor(points / 6), 2) AS g FROM o WHERE eligible AND y IS NOT NULL) GROUP BY closure_read, g)"
+def _curves(src: str, keys: list[str], min_n: int = RULES.curve_min) -> str:
+    """Groups of points from the top and their monotone rates, by key: CTE ``curve`` with ``lo, hi, n, k, rate``."""
+    k = ", ".join(keys)
+    same = lambda a, b: " AND ".join(f"{a}.{x} = {b}.{x}" for x in keys)
+    return f""", ch AS MATERIALIZED (SELECT {k}, CAST(points AS INT) AS p, count(*) AS n, sum(y) AS k, row_number() OVER (PARTITION BY {k} ORDER BY points DESC) AS i FROM {src} WHERE eligible AND y IS NOT NULL GROUP BY {k}, points),
+cw AS (SELECT {k}, i, p, n, k, 1 AS g, n AS run FROM ch WHERE i = 1 UNION ALL
+ SELECT {', '.join('h.' + x for x in keys)}, h.i, h.p, h.n, h.k, CASE WHEN w.run >= {min_n} THEN w.g + 1 ELSE w.g END, CASE WHEN w.run >= {min_n} THEN h.n ELSE w.run + h.n END FROM cw w JOIN ch h ON h.i = w.i + 1 AND {same('h', 'w')}),
+cg AS (SELECT {k}, g, min(p) AS lo, max(p) AS hi, sum(n) AS n, sum(k) AS k FROM cw GROUP BY {k}, g),
+cj AS MATERIALIZED (SELECT {k}, min(lo) AS lo, max(hi) AS hi, CAST(sum(n) AS BIGINT) AS n, CAST(sum(k) AS BIGINT) AS k FROM (SELECT *, CASE WHEN g > 1 AND n < {min_n} THEN g - 1 ELSE g END AS gg FROM cg) GROUP BY {k}, gg),
+cm AS MATERIALIZED (SELECT {', '.join('a.' + x for x in keys)}, a.lo AS alo, b.lo AS blo, sum(x.k) / CAST(sum(x.n) AS DOUBLE) AS m FROM cj a JOIN cj b ON {same('a', 'b')} AND b.lo >= a.lo JOIN cj x ON {same('x', 'a')} AND x.lo BETWEEN a.lo AND b.lo GROUP BY {', '.join('a.' + x for x in keys)}, a.lo, b.lo),
+curve AS MATERIALIZED (SELECT {k}, lo, hi, n, k, max(m) AS rate FROM (SELECT {', '.join('g.' + x for x in keys)}, g.lo, g.hi, g.n, g.k, c.alo, min(c.m) AS m FROM cj g JOIN cm c ON {same('c', 'g')} AND c.alo <= g.lo AND c.blo >= g.lo GROUP BY ALL) GROUP BY {k}, lo, hi, n, k)"""
+
+
+_BY_ROUTE = EVERY_MONTH + _curves("o", ["side", "closure_read"])
+
 
+@query("bd5_curve_groups_by_area", "SELECT side, CAST(closure_read AS INT) AS closure_read, lo, hi, n, k FROM cj", _BY_ROUTE)
+def bd5_area(t: Tables):
+    g = bd.curve_groups(every_month(t), RULES.curve_min, ["side", "closure_read"])
+    return g.select("side", "closure_read", F.explode("groups").alias("g")).select("side", "closure_read", "g.*")
 
-def raw_curve(o):
-    lab = o.where("eligible and y is not null").withColumn("closure_read", F.col("closures_read") > 0)
-    g = F.least(F.floor(F.col("points") / 6), F.lit(2))
-    c = lab.groupBy("closure_read", g.alias("g")).agg(F.min("points").cast("int").alias("lo"), F.max("points").cast("int").alias("hi"), F.avg("y").alias("rate"))
-    return c.select("closure_read", "lo", "hi", "rate", F.col("rate").alias("low"), F.col("rate").alias("high"))
 
+_READ = """round(coalesce((SELECT arg_max(rate, lo) FROM curve c WHERE c.side = {0}.side AND c.closure_read = {0}.closure_read AND c.lo <= {0}.points),
+ (SELECT arg_min(rate, lo) FROM curve c WHERE c.side = {0}.side AND c.closure_read = {0}.closure_read)), 6) + 0.0"""
 
-@query("bd7_estimates", """SELECT business_id, round(coalesce((SELECT arg_max(rate, lo) FROM curve c WHERE c.closure_read = (o.closures_read > 0) AND c.lo <= o.points), (SELECT arg_min(rate, lo) FROM curve c WHERE c.closure_read = (o.closures_read > 0))), 6) + 0.0 AS est_rate FROM o""",
-       ORIGIN_CTE + _RAWCURVE)
+
+@query("bd7_estimates", f"SELECT business_id, {_READ.format('o')} AS est_rate FROM o WHERE as_of = DATE '{ORIGIN}'", _BY_ROUTE)
 def bd7(t: Tables):
-    o = origin(t).withColumn("closure_read", F.col("closures_read") > 0)
-    return _r(bd.estimates(o, raw_curve(o), ["closure_read"]).select("business_id", "est_rate"), "est_rate")
+    rows, by = every_month(t), ["side", "closure_read"]
+    curve = bd.risk_curve(rows, "address", 1, RULES.curve_min, keys=by)
+    return _r(bd.estimates(rows.where(F.col("as_of") == ORIGIN), curve, by).select("business_id", "est_rate"), "est_rate")
 
 
-@query("bd8_curves_by_route", "SELECT CAST(closure_read AS INT) AS closure_read, lo, hi, round(rate, 6) + 0.0 AS rate FROM curve", ORIGIN_CTE + _RAWCURVE)
+@query("bd8_curves_by_route", "SELECT side, CAST(closure_read AS INT) AS closure_read, lo, hi, n AS labelled, k AS positives, round(rate, 6) + 0.0 AS rate FROM curve", _BY_ROUTE)
 def bd8(t: Tables):
-    return _r(raw_curve(origin(t)).drop("low", "high"), "rate")
+    c = bd.risk_curve(every_month(t), "address", REPS, RULES.curve_min, keys=["side", "closure_read"])
+    return _r(c.select("side", "closure_read", "lo", "hi", "labelled", "positives", "rate"), "rate")
 
 
 @query("bd9_named_bands", f"""SELECT cost_ratio, band, round(cost_ratio / (1 + cost_ratio), 6) + 0.0 AS bar, CAST(coalesce(low > cost_ratio / (1 + cost_ratio), FALSE) AS INT) AS named FROM (
@@ -159,11 +221,18 @@ def bd9(t: Tables):
     return _r(bd.named_bands(bd.band_table(origin(t))), "bar")
 
 
-@query("bd10_outside_bands")
+_OUT = _CITY + f""", oc0 AS (SELECT as_of, {_BANDED} AS band, y FROM o WHERE eligible AND y IS NOT NULL AND district IS NULL),
+oc AS (SELECT as_of, g AS band, sum(y) AS k, count(*) AS n FROM oc0 JOIN city_m3 USING (band) GROUP BY 1, 2),""" + _validation("out", "oc") + """,
+okay AS (SELECT (SELECT count(*) FROM city_map WHERE kept) AS held, (SELECT count(*) FROM out_map WHERE kept) AS there)"""
+
+
+@query("bd10_outside_bands", f"""SELECT CASE WHEN (held > 0 AND held = there) OR district IS NOT NULL THEN o.band END AS band, CAST(district IS NULL AS INT) AS outside, count(*) AS n
+FROM o, okay WHERE as_of = DATE '{ORIGIN}' GROUP BY 1, 2""", ORIGINS_CTE + _OUT)
 def bd10(t: Tables):
     f = origin(t, ORIGINS)
-    city = bd.validated_cuts(f.where("district is not null"), CUTS, RULES)
-    return bd.outside_bands(f.where(F.col("as_of") == ORIGIN), CUTS, city, RULES).groupBy("band", F.col("district").isNull().alias("outside")).agg(F.count("*").alias("n"))
+    city = cut(bd.validated_cuts(f.where("district is not null"), _cuts(t), len(CUTS), RULES))
+    named = bd.outside_bands(f, city, len(CUTS), RULES)
+    return named.where(F.col("as_of") == ORIGIN).groupBy("band", F.col("district").isNull().alias("outside")).agg(F.count("*").alias("n"))
 
 
 _AUDIT = """, audit AS (SELECT district, count(*) AS candidates, count(y) AS labelled, count(*) FILTER (nm) AS named, count(*) FILTER (nm AND y = 1) AS named_positive, count(*) FILTER (nm AND y = 0) AS false_named,
@@ -216,28 +285,30 @@ def ag16_bound(t: Tables):
     return _r(r.select("b", "e", m).select("missing", ((1 - F.col("missing")) * F.col("b") + F.col("missing") * F.col("e")).alias("band_1_rate")), "band_1_rate")
 
 
-@query("ag17_missing_closers", """SELECT round((SELECT avg(c) FROM (SELECT rep, sum(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (0.2::DOUBLE * an - (e - n)) / n)) * pos) / max(ap) AS c FROM (
+def _closers(ordering: str, share: float, reps: int = 20) -> str:
+    """Capture with more rows like the expired ones, and with all of them last, for one ordering and share."""
+    ex = f"CAST(round({share}::DOUBLE * (SELECT count(*) FROM scored)) AS BIGINT)"
+    return f"""SELECT '{ordering}' AS ordering, {share}::DOUBLE AS share, round((SELECT avg(c) FROM (SELECT rep, sum(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (0.2::DOUBLE * an - (e - n)) / n)) * pos) / max(ap) AS c FROM (
  SELECT *, sum(n) OVER (PARTITION BY rep ORDER BY score DESC) AS e, sum(n) OVER (PARTITION BY rep) AS an, sum(pos) OVER (PARTITION BY rep) AS ap FROM (SELECT rep, score, sum(n) AS n, sum(pos) AS pos FROM (
-  SELECT r.rep, rule AS score, 1 AS n, y AS pos FROM scored, range(0, 5) r(rep) UNION ALL SELECT rep, rule, 1, y FROM drawn JOIN pool USING (code)) GROUP BY 1, 2)) GROUP BY rep)), 6) + 0.0 AS like_group,
- round((SELECT sum(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (0.2::DOUBLE * (tn + ex) - (e - n)) / n)) * pos) / (max(tp) + max(rate) * max(ex)) FROM (SELECT rule, count(*) AS n, sum(y) AS pos, sum(count(*)) OVER (ORDER BY rule DESC) AS e FROM scored GROUP BY rule), (SELECT count(*) AS tn, sum(y) AS tp FROM scored), (SELECT avg(y) AS rate FROM pool), ex), 6) + 0.0 AS worst""",
-       SCORED + """, pool AS (SELECT record_id, rule, y, row_number() OVER (ORDER BY record_id) - 1 AS code, count(*) OVER () AS nc FROM scored WHERE permit_status = 'Expired'),
-ex AS (SELECT CAST(round(0.1::DOUBLE * count(*)) AS BIGINT) AS ex FROM scored),
-drawn AS (SELECT i // ex AS rep, CAST(('0x' || substr(md5('1:' || i), 1, 8)) AS BIGINT) % nc AS code FROM (SELECT max(nc) AS nc FROM pool), ex, range(0, 5 * (SELECT ex FROM ex)) r(i))""")
-def ag17(t: Tables):
-    d = t.scored.select("record_id", F.col("rule").alias("score"), "y", "permit_status")
-    return _r(rk.with_resampled(d, F.col("permit_status") == "Expired", 0.1, 5), "like_group", "worst")
+  SELECT r.rep, {ordering} AS score, 1 AS n, y AS pos FROM scored, range(0, {reps}) r(rep) UNION ALL SELECT rep, {ordering}, 1, y FROM (
+   SELECT i // {ex} AS rep, CAST(('0x' || substr(md5('1:' || i), 1, 8)) AS BIGINT) % (SELECT max(nc) FROM pool) AS code FROM range(0, {reps} * {ex}) r(i)) JOIN pool USING (code)) GROUP BY 1, 2)) GROUP BY rep)), 6) + 0.0 AS like_group,
+ round((SELECT sum(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (0.2::DOUBLE * (tn + {ex}) - (e - n)) / n)) * pos) / (max(tp) + max(rate) * {ex}) FROM (SELECT {ordering}, count(*) AS n, sum(y) AS pos, sum(count(*)) OVER (ORDER BY {ordering} DESC) AS e FROM scored GROUP BY {ordering}), (SELECT count(*) AS tn, sum(y) AS tp FROM scored), (SELECT avg(y) AS rate FROM pool)), 6) + 0.0 AS worst"""
+
+
+CLOSER_SHARES, CLOSER_ORDERS = (0.05, 0.1, 0.2), ("risk", "rule", "pers")
 
 
-@query("ag17_missing_closers_by_share")
+@query("ag17_missing_closers_by_share", " UNION ALL ".join(_closers(o, s) for o in CLOSER_ORDERS for s in CLOSER_SHARES),
+       SCORED + ", pool AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY record_id) - 1 AS code, count(*) OVER () AS nc FROM scored WHERE permit_status = 'Expired')")
 def ag17_shares(t: Tables):
     """Twenty draws at each share for three orderings: the model (here its stand-in ``risk``), the rule and persistence."""
     from functools import reduce
 
     from pyspark.sql import DataFrame
     out = []
-    for ordering in ("risk", "rule", "pers"):
+    for ordering in CLOSER_ORDERS:
         d = t.scored.select("record_id", F.col(ordering).alias("score"), "y", "permit_status")
-        for share in (0.05, 0.1, 0.2):
+        for share in CLOSER_SHARES:
             r = rk.with_resampled(d, F.col("permit_status") == "Expired", share, 20)
             out.append(r.select(F.lit(ordering).alias("ordering"), F.lit(share).alias("share"), "like_group", "worst"))
     return _r(reduce(DataFrame.unionByName, out), "like_group", "worst")
@@ -317,14 +388,15 @@ def bd13_auc(t: Tables):
     return _r(a.select("run", "arm", "auc"), "auc")
 
 
-_CURVE_O = f", o AS (SELECT *, avg_deficit AS points, TRUE AS eligible FROM fr WHERE kind = 'restaurant' AND rated_2y >= 2 AND as_of = DATE '{LISTS[0]}')" + _RAWCURVE
+_CURVE_O = f", o AS (SELECT *, avg_deficit AS points, TRUE AS eligible FROM fr WHERE kind = 'restaurant' AND rated_2y >= 2 AND as_of = DATE '{LISTS[0]}'), oq AS (SELECT *, closures_read > 0 AS closure_read FROM o)" + _curves("oq", ["closure_read"])
 
 
 @query("bd13_observed_over_expected", """SELECT run, area, CAST(sum(y) AS BIGINT) AS observed, round(sum(est), 6) + 0.0 AS expected, round(sum(y) / sum(est), 6) + 0.0 AS ratio FROM (SELECT mon.*, coalesce((SELECT arg_max(rate, lo) FROM curve c WHERE c.closure_read = (mon.closures_read > 0) AND c.lo <= mon.points),
  (SELECT arg_min(rate, lo) FROM curve c WHERE c.closure_read = (mon.closures_read > 0))) AS est FROM mon WHERE win = 365 AND y IS NOT NULL) WHERE est IS NOT NULL GROUP BY 1, 2""", _MON + _CURVE_O)
 def bd13_oe(t: Tables):
     first = sn.frame(snaps(t, LISTS[:1]), t.located, F.col("kind") == "restaurant", labelled=False).where(sn.eligible())
-    curve = raw_curve(first.withColumns({"points": F.col("avg_deficit"), "eligible": F.lit(True)}))
+    first = first.withColumns({"points": F.col("avg_deficit"), "eligible": F.lit(True), "closure_read": F.col("closures_read") > 0})
+    curve = bd.risk_curve(first, "address", 1, RULES.curve_min, keys=["closure_read"])
     m = monitored(t).withColumn("closure_read", F.col("closures_read") > 0)
     return _r(mo.observed_over_expected(bd.estimates(m, curve, ["closure_read"])), "expected", "ratio")
 

@@ -360,7 +360,8 @@ def j13(t: Tables):
     return joins.disagreements(t.places.select("business_id", "name", "address"), detail, "business_id", ["name", "address"])
 
 
-@query("j14_align_arms", """SELECT a.record_id, a.last_score AS score_a, b.last_rated AS score_b FROM since a JOIN since b USING (business_id, record_id) WHERE a.visit_type = 'routine'""", _SINCE)
+@query("j14_align_arms", """SELECT record_id, score_a, score_b FROM a JOIN b USING (record_id)""", _SINCE + """, a AS MATERIALIZED (SELECT record_id, last_score AS score_a FROM since WHERE visit_type = 'routine'),
+b AS MATERIALIZED (SELECT record_id, last_rated AS score_b FROM since WHERE visit_type = 'routine')""")
 def j14(t: Tables):
     f = h.since_start(t.research).where("visit_type = 'routine'")
     return joins.align_arms(f.select("record_id", F.col("last_score").alias("score_a")), f.select("record_id", F.col("last_rated").alias("score_b")), "record_id")

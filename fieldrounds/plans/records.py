@@ -173,11 +173,6 @@ def ag1_summary(t: Tables):
     return _r(ag.cadence_summary(ag.cadence(t.research, t.places.select("business_id", "business_type"))), "corr", "median_per_year")
 
 
-@query("ag2_gap_by_type", "SELECT business_type, count(*) AS n, median(next_gap) AS median_gap FROM rt WHERE next_gap IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3", _INTERVAL)
-def ag2(t: Tables):
-    return ag.gap_by_top_types(routines(t), 3)
-
-
 @query("ag2_gap_by_common_types", "SELECT business_type, count(*) AS n, median(next_gap) AS median_gap FROM rt WHERE next_gap IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8", _INTERVAL)
 def ag2_common(t: Tables):
     return ag.gap_by_top_types(routines(t))

@@ -1,10 +1,12 @@
 """Cuts, validation, curves and the count score."""
 import random
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from fieldrounds.operators import bands as bd, models as md
+from fieldrounds.rules import RULES
 
 
 def pav(rates, weights):
@@ -87,3 +89,43 @@ def test_rule_selection_prefers_the_sparse_rule(spark):
     assert tuple(md.select_rule(m).first()) == ("average score", True, 1)
     worse = spark.createDataFrame([(o, m_, a + (0.05 if m_ == "boosted" else 0)) for o, m_, a in rows], "origin string, model string, auc double")
     assert tuple(md.select_rule(worse).first()) == ("average score", False, 2)
+
+
+def test_the_fold_validates_as_the_plain_walk_does(spark):
+    rules, cuts = replace(RULES, band_z=0.5), [14.0, 11.0, 9.0]
+    rng = random.Random(5)
+    planted = [
+        {"o1": [(6, 10), (4, 10), (2, 10), (1, 10)], "o2": [(7, 10), (5, 10), (3, 10), (0, 10)]},                # all real
+        {"o1": [(2, 10), (6, 10), (7, 10), (1, 10)], "o2": [(2, 10), (6, 10), (7, 10), (1, 10)]},                # merges twice
+        {"o1": [(5, 10), (5, 10), (5, 10), (5, 10)], "o2": [(5, 10), (5, 10), (5, 10), (5, 10)]},                # nothing is left
+        {"o1": [(0, 0), (6, 10), (3, 10), (1, 10)], "o2": [(3, 3), (6, 10), (3, 10), (1, 10)]},                  # a band is empty at one origin
+        *[{o: [(rng.randint(0, 8), 8) for _ in range(4)] for o in ("o1", "o2", "o3")} for _ in range(6)]]
+    left = []
+    for table in planted:
+        rows = [(o, p, int(i < k), True) for o, bands in table.items() for (k, n), p in zip(bands, (15.0, 12.0, 10.0, 1.0)) for i in range(n)]
+        df = spark.createDataFrame(rows, "as_of string, points double, y int, eligible boolean")
+        got = bd.validated_cuts(df, spark.createDataFrame([(cuts,)], "cuts array<double>"), 3, rules).first().cuts
+        counts = [(o, "rest" if i == 3 else str(i + 1), k, n) for o, bands in table.items() for i, (k, n) in enumerate(bands) if n]
+        assert got == bd.validate_cuts(counts, cuts, rules.band_z)
+        left.append(len(got))
+    assert left[:3] == [3, 1, 0]
+
+
+def test_outside_bands_need_every_cut_to_hold_there(spark):
+    city, rules = spark.createDataFrame([([14.0],)], "cuts array<double>"), replace(RULES, band_z=0.5)
+    for outside, held in (((1, 6), False), ((6, 1), True)):
+        rows = [("o1", where, p, int(i < k), True, b) for where, ks in (("c", (6, 1)), (None, outside)) for p, k, b in zip((15.0, 1.0), ks, ("1", None)) for i in range(10)]
+        df = spark.createDataFrame(rows, "as_of string, district string, points double, y int, eligible boolean, band string")
+        got = {(r.district, r.band) for r in bd.outside_bands(df, city, 1, rules).collect()}
+        assert got == {("c", "1"), ("c", None), (None, None)} | ({(None, "1")} if held else set())
+
+
+def test_curves_by_key_are_those_of_each_key_alone(spark):
+    rng = np.random.default_rng(7)
+    rows = [(f"a{i % 90}", bool(i % 3 == 0), float(rng.integers(0, 12)), int(rng.random() < 0.3), True) for i in range(900)]
+    df = spark.createDataFrame(rows, "address string, closure_read boolean, points double, y int, eligible boolean")
+    both = bd.risk_curve(df, "address", 20, 40, keys=["closure_read"]).collect()
+    assert len(both) >= 6
+    for read in (True, False):
+        alone = bd.risk_curve(df.where(F.col("closure_read") == read), "address", 20, 40).collect()
+        assert sorted(tuple(r)[1:] for r in both if r.closure_read == read) == sorted(tuple(r) for r in alone)
