@@ -6,6 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..session import stored
 from . import chat, decontaminate, jaccard, lexical, licences, mixing, quality, runs, secrets, tokens, topk, toxicity, warc
 from .common import id_remainder, let, table
 
@@ -127,7 +128,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     folder = warc.new_folder(spark)
     manifest = warc.write(pages, folder, warc.build_dictionary(pages))
-    return warc.read(manifest, folder, with_payload=False).drop("payload")
+    return warc.check_revisits(stored(warc.read(manifest, folder, with_payload=False).drop("payload"), "records"))
 
 
 @query("op7_decontaminate")

@@ -6,14 +6,17 @@ Tasks write files under the shared folder through the file system of its address
 attempt uses; only files that a finished task reports are in the manifest, so a lost task leaves no half archive in it.
 
 Equal payloads (by SHA-256) of at least ``least`` bytes are stored once: the record with the smallest page id is the
-response, others are revisits that name it and carry length and digest of the full payload.
+response, others are revisits that name it and carry length and digest of the full payload. Reading takes length and digest of a response from the payload
+that was read, and fails if the record's head says otherwise; ``check_revisits`` compares revisits with the responses they name.
 
 Cases: a null html is an empty payload; a null url leaves out the target header; a null page id is written as ``none``, is never
 the one referred to while its group has another id, and reads back as null. Rows that repeat the smallest id are each a response. An
-empty table gives no record. Only the named columns are read.
+empty table gives no record. Only the named columns are read. A very long html needs the memory of one record, packed and unpacked, in a task.
 """
 from __future__ import annotations
 
+import base64
+import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
@@ -82,23 +85,49 @@ def parse_record(raw: bytes) -> tuple:
     n = int(h["Content-Length"])
     if rest[n:] != b"\r\n\r\n":
         raise ValueError("a record's length and content differ")
-    return (number("WARC-Record-ID"), int(h["X-Payload-Length"]), h["WARC-Payload-Digest"][len("sha1:"):], h["WARC-Type"],
-            number("WARC-Refers-To"), rest[:n])
+    body, digest, refers_to = rest[:n], h["WARC-Payload-Digest"][len("sha1:"):], number("WARC-Refers-To")
+    size = int(h["X-Payload-Length"])
+    if h["WARC-Type"] == "response":
+        size, told = len(body), size
+        digest, said = base64.b32encode(hashlib.sha1(body).digest()).decode(), digest
+        if (size, digest) != (told, said):
+            raise ValueError(f"the payload of {h['WARC-Record-ID']} is not the one that was archived")
+    elif body:
+        raise ValueError(f"{h['WARC-Record-ID']} is a revisit and has a payload")
+    return number("WARC-Record-ID"), size, digest, h["WARC-Type"], refers_to, body
+
+
+def check_revisits(records: DataFrame) -> DataFrame:
+    """``records`` (as read), after a look whether every revisit names a response with its length and digest; raises if one does not.
+
+    What revisits say of one response is first made distinct, so that a page that most others repeat is one row.
+    """
+    c = F.col
+    said = records.where("record_type = 'revisit'").groupBy("refers_to", "payload_bytes", "payload_digest").agg(F.count("*").alias("n"))
+    there = records.where("record_type = 'response'").select(c("page_id").alias("_id"), c("payload_bytes").alias("_bytes"), c("payload_digest").alias("_digest")).distinct()
+    same = c("refers_to").eqNullSafe(c("_id")) & (c("payload_bytes") == c("_bytes")) & (c("payload_digest") == c("_digest"))
+    wrong = said.join(there, same, "left_anti").limit(1).collect()
+    if wrong:
+        raise ValueError(f"a revisit of page {wrong[0]['refers_to']} is not of the payload archived there")
+    return records
 
 
 def build_dictionary(pages: DataFrame) -> bytes:
-    """A dictionary from at most ``SAMPLE_RECORDS`` payload beginnings, first in a seeded order; empty if too few to build one.
+    """A dictionary from at most ``SAMPLE_RECORDS`` payload beginnings, first in a seeded order.
 
-    It only shapes the compression; every payload is archived whole.
+    It only shapes the compression; every payload is archived whole. Where the samples are too few to train one, it is their text itself behind the
+    head that all records share, so that every archive has a dictionary.
     """
     import zstandard
 
     rows = (pages.select(F.substring(F.encode(F.coalesce("html", F.lit("")), "UTF-8"), 1, SAMPLE_BYTES).alias("p"), F.xxhash64("page_id").alias("h"))
             .where(lowest_part(F.col("h"), SAMPLE_RECORDS, pages.count())).orderBy("h", "p").limit(SAMPLE_RECORDS).collect())
     samples = [bytes(r["p"]) for r in rows if r["p"]]
-    if len(samples) < 8 or sum(map(len, samples)) < 4 * DICT_BYTES:
-        return b""
-    return zstandard.train_dictionary(DICT_BYTES, samples, level=3).as_bytes()
+    head = record_bytes(0, "http://", b"", "", None)
+    try:
+        return zstandard.train_dictionary(DICT_BYTES, samples, level=3).as_bytes() if len(samples) >= 8 else b"".join([*samples, head])[-DICT_BYTES:]
+    except zstandard.ZstdError:                  # samples too short or too alike to train on
+        return b"".join([*samples, head])[-DICT_BYTES:]
 
 
 def write(pages: DataFrame, folder: str, dictionary: bytes, least: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:

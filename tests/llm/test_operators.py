@@ -216,6 +216,32 @@ def test_warc_round_trip(spark):
     assert warc.write(pages.limit(0), folder, b"").count() == 0
 
 
+def test_archives_are_checked_when_they_are_read(spark):
+    raw = warc.record_bytes(1, "http://a", b"hello", "VL2MMHO4YXUKFWV63YHTWSBM3GXKSQ2N", None)      # base32 of sha1("hello")
+    assert warc.parse_record(raw) == (1, 5, "VL2MMHO4YXUKFWV63YHTWSBM3GXKSQ2N", "response", None, b"hello")
+    for wrong in (raw.replace(b"hello", b"jello"), raw.replace(b"X-Payload-Length: 5", b"X-Payload-Length: 6")):
+        with pytest.raises(ValueError):
+            warc.parse_record(wrong)
+    shape = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    good = [(1, 5, "A", "response", None), (2, 5, "A", "revisit", 1), (3, 5, "A", "revisit", 1), (4, 5, "B", "response", None)]
+    assert warc.check_revisits(spark.createDataFrame(good, shape)).count() == 4
+    for row in ((5, 5, "B", "revisit", 1), (5, 6, "A", "revisit", 1), (5, 5, "A", "revisit", 2)):
+        with pytest.raises(ValueError):
+            warc.check_revisits(spark.createDataFrame([*good, row], shape))
+
+
+@pytest.mark.parametrize("html", [["<p>one</p>"], [None, ""], [f"<html>{i}</html>" * 40 for i in range(30)]])
+def test_every_archive_begins_with_a_dictionary(spark, html):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    made, folder = warc.build_dictionary(pages), warc.new_folder(spark)
+    manifest = warc.write(pages, folder, made)
+    for r in manifest.collect():
+        start = Path(r["path"]).read_bytes()[:8 + len(made)]
+        assert made and start[:4] == (warc.MAGIC).to_bytes(4, "little") and start[8:] == made
+    got = {r["page_id"]: bytes(r["payload"]) for r in warc.read(manifest, folder).where("record_type = 'response'").collect()}
+    assert all(got[i] == (h or "").encode() for i, h in enumerate(html) if i in got) and 0 in got
+
+
 def test_warc_dictionary_leads_the_file(spark):
     pages = spark.createDataFrame([(i, "u", "common words in every page " * 30 + hashlib.md5(str(i).encode()).hexdigest() * 9) for i in range(900)],
                                   "page_id long, url string, html string")
