@@ -105,3 +105,34 @@ def share_ratios(df: DataFrame, key: str, group: str, wrong: Column, labelled: C
     # Widening is monotone, so the widened percentile is the percentile widened.
     return g.select(group, F.element_at("q", 1).alias("low"), F.element_at("q", 2).alias("high"), low.alias("family_low"),
                     high.alias("family_high"), widened(low, mid, deff).alias("deff_low"), widened(high, mid, deff).alias("deff_high"))
+
+
+def arm_cube(armed: DataFrame, area: str, group: str, reps: int = 1000, seed: int = 0) -> DataFrame:
+    """Sums by replicate, group and arm, whole areas drawn (BS6): rows, positives, flagged, flagged positives, days sooner of positives.
+
+    ``armed`` has a row per record and arm with ``y, flag, days_earlier``. It is reduced to a row per area, group and arm before anything is drawn.
+    """
+    sums = {"n": F.count("*"), "p": F.sum("y"), "f": F.sum("flag"), "fy": F.sum(F.col("flag") * F.col("y")), "dy": F.sum(F.col("days_earlier") * F.col("y"))}
+    per = armed.groupBy(area, group, "arm").agg(*[c.alias(n) for n, c in sums.items()])
+    return replicate_sums(per, area, list(sums), [group, "arm"], reps, seed)
+
+
+def _over(a: Column, b: Column) -> Column:
+    return a / F.when(b != 0, b)
+
+
+def arm_intervals(cube: DataFrame, group: str) -> DataFrame:
+    """Intervals of recall, flag rate and false-positive rate (in percent) and of days sooner, by group and arm."""
+    c = F.col
+    stats = {"recall": 100 * _over(c("fy"), c("p")), "flag_rate": 100 * _over(c("f"), c("n")), "fpr": 100 * _over(c("f") - c("fy"), c("n") - c("p")), "days": _over(c("dy"), c("p"))}
+    return percentiles(cube.select("rep", group, "arm", *[v.cast("double").alias(n) for n, v in stats.items()]), list(stats), [group, "arm"])
+
+
+def arm_gaps(cube: DataFrame, group: str, low: str, high: str) -> DataFrame:
+    """Intervals of what lies between the lowest and the highest group, by arm: recall gap in points, ratios of flag rates and of actual rates."""
+    c = F.col
+    pick = lambda g, v: F.max(F.when(c(group) == g, v))
+    parts = {"rec": 100 * _over(c("fy"), c("p")), "flg": _over(c("f"), c("n")), "act": _over(c("p"), c("n"))}
+    both = cube.groupBy("rep", "arm").agg(*[pick(g, v).cast("double").alias(f"{n}_{e}") for n, v in parts.items() for e, g in (("a", low), ("b", high))])
+    stats = {"recall_gap": c("rec_a") - c("rec_b"), "flag_ratio": _over(c("flg_a"), c("flg_b")), "actual_ratio": _over(c("act_a"), c("act_b"))}
+    return percentiles(both.select("rep", "arm", *[v.alias(n) for n, v in stats.items()]), list(stats), ["arm"])

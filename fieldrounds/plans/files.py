@@ -78,7 +78,7 @@ def _archived(t: Tables) -> str:
     k = F.col("business_id")
     for i, run in enumerate(("2000-07", "2000-08", "2000-09")):
         rows = t.places.select("facility_id", (k * (i + 3) % 23).cast("double").alias("points"), (k % 3 > 0).cast("int").alias("eligible"))
-        sinks.archive(rows if i else rows.drop("eligible"), run, path)
+        sinks.archive(rows if i else rows.drop("eligible"), run, path, {"generated": run, "list_date": LIST_DATE})
     return path
 
 
@@ -90,18 +90,18 @@ def src8(t: Tables):
     return readers.read_archive(t.spark, _archived(t), ["2000-07", "2000-09"]).select("run", "facility_id", "points")
 
 
-@query("snk4_archive_counts", f"SELECT run, count(*) AS places, CAST(sum(business_id * (i + 3) % 23) AS DOUBLE) AS points, 1 AS kept FROM place0, {_RUNS} GROUP BY run")
+@query("snk4_archive_counts", f"SELECT run, count(*) AS places, CAST(sum(business_id * (i + 3) % 23) AS DOUBLE) AS points, 1 AS kept, 0 AS changed FROM place0, {_RUNS} WHERE i = 0 OR business_id % 3 > 0 GROUP BY run")
 def snk4(t: Tables):
-    """Every run as archived, and that a second write of a run is refused."""
-    from pyspark.errors import AnalysisException
+    """Every run as archived and read back, that a second write of a run is refused, and that its files are those of the manifest."""
     path = _archived(t)
     try:
         sinks.archive(t.places.select("facility_id"), "2000-08", path)
         kept = 0
-    except AnalysisException:
+    except FileExistsError:
         kept = 1
-    a = t.spark.read.option("mergeSchema", True).parquet(path)
-    return a.groupBy("run").agg(F.count("*").alias("places"), F.sum("points").alias("points"), F.lit(kept).alias("kept"))
+    changed = sinks.verify_archive(t.spark, path, "2000-08").count()
+    a = readers.read_archive(t.spark, path)
+    return a.groupBy("run").agg(F.count("*").alias("places"), F.sum("points").alias("points"), F.lit(kept).alias("kept"), F.lit(changed).alias("changed"))
 
 
 def _site(t: Tables) -> str:

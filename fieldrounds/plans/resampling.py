@@ -183,3 +183,47 @@ def bs11(t: Tables):
     base = got.where("name_group = 'unclassified'").select("rep", F.col("share").alias("_base"))
     r = got.where("name_group <> 'unclassified'").join(base, "rep").withColumn("ratio", F.col("share") / F.col("_base"))
     return _r(rs.percentiles(r, ["ratio"], ["name_group"]), "ratio_low", "ratio_high")
+
+
+# ── the group audit with all its arms ──
+
+ARMS = ("risk", "rule12", "rule", "pers")
+_ARMED = SCORED + "," + _GROUPED + "," + slot_ctes("month_start, area", ARMS) + """,
+tt AS (SELECT *, sum(n) OVER (PARTITION BY arm ORDER BY score DESC) AS e, sum(n) OVER (PARTITION BY arm) AS an FROM (SELECT arm, score, count(*) AS n FROM given GROUP BY 1, 2)),
+armed AS MATERIALIZED (SELECT v.arm, g.grp, g.zip5, g.y, greatest(0.0::DOUBLE, least(1.0::DOUBLE, (0.2::DOUBLE * an - (e - n)) / n)) AS f, v.dn - v.assigned AS d
+ FROM given v JOIN grouped g USING (record_id) JOIN tt ON tt.arm = v.arm AND tt.score = v.score)"""
+
+
+def armed(t: Tables):
+    """Each scored row once per arm, with its group, whether the arm's top fifth takes it, and how much earlier its slot comes."""
+    s = rk.assigned_slots(grouped(t).drop("score"), ["month_start", "area"], {a: a for a in ARMS}).withColumnRenamed("arm_score", "score")
+    return rk.top_weights(s, 0.2, parts=["arm"], name="flag")
+
+
+@query("ag10_group_fairness_arms", """SELECT grp, arm, count(*) AS n, count(DISTINCT zip5) AS areas, round(100 * avg(y), 6) + 0.0 AS actual_pct, round(100 * avg(f), 6) + 0.0 AS flag_pct,
+ round(100 * avg(f) FILTER (y = 1), 6) + 0.0 AS recall_pct, round(100 * avg(f) FILTER (y = 0), 6) + 0.0 AS fpr_pct, round(avg(d) FILTER (y = 1), 6) + 0.0 AS days_sooner FROM armed GROUP BY 1, 2""", _ARMED)
+def ag10_arms(t: Tables):
+    hit, miss = F.col("y") == 1, F.col("y") == 0
+    out = armed(t).groupBy("grp", "arm").agg(
+        F.count("*").alias("n"), F.count_distinct("zip5").alias("areas"), (100 * F.avg("y")).alias("actual_pct"), (100 * F.avg("flag")).alias("flag_pct"),
+        (100 * F.avg(F.when(hit, F.col("flag")))).alias("recall_pct"), (100 * F.avg(F.when(miss, F.col("flag")))).alias("fpr_pct"),
+        F.avg(F.when(hit, F.col("days_earlier"))).alias("days_sooner"))
+    return _r(out, "actual_pct", "flag_pct", "recall_pct", "fpr_pct", "days_sooner")
+
+
+_CUBE = _ARMED + "," + draw_ctes("scored", "zip5") + """,
+per AS MATERIALIZED (SELECT zip5, grp, arm, count(*) AS n, sum(y) AS p, sum(f) AS f, sum(f * y) AS fy, sum(d * y) AS dy FROM armed GROUP BY 1, 2, 3),
+cube AS MATERIALIZED (SELECT rep, grp, arm, sum(times * n)::DOUBLE AS n, sum(times * p)::DOUBLE AS p, sum(times * f) AS f, sum(times * fy) AS fy, sum(times * dy) AS dy FROM per JOIN wt USING (zip5) GROUP BY 1, 2, 3)"""
+
+
+@query("bs6_arm_intervals", f"""SELECT grp, arm, {pct('recall')}, {pct('flag_rate')}, {pct('fpr')}, {pct('days')} FROM (
+ SELECT grp, arm, 100 * fy / nullif(p, 0) AS recall, 100 * f / nullif(n, 0) AS flag_rate, 100 * (f - fy) / nullif(n - p, 0) AS fpr, dy / nullif(p, 0) AS days FROM cube) GROUP BY 1, 2""", _CUBE)
+def bs6_arms(t: Tables):
+    return _r(rs.arm_intervals(rs.arm_cube(armed(t), "zip5", "grp", REPS), "grp"), *[f"{s}_{e}" for s in ("recall", "flag_rate", "fpr", "days") for e in ("low", "high")])
+
+
+@query("bs6_arm_gaps", f"""SELECT arm, {pct('recall_gap')}, {pct('flag_ratio')}, {pct('actual_ratio')} FROM (
+ SELECT a.arm, 100 * (a.fy / nullif(a.p, 0) - b.fy / nullif(b.p, 0)) AS recall_gap, (a.f / nullif(a.n, 0)) / nullif(b.f / nullif(b.n, 0), 0) AS flag_ratio, (a.p / nullif(a.n, 0)) / nullif(b.p / nullif(b.n, 0), 0) AS actual_ratio
+ FROM cube a JOIN cube b ON a.rep = b.rep AND a.arm = b.arm AND a.grp = 'Q1' AND b.grp = 'Q4') GROUP BY 1""", _CUBE)
+def bs6_gaps(t: Tables):
+    return _r(rs.arm_gaps(rs.arm_cube(armed(t), "zip5", "grp", REPS), "grp", "Q1", "Q4"), *[f"{s}_{e}" for s in ("recall_gap", "flag_ratio", "actual_ratio") for e in ("low", "high")])

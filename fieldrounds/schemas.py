@@ -38,3 +38,4 @@ RECORD = _struct([("date", S), ("status", S), ("type", S), ("county_type", S), (
                   ("reopen_without_closure", B)])
 USED = _struct([("date", S), ("score", I), ("closure", B), ("source_score", I)])
 PLACE_FILE = _struct([("facility_id", S), ("inspections", T.ArrayType(RECORD)), ("scores_used", T.ArrayType(USED)), ("points", I)])
+MANIFEST = "run string, attempt string, files long, ranking_sha256 string, meta_sha256 string, generated string"

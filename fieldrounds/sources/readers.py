@@ -91,12 +91,13 @@ def read_zip_attributes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_archive(spark: SparkSession, path: str, runs: list[str] | None = None) -> DataFrame:
-    """Every archived ranking, eligible rows only; the run filter prunes folders."""
-    a = spark.read.option("mergeSchema", True).parquet(path)
+    """Every archived ranking, eligible rows only. Only attempts that a manifest names are read, and of those only the runs asked for."""
+    named = spark.read.schema(schemas.MANIFEST).json(f"{path}/manifests").select("run", "attempt")
+    there = (named.where(F.col("run").isin(*runs)) if runs else named).collect()        # one short row a run
+    folders = [f"{path}/rankings/run={r['run']}/attempt={r['attempt']}" for r in there]
+    a = spark.read.option("mergeSchema", True).option("basePath", f"{path}/rankings").parquet(*folders).drop("attempt")
     if "eligible" not in a.columns:
         a = a.withColumn("eligible", F.lit(None).cast("int"))
-    if runs:
-        a = a.where(F.col("run").isin(*runs))
     return a.where("eligible = 1 or eligible is null")
 
 

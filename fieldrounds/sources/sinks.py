@@ -1,8 +1,13 @@
 """Writers. Folders are partitioned by what is read back; nothing is gathered to write it."""
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from .. import schemas
 from ..functions import formula_safe, plain_number
 
 
@@ -68,9 +73,53 @@ def write_export(index: DataFrame, details: DataFrame, path: str, buckets: int =
     details.select("*", bucket).repartition("bucket").write.partitionBy("bucket").json(f"{path}/place")
 
 
-def archive(ranking: DataFrame, run: str, path: str) -> None:
-    """A write-once copy of one run's ranking (SNK4): a run that is there already stops the write."""
-    ranking.write.mode("errorifexists").parquet(f"{path}/run={run}")
+def _place(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _create(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file that must not be there yet; of two writers one fails."""
+    fs, at = _place(spark, path)
+    out = fs.create(at, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def archive(ranking: DataFrame, run: str, path: str, meta: dict | None = None) -> dict:
+    """A write-once copy of one run's ranking, with its meta data and a manifest of hashes (SNK4). Returns the manifest.
+
+    The ranking goes to a folder of this attempt, its files are hashed where they lie, and the manifest comes last: a run counts as archived once it is
+    there, an attempt that broke off is never read, and a run that has a manifest stops the write before it begins.
+    """
+    spark = ranking.sparkSession
+    manifest = f"{path}/manifests/{run}.json"
+    fs, at = _place(spark, manifest)
+    if fs.exists(at):
+        raise FileExistsError(f"run {run} is archived already")
+    attempt = uuid.uuid4().hex
+    rows, hashes = f"{path}/rankings/run={run}/attempt={attempt}", f"{path}/hashes/run={run}/attempt={attempt}"
+    ranking.write.parquet(rows)
+    # Of each file its name and hash; the manifest holds the hash of that list.
+    file_hashes(spark, rows).where(F.col("file").like("part-%")).write.parquet(hashes)
+    listed = spark.read.parquet(hashes).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "file", "sha256"))), "\n"), 256).alias("h"), F.count("*").alias("n")).first()
+    said = json.dumps(meta or {}, indent=2, sort_keys=True)
+    _create(spark, f"{path}/meta/{run}-{attempt}.json", said)
+    out = {"run": run, "attempt": attempt, "files": listed["n"], "ranking_sha256": listed["h"], "meta_sha256": hashlib.sha256(said.encode()).hexdigest(),
+           "generated": (meta or {}).get("generated")}
+    _create(spark, manifest, json.dumps(out))
+    return out
+
+
+def verify_archive(spark: SparkSession, path: str, run: str) -> DataFrame:
+    """Files of an archived run that are missing, changed or unknown (SNK6): ``file, problem``. A changed list of hashes or meta file raises."""
+    said = spark.read.schema(schemas.MANIFEST).json(f"{path}/manifests/{run}.json").first()
+    known = spark.read.parquet(f"{path}/hashes/run={run}/attempt={said['attempt']}")
+    listed = known.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "file", "sha256"))), "\n"), 256)).first()[0]
+    meta = spark.read.format("binaryFile").load(f"{path}/meta/{run}-{said['attempt']}.json").select(F.sha2("content", 256)).first()[0]
+    if (listed, meta) != (said["ranking_sha256"], said["meta_sha256"]):
+        raise ValueError(f"run {run}: the hashes or the meta data are not those of the manifest")
+    return verify_files(spark, f"{path}/rankings/run={run}/attempt={said['attempt']}", known)
 
 
 def row_hash(df: DataFrame) -> Column:
@@ -99,7 +148,7 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
 
 def verify_files(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
     """Files of a manifest that are missing or changed, and files it does not name (SNK6)."""
-    now = file_hashes(spark, path).withColumnRenamed("sha256", "_now")
+    now = file_hashes(spark, path).where(~F.col("file").rlike(r"^[._]")).withColumnRenamed("sha256", "_now")
     j = manifest.join(now, "file", "full_outer")
     problem = (F.when(F.col("_now").isNull(), "missing").when(F.col("sha256").isNull(), "unknown").when(F.col("_now") != F.col("sha256"), "changed"))
     return j.select("file", problem.alias("problem")).where("problem is not null")

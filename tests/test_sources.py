@@ -78,12 +78,42 @@ def test_shapes(spark, tmp_path):
 def test_archive_is_write_once_and_prunes(spark, tmp_path):
     path = str(tmp_path / "archive")
     new = spark.createDataFrame([("F1", 1, 5.0), ("F2", 0, 2.0)], "facility_id string, eligible int, points double")
-    sinks.archive(new, "forward_2024-01-01", path)
+    said = sinks.archive(new, "forward_2024-01-01", path, {"generated": "2024-01-02"})
     sinks.archive(new.drop("eligible"), "forward_2023-01-01", path)
-    with pytest.raises(Exception):
+    with pytest.raises(FileExistsError):
         sinks.archive(new, "forward_2024-01-01", path)
     assert readers.read_archive(spark, path).count() == 3
     assert readers.read_archive(spark, path, ["forward_2024-01-01"]).count() == 1
+    assert said["generated"] == "2024-01-02" and sinks.verify_archive(spark, path, "forward_2024-01-01").count() == 0
+
+
+def test_a_broken_off_archive_is_not_read_and_does_not_bar_the_run(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "archive")
+    new = spark.createDataFrame([("F1", 1, 5.0)], "facility_id string, eligible int, points double")
+    sinks.archive(new, "a", path)
+
+    def broken(*_):
+        raise OSError("lost")
+    monkeypatch.setattr(sinks, "_create", broken)
+    with pytest.raises(OSError):
+        sinks.archive(new, "b", path)
+    monkeypatch.undo()
+    assert [r["run"] for r in readers.read_archive(spark, path).collect()] == ["a"]
+    sinks.archive(new, "b", path)
+    assert sorted(r["run"] for r in readers.read_archive(spark, path).collect()) == ["a", "b"]
+
+
+def test_changes_to_an_archive_are_found(spark, tmp_path):
+    path = str(tmp_path / "archive")
+    said = sinks.archive(spark.range(9).selectExpr("cast(id AS string) AS facility_id", "1 AS eligible").coalesce(1), "a", path)
+    part, = (tmp_path / "archive/rankings/run=a" / f"attempt={said['attempt']}").glob("part-*")
+    for crc in (tmp_path / "archive").rglob(".*.crc"):        # the local file system's own checks
+        crc.unlink()
+    part.write_bytes(part.read_bytes() + b"x")
+    assert [(r["problem"]) for r in sinks.verify_archive(spark, path, "a").collect()] == ["changed"]
+    (tmp_path / "archive/meta" / f"a-{said['attempt']}.json").write_text("{}")
+    with pytest.raises(ValueError):
+        sinks.verify_archive(spark, path, "a")
 
 
 def test_export_card_and_frozen_copy(spark, tmp_path):
