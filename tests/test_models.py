@@ -48,3 +48,34 @@ def test_comparators_and_the_count_score_are_whole(monkeypatch, spark):
 def test_the_origin_run_has_the_boosted_and_additive_arms(monkeypatch, spark):
     got = asked(monkeypatch, spark, "ml13_rule_selection", "fit_trees")
     assert (got["rounds"], got["reps"], got["additive"]) == (200, 2, (False, True))
+
+
+class Linear:
+    """A stand-in for a fitted model: the score is a known function of two columns."""
+
+    def predict(self, rows, name="p"):
+        from pyspark.sql import functions as F
+        return rows.withColumn(name, F.col("a") + 0.1 * F.col("b"))
+
+
+def test_importance_is_the_drop_of_each_shuffled_column(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+    rng = np.random.default_rng(1)
+    rows = [(int(i), float(rng.random()), float(rng.random()), float(rng.random())) for i in range(400)]
+    df = spark.createDataFrame([(i, a, b, n, int(a + 0.3 * b > 0.6)) for i, a, b, n in rows], "record_id long, a double, b double, noise double, y int")
+    got = {r["feature"]: r["auc_drop"] for r in md.permutation_importance(Linear(), df, ["a", "b", "noise"], repeats=3).collect()}
+    table = df.withColumns({f"h{r}": F.xxhash64("record_id", F.lit(r)) for r in range(3)}).orderBy("record_id").toPandas()
+
+    def auc(score):
+        p, n = score[table["y"] == 1].to_numpy(), score[table["y"] == 0].to_numpy()
+        return (p[:, None] > n).mean() + (p[:, None] == n).mean() / 2
+    full = auc(table["a"] + 0.1 * table["b"])
+    for x in ("a", "b", "noise"):
+        means = []
+        for r in range(3):
+            mixed = table.copy()
+            mixed[x] = table.sort_values([f"h{r}", "record_id"])[x].to_numpy()
+            means.append(auc(mixed["a"] + 0.1 * mixed["b"]))
+        assert abs(got[x] - (full - np.mean(means))) < 1e-9
+    assert got["noise"] == 0 and got["a"] > 0.3 > got["b"]

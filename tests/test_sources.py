@@ -111,7 +111,7 @@ def test_changes_to_an_archive_are_found(spark, tmp_path):
         crc.unlink()
     part.write_bytes(part.read_bytes() + b"x")
     assert [(r["problem"]) for r in sinks.verify_archive(spark, path, "a").collect()] == ["changed"]
-    (tmp_path / "archive/meta" / f"a-{said['attempt']}.json").write_text("{}")
+    (tmp_path / "archive/meta" / f"a-{said['attempt']}.json").write_text('{"generated": "later"}')
     with pytest.raises(ValueError):
         sinks.verify_archive(spark, path, "a")
 
