@@ -54,7 +54,7 @@ def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         got = [counts(t) for t in b["text"]]
         yield pd.DataFrame({"e": [np.fromiter(c.keys(), np.int32, len(c)).tobytes() for c in got],
-                            "n": [np.fromiter((min(v, 255) for v in c.values()), np.uint8, len(c)).tobytes() for c in got]})
+                            "n": [np.fromiter(c.values(), np.int32, len(c)).tobytes() for c in got]})
 
 
 def fit(docs: DataFrame, labels: DataFrame, fold: int = 4, held: int = 2, max_positive: int = MAX_POSITIVE,
@@ -67,7 +67,7 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 4, held: int = 2, max_po
     def sample(ids: DataFrame, seed: str, rows: int) -> list[tuple[np.ndarray, np.ndarray]]:
         made = sampled_texts(docs, ids, seed, rows).select("text").mapInPandas(_packed, "e binary, n binary").toPandas()
         made = made.drop_duplicates()       # copies of one text would make its rare words look telling
-        return [(np.frombuffer(e, np.int32), np.frombuffer(c, np.uint8)) for e, c in zip(made["e"], made["n"])]
+        return [(np.frombuffer(e, np.int32), np.frombuffer(c, np.int32)) for e, c in zip(made["e"], made["n"])]
 
     pos = sample(open_labels.where("toxic = 1"), "toxic-positive", max_positive)
     unl = sample(open_docs, "toxic-unlabelled", max_unlabelled)
@@ -120,7 +120,7 @@ def scorer(model: Model):
                         cols = known[word] = [column[e] for e in entries(word) if e in column]
                     for c in cols:
                         got[c] = got.get(c, 0) + 1
-                z = base + sum(weight[c] * np.log1p(min(n, 255)) for c, n in got.items())
+                z = base + sum(weight[c] * np.log1p(n) for c, n in got.items())
                 out.append(1.0 / (1.0 + np.exp(-np.clip(z, -30.0, 30.0))))
             yield pd.Series(out, dtype="float64")
     return toxic_score
