@@ -22,18 +22,19 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import stored
+from ..session import discard, release, stored
 from .common import segments, together
 
 WORD = re.compile(r"\w+")
 WORDS, THRESHOLD = 5, 0.8
-COORDINATES, SMALL, DEPTH, RUNS, BLOCK = 64, 64, 3, (3, 17), 512
+COORDINATES, SMALL, DEPTH, RUNS, BLOCK = 64, 64, 3, (3, 17), 1024
 LEAST_AGREE = 35            # of 64: a pair at 0.8 agrees on 51 on average, and on fewer than 35 once in a million
 SEED = 20240229
 
@@ -120,7 +121,7 @@ def _vectors(column: pd.Series) -> np.ndarray:
 
 
 def first_level(sets: DataFrame, runs: range) -> DataFrame:
-    """``path, set_key``: the buckets of the given runs after one split. Runs take the coordinates in a seeded order, each once before any again."""
+    """``path, set_key, grp``: the buckets of the given runs after one split. Runs take the coordinates in a seeded order, each once before any again."""
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         order = np.argsort(_mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(SEED)))
         for b in batches:
@@ -128,8 +129,8 @@ def first_level(sets: DataFrame, runs: range) -> DataFrame:
             for r in runs:
                 k = order[r % COORDINATES]
                 path = _step(np.full(len(v), r + 1, np.uint64), np.full(len(v), k), v[:, k])
-                yield pd.DataFrame({"path": path.view(np.int64), "set_key": b["set_key"]})
-    return sets.select("set_key", "vector").mapInPandas(split, "path long, set_key binary")
+                yield pd.DataFrame({"path": path.view(np.int64), "set_key": b["set_key"], "grp": b["grp"]})
+    return sets.select("set_key", "vector", "grp").mapInPandas(split, "path long, set_key binary, grp long")
 
 
 def next_level(members: DataFrame) -> DataFrame:
@@ -138,15 +139,14 @@ def next_level(members: DataFrame) -> DataFrame:
         for b in batches:
             paths, v = b["path"].to_numpy(np.int64).view(np.uint64), _vectors(b["vector"])
             k = (_mix(paths + np.uint64(SEED)) % np.uint64(COORDINATES)).astype(np.int64)
-            yield b.assign(path=_step(paths, k, v[np.arange(len(v)), k]).view(np.int64))
-    return members.mapInPandas(split, "path long, set_key binary, vector binary, grp long")
+            yield pd.DataFrame({"path": _step(paths, k, v[np.arange(len(v)), k]).view(np.int64), "set_key": b["set_key"], "grp": b["grp"]})
+    return members.mapInPandas(split, "path long, set_key binary, grp long")
 
 
-def with_sizes(members: DataFrame, mixed: bool) -> DataFrame:
-    """Members of buckets of two or more, with the bucket's ``size``; with ``mixed`` only of those that hold more than one ``grp``."""
-    both = [F.min("grp").alias("_low"), F.max("grp").alias("_high")] if mixed else []
-    sizes = members.groupBy(F.col("path").alias("_path")).agg(F.count("*").alias("size"), *both).where("_low <> _high" if mixed else "size > 1")
-    return members.join(sizes.select("_path", "size"), F.col("path") == F.col("_path")).drop("_path")
+def mixed_buckets(members: DataFrame) -> DataFrame:
+    """Members (``path, set_key, grp``) of buckets that hold more than one ``grp``, with the bucket's ``size``."""
+    sizes = members.groupBy(F.col("path").alias("_path")).agg(F.count("*").alias("size"), F.min("grp").alias("_low"), F.max("grp").alias("_high"))
+    return members.join(sizes.where("_low <> _high").select("_path", "size"), F.col("path") == F.col("_path")).drop("_path")
 
 
 def in_blocks(members: DataFrame, group: str, key: str, block: int) -> DataFrame:
@@ -213,19 +213,24 @@ def candidate_edges(sets: DataFrame, runs: range, small: int = SMALL, depth: int
 
     ``sets`` has ``set_key, vector, grp``, the group a set is known to be in or a number of its own.
     """
-    vectors = sets.select(F.col("set_key").alias("_set_key"), "vector", "grp")
-    level = with_sizes(stored(first_level(sets, runs), "paths"), False).drop("size")
-    level = stored(level.join(vectors, F.col("set_key") == F.col("_set_key")).drop("_set_key"), "members")
-    out = None
+    vectors = sets.select(F.col("set_key").alias("_set_key"), "vector")
+    level, out = stored(first_level(sets, runs), "paths"), []
     for at in range(1, depth + 1):
-        level = stored(with_sizes(level, True), "buckets")
-        leaves = level if at == depth else level.where(F.col("size") <= small)
+        # Vectors join only what is left of the buckets.
+        mixed = mixed_buckets(level).join(vectors, F.col("set_key") == F.col("_set_key")).drop("_set_key")
+        sized = stored(mixed, "buckets")
+        discard(level)
+        leaves = sized if at == depth else sized.where(F.col("size") <= small)
         found = together(in_blocks(leaves, "path", "set_key", BLOCK).select("path", "lo", "hi", "mine", "set_key", "vector"), "path", "lo", "hi").mapInPandas(
             _alike, "a binary, b binary")
-        out = found if out is None else out.unionByName(found)
-        if at < depth:
-            level = stored(next_level(level.where(F.col("size") > small).select("path", "set_key", "vector", "grp")), "paths")
-    return out.distinct()
+        out.append(stored(found.distinct(), "met"))
+        level = stored(next_level(sized.where(F.col("size") > small).select("path", "set_key", "vector", "grp")), "paths") if at < depth else None
+        discard(sized)
+        del mixed, found, leaves, sized
+        release(sets.sparkSession)
+    edges = stored(reduce(DataFrame.unionByName, out).distinct(), "met")
+    discard(*out)
+    return edges
 
 
 def candidate_groups(sets: DataFrame, runs: tuple[int, ...] = RUNS, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
@@ -235,12 +240,17 @@ def candidate_groups(sets: DataFrame, runs: tuple[int, ...] = RUNS, small: int =
         now, done = range(done, done + n), done + n
         if groups is None:
             known = sets.select("set_key", "vector", F.xxhash64("set_key").alias("grp"))
-            groups = components(candidate_edges(known, now, small, depth))
+            edges = candidate_edges(known, now, small, depth)
+            groups = components(edges)
+            discard(edges)
         else:
             known = sets.select("set_key", "vector").join(groups, F.col("set_key") == F.col("node"), "left").select(
                 "set_key", "vector", F.xxhash64(F.coalesce("root", "set_key")).alias("grp"))
-            more = candidate_edges(stored(known, "sets"), now, small, depth)
-            groups = components(more.unionByName(groups.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))))
+            known = stored(known, "sets")
+            edges, before = candidate_edges(known, now, small, depth), groups
+            groups = components(edges.unionByName(before.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))))
+            discard(known, edges, before)
+        release(sets.sparkSession)
     return groups
 
 
@@ -256,18 +266,22 @@ def components(edges: DataFrame) -> DataFrame:
         ends = left.select(F.col("a").alias("n"), F.col("b").alias("m")).union(left.select("b", "a"))
         step = stored(ends.groupBy("n").agg(F.min("m").alias("m")).select(F.col("n").alias("node"), F.least("n", "m").alias("root")), "roots")
         while True:
-            on = step.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+            on, before = step.select(F.col("node").alias("_n"), F.col("root").alias("_r")), step
             step = stored(step.select("node", "root").join(on, F.col("root") == F.col("_n")).select(
                 "node", F.col("_r").alias("root"), (F.col("_r") != F.col("root")).alias("moved")), "roots")
+            discard(before)
             if step.where("moved").limit(1).count() == 0:
                 break
-        step = step.select("node", "root")
         on = step.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
-        out = step if out is None else stored(out.join(on, F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_r", "root").alias("root")), "groups")
+        before, edges = out, left
+        out = stored(step.select("node", "root") if out is None else
+                     out.join(on, F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_r", "root").alias("root")), "groups")
         for side, other in (("a", "b"), ("b", "a")):
             left = left.join(on, F.col(side) == F.col("_n")).select(F.col("_r").alias(side), other)
         left = stored(left.select("a", "b").where("a <> b").distinct(), "edges")
+        discard(before, edges, step)
         if left.limit(1).count() == 0:
+            discard(left)
             return out
 
 
@@ -344,6 +358,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, runs: tuple[int, ...]
     sets = stored(sets_of(rows), "sets")
     groups = candidate_groups(sets, runs, small, depth)
     found = stored(linked(docs, sets, groups, threshold, WORDS, block), "links")
+    discard(groups)
+    release(docs.sparkSession)
     counts = found.groupBy("set_key").agg(F.sum("links").alias("links"), F.sum("rows").alias("rows"))
     roots = components(found.where(F.col("set_key") != F.col("root")).select(F.col("set_key").alias("a"), F.col("root").alias("b")))
     known = (sets.select("set_key", "n", "first_id")
@@ -360,8 +376,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, runs: tuple[int, ...]
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows whose class has a smaller id. Rows that share that smallest id are one document and stay together
-    only if their texts are equal; a row without an id goes if its class has one."""
+    """``docs`` without the rows whose class has a smaller id. Rows that repeat the smallest id are versions of one document and all stay, whatever
+    their texts; a row without an id goes if its class has one."""
     gone = stored(classes(docs, **options).where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(
         F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key")).distinct(), "gone")
     return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_doc_id"]) & (F.xxhash64(docs["text"]) == gone["_text_key"]), "left_anti")
