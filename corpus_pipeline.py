@@ -9,31 +9,36 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fieldrounds.llm import decontaminate, jaccard, mixing, quality, secrets
 from fieldrounds.llm.common import table
-from fieldrounds.session import stored
+from fieldrounds.session import begin_work, keep, stored
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the quality classifier does not reject. It learns from the labels of the rows given."""
+    begin_work(spark)
     return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the least id."""
+    begin_work(spark)
     return jaccard.one_of_each(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold no benchmark item."""
+    begin_work(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, secrets masked."""
+    begin_work(spark)
     return secrets.redact(docs, secrets.scanned(docs))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mixture takes, with the number of times (``copies``) and the words taken (``taken``)."""
+    begin_work(spark)
     sized = stored(mixing.sizes(docs), "sizes")
     by = mixing.plan(sized).select(F.col("source").alias("_source"), F.col("whole").alias("_whole"), F.col("edge").alias("_edge"))
     place = mixing.place(docs["doc_id"])
@@ -51,5 +56,5 @@ ORACLE_SQL = None       # the learned scores of the first stage are not SQL
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = keep(stored(stage(spark, docs, sf_dir), name))
     return docs
