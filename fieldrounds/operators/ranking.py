@@ -136,7 +136,9 @@ def within_window_spearman(df: DataFrame, window: list[str], x: str, day: str, m
     """Rank correlation of being earlier and ``x``, per window of enough rows that vary (BS10)."""
     rows = df.where(F.col(x).isNotNull())
     r = mid_ranks(mid_ranks(rows, window, x, "_rx"), window, day, "_rd")
-    return (r.groupBy(*window).agg(F.corr(-F.col("_rd"), F.col("_rx")).alias("rho"), F.count("*").alias("n"),
+    # F.corr raises where a side does not vary; such a window is left out below.
+    rho = F.try_divide(F.covar_pop(-F.col("_rd"), F.col("_rx")), F.stddev_pop("_rd") * F.stddev_pop("_rx"))
+    return (r.groupBy(*window).agg(rho.alias("rho"), F.count("*").alias("n"),
                                    (F.max(x) > F.min(x)).alias("_vx"), (F.max(day) > F.min(day)).alias("_vd"))
             .where((F.col("n") >= min_n) & F.col("_vx") & F.col("_vd")).drop("_vx", "_vd"))
 
