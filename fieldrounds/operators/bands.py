@@ -14,7 +14,7 @@ from ..functions import r6, wilson
 from ..rules import RULES, Rules
 from .joins import with_scalars
 from .ordering import positions, running_sums
-from .resample import replicate_sums
+from .resample import dealt, replicate_sums
 
 
 def band_cuts(df: DataFrame, points: str = "points", shares: tuple[float, ...] = RULES.band_shares) -> DataFrame:
@@ -81,7 +81,7 @@ def paired_hits(df: DataFrame, cluster: str, band: str, reps: int, seed: int = 0
     diff = F.sum(F.coalesce("y", F.lit(0)) * ((F.coalesce(F.col("band") == band, F.lit(False))).cast("int")
                                                 - (F.coalesce(F.col("baseline_band") == band, F.lit(False))).cast("int")))
     per = df.groupBy(cluster).agg(diff.alias("diff"))
-    return replicate_sums(per, cluster, ["diff"], reps=reps, seed=seed)
+    return replicate_sums(dealt(per, cluster), cluster, ["diff"], reps=reps, seed=seed)
 
 
 def band_counts(df: DataFrame, cuts: list[float], parts: list[str] = ("as_of",)) -> DataFrame:
@@ -233,7 +233,7 @@ def risk_curve(df: DataFrame, cluster: str, reps: int = 200, min_n: int = RULES.
     rows = attached(df.where("eligible and y is not null").select(cluster, *keys, "points", "y"), groups, keys)
     which = F.size(F.filter("groups", lambda g: g["lo"] <= c("points"))) - 1
     per = rows.select(cluster, *keys, "y", which.alias("g")).groupBy(cluster, *keys, "g").agg(F.count("*").alias("n"), F.sum("y").alias("k"))
-    drawn = replicate_sums(per, cluster, ["n", "k"], [*keys, "g"], reps, seed)
+    drawn = replicate_sums(dealt(per, cluster), cluster, ["n", "k"], [*keys, "g"], reps, seed)
     size = groups.select(*keys, F.size("groups").alias("_g"))
 
     def fitted(t: DataFrame, by: list[str]) -> DataFrame:

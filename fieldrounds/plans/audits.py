@@ -429,7 +429,7 @@ def bd15_alerts(t: Tables):
     want = m.where("y is not null").groupBy("run").agg(F.avg("y").alias("expected_rate"))
     p = mo.persistence_group(m.where("area = 'city'"))
     per = p.groupBy("run", "address").agg(F.sum(F.col("y") * (F.col("in_band_1") - F.col("in_baseline"))).alias("diff"))
-    paired = rs.percentiles(rs.replicate_sums(per, "address", ["diff"], ["run"], REPS), ["diff"], ["run"]).withColumnRenamed("diff_high", "high")
+    paired = rs.percentiles(rs.replicate_sums(rs.dealt(per, "address"), "address", ["diff"], ["run"], REPS), ["diff"], ["run"]).withColumnRenamed("diff_high", "high")
     none = m.where("complete and y is not null").groupBy("run", "area").agg(F.sum("y").alias("observed"))
     oe = none.join(want, "run").join(m.where("complete and y is not null").groupBy("run", "area").agg(F.count("*").alias("n")), ["run", "area"]).select(
         "run", "area", (F.col("observed") / (F.col("expected_rate") * F.col("n"))).alias("ratio"))

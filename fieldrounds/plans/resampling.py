@@ -179,7 +179,7 @@ def bs11(t: Tables):
     from ..functions import name_group
     d = t.scored.where("y = 0").withColumn("name_group", name_group(F.col("business_type"), {"first": ["building"], "second": ["household"]}))
     per = d.groupBy("address", "name_group").agg(F.sum((F.col("pers") >= 10000).cast("int")).alias("f"), F.count("*").alias("n"))
-    got = rs.replicate_sums(per, "address", ["f", "n"], ["name_group"], REPS).withColumn("share", F.col("f") / F.col("n"))
+    got = rs.replicate_sums(rs.dealt(per, "address"), "address", ["f", "n"], ["name_group"], REPS).withColumn("share", F.col("f") / F.col("n"))
     base = got.where("name_group = 'unclassified'").select("rep", F.col("share").alias("_base"))
     r = got.where("name_group <> 'unclassified'").join(base, "rep").withColumn("ratio", F.col("share") / F.col("_base"))
     return _r(rs.percentiles(r, ["ratio"], ["name_group"]), "ratio_low", "ratio_high")
