@@ -4,6 +4,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
+from datetime import date
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -60,7 +61,9 @@ def distinct_records(records: DataFrame, ts: str, key: str, within: str) -> Data
 
 
 EPISODE_OUT = "business_id bigint, started date, closure string, reopened_on date, ended boolean"
-EPISODE_STATE = "started int, last_order int, is_open boolean, reopened boolean, closure string, pending string"
+EPISODE_STATE = "places string"
+# Fixed value: places are held together in this many groups, as one call of the state function costs far more than one visit.
+BUCKETS = 1024
 
 
 def _advance(state: dict, v: dict, gap: int) -> bool:
@@ -84,26 +87,39 @@ def _advance(state: dict, v: dict, gap: int) -> bool:
     return False
 
 
+_FIELDS = ("dn", "rank", "record_id", "order", "reopen", "graded", "reason")
+_STATE = ("started", "last_order", "is_open", "reopened", "closure")
+
+
 def _episodes(gap: int):
     def update(key: tuple, frames: Iterator[pd.DataFrame], store: GroupState) -> Iterator[pd.DataFrame]:
-        started, last, is_open, reopened, closure, pending = store.get if store.exists else (None, None, False, True, None, "[]")
-        state = {"started": started, "last_order": last, "is_open": is_open, "reopened": reopened, "closure": closure, "on": None}
-        held = json.loads(pending)
+        # By place: its state and the visits that wait. A place of which nothing is known or waits is not held.
+        places = json.loads(store.get[0]) if store.exists else {}
         for f in frames:
-            held += f[["dn", "rank", "record_id", "order", "reopen", "graded", "reason"]].to_dict("records")
-        held = [{k: (x.item() if hasattr(x, "item") else x) for k, x in v.items()} for v in held]
-        held.sort(key=lambda v: (v["dn"], v["rank"], v["record_id"]))
+            for place, *v in zip(*[f[c].tolist() for c in ("business_id", *_FIELDS)]):
+                # Other visits change nothing.
+                if place is not None and (v[3] or v[4] or v[5]):
+                    places.setdefault(place, [[None, None, False, True, None], []])[1].append(v)
         ready = store.getCurrentWatermarkMs() // 86_400_000
-        out, rest = [], [v for v in held if v["dn"] >= ready]
-        for v in held[:len(held) - len(rest)]:
-            if _advance(state, v, gap):
-                out.append((key[0], state["started"], state["closure"], state["on"], not state["is_open"]))
-        store.update((state["started"], state["last_order"], state["is_open"], state["reopened"], state["closure"], json.dumps(rest)))
-        if rest:
-            store.setTimeoutTimestamp((rest[0]["dn"] + 1) * 86_400_000)
-        day = lambda n: None if n is None else (pd.Timestamp(0) + pd.Timedelta(days=n)).date()
-        rows = [(b, day(s), c, day(on), e) for b, s, c, on, e in out]
-        yield pd.DataFrame(rows, columns=["business_id", "started", "closure", "reopened_on", "ended"])
+        out, kept, wait = [], {}, None
+        for place, (held, visits) in places.items():
+            rest = [v for v in visits if v[0] >= ready]
+            if len(rest) < len(visits):
+                state = {**dict(zip(_STATE, held)), "on": None}
+                for v in sorted((v for v in visits if v[0] < ready), key=lambda v: v[:3]):
+                    if _advance(state, dict(zip(_FIELDS, v)), gap):
+                        out.append((int(place), state["started"], state["closure"], state["on"], not state["is_open"]))
+                held = [state[c] for c in _STATE]
+            if rest or held[0] is not None:
+                kept[place] = (held, rest)
+            if rest:
+                first = min(v[0] for v in rest)
+                wait = first if wait is None else min(wait, first)
+        store.update((json.dumps(kept),))
+        if wait is not None:
+            store.setTimeoutTimestamp((wait + 1) * 86_400_000)
+        day = lambda n: None if n is None else date.fromordinal(719_163 + n)
+        yield pd.DataFrame([(b, day(s), c, day(on), e) for b, s, c, on, e in out], columns=["business_id", "started", "closure", "reopened_on", "ended"])
     return update
 
 
@@ -115,12 +131,14 @@ def closure_episodes(visits: DataFrame, delay: str = "30 days", gap: int = RULES
     record_id, visit_type, grade, is_order, is_reopen, n_major, permit_note``.
     """
     c = F.col
+    flag = lambda x: F.coalesce(x, F.lit(False))
     rows = visits.select(
-        "business_id", c("day").cast("timestamp").alias("at"), c("dn").cast("int").alias("dn"), F.when(c("is_order"), 0).when(c("is_reopen"), 1).otherwise(2).alias("rank"),
-        "record_id", c("is_order").alias("order"), c("is_reopen").alias("reopen"),
-        (c("visit_type").isin("routine", "followup") & c("grade").isNotNull()).alias("graded"),
+        F.pmod(F.xxhash64("business_id"), F.lit(BUCKETS)).alias("bucket"), c("business_id").cast("string").alias("business_id"),
+        c("day").cast("timestamp").alias("at"), c("dn").cast("int").alias("dn"), F.when(c("is_order"), 0).when(c("is_reopen"), 1).otherwise(2).alias("rank"),
+        "record_id", flag(c("is_order")).alias("order"), flag(c("is_reopen")).alias("reopen"),
+        flag(c("visit_type").isin("routine", "followup") & c("grade").isNotNull()).alias("graded"),
         F.when(c("n_major") > 0, "health").when(c("permit_note"), "permit").otherwise("other").alias("reason"))
-    return (rows.withWatermark("at", delay).groupBy("business_id")
+    return (rows.withWatermark("at", delay).groupBy("bucket")
             .applyInPandasWithState(_episodes(gap), EPISODE_OUT, EPISODE_STATE, "append", GroupStateTimeout.EventTimeTimeout))
 
 

@@ -36,3 +36,16 @@ def test_months_from_closed_days(spark):
     from fieldrounds.streaming.streams import by_month
     d = spark.createDataFrame([("2024-01-01", 3, 1), ("2024-01-30", 2, 0), ("2024-02-01", 1, 1)], "day string, n long, positives long").withColumn("day", F.to_date("day"))
     assert {str(r.month): (r.n, r.positives) for r in by_month(d).collect()} == {"2024-01-01": (5, 1), "2024-02-01": (1, 1)}
+
+
+def test_places_are_held_in_a_bounded_number_of_groups(spark, monkeypatch, tmp_path):
+    """Before, each place was a call of the state function in every batch."""
+    from fieldrounds.streaming import streams as st
+    monkeypatch.setattr(st, "BUCKETS", 3)
+    m = Tables(spark, SMALL).merged
+    m.write.parquet(f"{tmp_path}/in")
+    q = (st.closure_episodes(spark.readStream.schema(m.schema).parquet(f"{tmp_path}/in")).writeStream.format("parquet").option("path", f"{tmp_path}/out")
+         .option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert m.select("business_id").distinct().count() > 50
+    assert {p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress} <= {1, 2, 3}
