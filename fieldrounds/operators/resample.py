@@ -110,8 +110,11 @@ def address_cluster(address: Column) -> Column:
 
 
 def dealt(per: DataFrame, key: str) -> DataFrame:
-    """Rows dealt by cluster over all tasks: few bytes make many weights."""
-    return per.repartition(max(1, int(per.sparkSession.conf.get("spark.sql.shuffle.partitions"))), key)
+    """Rows dealt by cluster over all tasks: few bytes make many weights.
+
+    By a hash of the cluster: dealt by the column itself, rows that a grouping has just dealt so would stay in the few tasks their bytes are put into.
+    """
+    return per.repartition(max(1, int(per.sparkSession.conf.get("spark.sql.shuffle.partitions"))), F.xxhash64(key))
 
 
 def _listed(columns: list[np.ndarray], names: list[str]) -> pa.Array:

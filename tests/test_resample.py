@@ -3,6 +3,7 @@ import hashlib
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from fieldrounds.operators import resample
 
@@ -55,3 +56,9 @@ def test_paired_auc_with_ties_across_many_ranges(spark):
             won = (s[:, None] > s[None, :]) + 0.5 * (s[:, None] == s[None, :])
             both.append(p @ won @ q / (p.sum() * q.sum()))
         assert np.allclose(got[rep], [*both, both[0] - both[1]], atol=1e-12)
+
+
+def test_grouped_clusters_are_dealt_over_tasks(spark):
+    """Before, the dealing fell away after a grouping by the same column, and all clusters were drawn in one task."""
+    per = spark.range(4000).selectExpr("id % 400 AS c").groupBy("c").count()
+    assert resample.dealt(per, "c").select(F.spark_partition_id().alias("p")).distinct().count() > 1
