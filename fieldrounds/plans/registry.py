@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators import clean, geo, history
-from ..session import stored, stored_by
+from ..session import dealt_finely, stored_by
 from ..sources import adapt
 from .base_sql import BASE
 
@@ -36,7 +36,9 @@ def kept(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFr
             return spark.read.table(_KEPT[at])
         except AnalysisException:
             pass
-    df, _KEPT[at] = stored_by(build(), name, key)
+    records = spark.read.parquet(f"{sf_dir}/orders.parquet").count()        # from the files' footers
+    with dealt_finely(spark, records):
+        df, _KEPT[at] = stored_by(build(), name, key)
     return df
 
 
@@ -66,7 +68,7 @@ class Tables:
     @cached_property
     def theme_visits(self) -> DataFrame:
         return kept(self.spark, self.dir, "theme_visits", lambda: adapt.read_visits(
-            stored(adapt.merged(self.spark, self.dir, themes=True), "theme_merged")), "business_id")
+            stored_by(adapt.merged(self.spark, self.dir, themes=True), "theme_merged", "business_id")[0]), "business_id")
 
     @cached_property
     def items(self) -> DataFrame:

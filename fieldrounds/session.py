@@ -1,12 +1,14 @@
 """Session settings, the shared folder, and the one place where lineage is cut."""
 from __future__ import annotations
 
+import contextlib
 import contextvars
 import gc
 import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -110,6 +112,17 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return out
 
 
+@contextlib.contextmanager
+def dealt_finely(spark: SparkSession, rows: int, per_task: int = 100_000) -> Iterator[None]:
+    """While it lasts, shuffles have at least a partition for each ``per_task`` of ``rows``, so that a task's share does not grow with the table."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(max(int(before), -(-rows // per_task))))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def stored_by(df: DataFrame, name: str, key: str | None) -> tuple[DataFrame, str]:
     """``stored`` as a table of this session, in as many buckets of ``key`` as there are shuffle partitions, sorted by it.
 
