@@ -79,3 +79,20 @@ def test_importance_is_the_drop_of_each_shuffled_column(spark):
             means.append(auc(mixed["a"] + 0.1 * mixed["b"]))
         assert abs(got[x] - (full - np.mean(means))) < 1e-9
     assert got["noise"] == 0 and got["a"] > 0.3 > got["b"]
+
+
+def test_the_cutoffs_of_the_rolling_origins_are_fitted_together(monkeypatch, spark):
+    """Before, each fit waited for the one before it."""
+    import threading
+    met = threading.Barrier(3)
+
+    class Fake:
+        def __init__(self, *a, **k):
+            pass
+
+        def fit(self, rows):
+            met.wait(60)
+            raise Asked({})
+    monkeypatch.setattr(md, "BoostedTrees", Fake)
+    with pytest.raises(Asked):
+        QUERIES["ml4_rolling_origins"](spark, SMALL)
