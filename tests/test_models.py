@@ -96,3 +96,16 @@ def test_the_cutoffs_of_the_rolling_origins_are_fitted_together(monkeypatch, spa
     monkeypatch.setattr(md, "BoostedTrees", Fake)
     with pytest.raises(Asked):
         QUERIES["ml4_rolling_origins"](spark, SMALL)
+
+
+def test_training_rows_are_shuffled_into_more_partitions_as_they_grow(monkeypatch, spark):
+    from fieldrounds.plans import models as pm
+    from fieldrounds.session import dealt_finely
+
+    def spy(df):
+        raise Asked(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    monkeypatch.setattr(pm, "dealt_finely", lambda s, rows, per: dealt_finely(s, rows, 100))
+    monkeypatch.setattr(pm, "cut", spy)
+    with pytest.raises(Asked) as e:
+        QUERIES["ml7_score_equations"](spark, SMALL)
+    assert e.value.args[0] >= (1500 + 36 * 150) // 100
