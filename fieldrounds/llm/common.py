@@ -7,6 +7,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..session import stored
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -59,6 +61,23 @@ def prefix_sums(lengths: Column, chunk: int = 64) -> Column:
     return let(lengths, over)
 
 
+def parted(df: DataFrame, key: Column, few: DataFrame, few_key: Column, bits: int = 16) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` whose ``key`` may be among the ``few_key`` of ``few``, and those whose key is not.
+
+    Wide rows then meet ``few`` without a shuffle of all of them: about one row in ``bits`` is among the first without being met there. ``few`` (a table that is read
+    twice) becomes bitmaps of 32,768 hashes, two bytes a row, small enough to be broadcast below Spark's threshold for some millions of rows. A null key is a key.
+    """
+    size = max(1, -(-few.count() * bits // 32768)) * 32768
+    place = lambda k: F.pmod(F.xxhash64(k), F.lit(size))
+    number = lambda k: F.floor(place(k) / 32768).cast("long")
+    at = few.select(number(few_key).alias("_number"), (place(few_key) % 32768).alias("_at"))
+    maps = stored(at.repartition("_number").groupBy("_number").agg(F.bitmap_construct_agg("_at").alias("_bits")), "bitmaps")
+    at = place(key) % 32768
+    byte = F.conv(F.hex(F.substring(maps["_bits"], (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    there = (number(key) == maps["_number"]) & (F.getbit(byte, (at % 8).cast("int")) == 1)
+    return df.join(maps, there, "left_semi"), df.join(maps, there, "left_anti")
+
+
 def together(df: DataFrame, *keys: str) -> DataFrame:
     """Rows of equal ``keys`` in one partition and next to each other, for ``segments``."""
     return df.repartition(*keys).sortWithinPartitions(*keys)

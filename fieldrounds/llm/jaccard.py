@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import discard, release, stored
-from .common import segments, together
+from .common import parted, segments, together
 
 WORD = re.compile(r"\w+")
 WORDS, THRESHOLD = 5, 0.8
@@ -338,9 +338,11 @@ def _linked(threshold: float, words: int):
 def linked(docs: DataFrame, sets: DataFrame, groups: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, block: int = BLOCK) -> DataFrame:
     """``set_key, root, links, rows``: partial exact link counts of every set in a candidate group, from its block pairs."""
     sizes = groups.groupBy(F.col("root").alias("grp")).agg(F.count("*").alias("size"))
-    members = (groups.select("node", F.col("root").alias("_root")).join(sizes, F.col("_root") == F.col("grp"))
-               .join(sets.select("set_key", "n", "at"), F.col("node") == F.col("set_key")).select("grp", "size", "set_key", "n", "at"))
+    members = stored(groups.select("node", F.col("root").alias("_root")).join(sizes, F.col("_root") == F.col("grp"))
+                     .join(sets.select("set_key", "n", "at"), F.col("node") == F.col("set_key")).select("grp", "size", "set_key", "n", "at"), "members")
     texts = docs.select(F.col("doc_id").cast("long").alias("_doc_id"), F.xxhash64("text").alias("_text_key"), "text")
+    # Only texts that are compared move.
+    texts, _ = parted(texts, F.xxhash64("_doc_id", "_text_key"), members, F.xxhash64("at.doc_id", "at.text_key"))
     read = members.join(texts, F.col("at")["doc_id"].eqNullSafe(F.col("_doc_id")) & (F.col("at")["text_key"] == F.col("_text_key")))
     dealt = in_blocks(read.select("grp", "size", "set_key", "n", "text"), "grp", "set_key", block)
     return together(dealt, "grp", "lo", "hi").mapInPandas(_linked(threshold, words), "set_key binary, root binary, links long, rows long")
@@ -380,4 +382,7 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     their texts; a row without an id goes if its class has one."""
     gone = stored(classes(docs, **options).where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(
         F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_doc_id"]) & (F.xxhash64(docs["text"]) == gone["_text_key"]), "left_anti")
+    row = docs["doc_id"].cast("long"), F.xxhash64(docs["text"])
+    # Rows that stay for sure do not move.
+    some, rest = parted(docs, F.xxhash64(*row), gone, F.xxhash64("_doc_id", "_text_key"))
+    return some.join(gone, row[0].eqNullSafe(gone["_doc_id"]) & (row[1] == gone["_text_key"]), "left_anti").union(rest)
