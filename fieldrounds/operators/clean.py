@@ -15,18 +15,26 @@ def read_type(source_type: Column) -> Column:
     return _map_of(VISIT_TYPES)[source_type]
 
 
-def parse_item(item: Column) -> Column:
-    """One nested item as ``{code, theme, severity, description}``; a note has a null severity."""
+def item_severity(item: Column) -> Column:
+    """Severity of a nested item, null for a note."""
     status = F.trim(F.coalesce(item["status"], F.lit("")))
-    text = F.trim(F.coalesce(F.when(item["violation_accela"] != "", item["violation_accela"]),
-                             item["violation"], F.lit("")))
-    code = F.regexp_extract(text, r"^\s*(\d+[a-z]?)\.\s*(.*)", 1)
-    tier = (F.when(~status.startswith("Out of Compliance"), F.lit(None).cast("string"))
+    return (F.when(~status.startswith("Out of Compliance"), F.lit(None).cast("string"))
             .when(status.endswith("Major") | (item["major_violation"] == "Y"), "major")
             .when(status.endswith("Minor"), "minor").otherwise("grp"))
+
+
+def item_text(item: Column) -> Column:
+    return F.trim(F.coalesce(F.when(item["violation_accela"] != "", item["violation_accela"]),
+                             item["violation"], F.lit("")))
+
+
+def parse_item(item: Column) -> Column:
+    """One nested item as ``{code, theme, severity, description}``; a note has a null severity."""
+    text = item_text(item)
+    code = F.regexp_extract(text, r"^\s*(\d+[a-z]?)\.\s*(.*)", 1)
     said = F.when(code != "", F.regexp_extract(text, r"^\s*(\d+[a-z]?)\.\s*(.*)", 2)).otherwise(text)
     return F.struct(F.when(code != "", code).alias("code"), theme_of(text).alias("theme"),
-                    tier.alias("severity"), F.trim(said).alias("description"), text.alias("text"))
+                    item_severity(item).alias("severity"), F.trim(said).alias("description"), text.alias("text"))
 
 
 def kept_record(kind: Column, status: Column, n_items: Column) -> Column:
@@ -54,23 +62,24 @@ def records_from_documents(docs: DataFrame) -> DataFrame:
     """Nested business documents to one row per source record, kept or not (``kept``)."""
     flat = docs.select("business_id", F.posexplode_outer("inspections").alias("record_pos", "i"))
     flat = flat.where(F.col("i").isNotNull())
-    items = F.transform(F.coalesce(F.col("i.violations"), F.array()), parse_item)
+    raw = F.coalesce(F.col("i.violations"), F.array())
     flat = flat.select(
         F.col("business_id").cast("string").alias("business_id"), "record_pos",
         F.coalesce(F.col("i.inspection_id"), F.lit("")).alias("record_id"),
         F.col("i.type").alias("source_type"), read_type(F.col("i.type")).alias("visit_type"),
         F.trim(F.coalesce(F.col("i.status"), F.lit(""))).alias("status"),
         F.col("i.completed_date").alias("_date"), safe_int(F.col("i.score")).alias("_score"),
-        F.col("i.grade").alias("_grade"), items.alias("_items"))
-    cited = F.filter("_items", lambda x: x["severity"].isNotNull())
-    notes = F.transform(F.filter("_items", lambda x: x["severity"].isNull()), lambda x: x["text"])
+        F.col("i.grade").alias("_grade"), raw.alias("_raw"), F.transform(raw, item_severity).alias("_tiers"))
+    # Counts come from the severities alone, so texts are parsed only where ``items`` or ``notes`` are read.
+    cited = F.transform(F.filter("_raw", lambda x: item_severity(x).isNotNull()), parse_item)
+    notes = F.transform(F.filter("_raw", lambda x: item_severity(x).isNull()), item_text)
 
     def tier(name: str) -> Column:
-        return F.size(F.filter("_items", lambda x: x["severity"] == name))
+        return F.size(F.filter("_tiers", lambda x: x == name))
     flat = flat.select("*", cited.alias("items"), notes.alias("notes"), tier("major").alias("n_major"),
                        tier("minor").alias("n_minor"), tier("grp").alias("n_grp"))
     day = F.try_to_date(F.substring("_date", 1, 10), "yyyy-MM-dd")
-    kept = kept_record(F.col("visit_type"), F.col("status"), F.size("items")) & day.isNotNull()
+    kept = kept_record(F.col("visit_type"), F.col("status"), F.col("n_major") + F.col("n_minor") + F.col("n_grp")) & day.isNotNull()
     permit = F.exists("notes", lambda n: norm_key(n).contains("permit"))
     return flat.select(
         "business_id", "record_id", "record_pos", "source_type", "visit_type", "status", day.alias("day"),

@@ -6,7 +6,7 @@ import uuid
 from pyspark.sql import Column, functions as F
 
 from ..operators import clean
-from ..session import shared_folder
+from ..session import dealt_finely, shared_folder
 from ..sources import adapt, readers, sinks
 from .lists import ONE_MONTH, this_month
 from .registry import LIST_DATE, Tables, query
@@ -21,7 +21,8 @@ def folder(t: Tables, name: str) -> str:
 @query("src1_raw_documents", """SELECT record_id, business_id, CAST(day AS VARCHAR) AS day, visit_type, status, n_major, n_minor, n_grp, CAST(is_order AS INT) AS is_order, CAST(is_reopen AS INT) AS is_reopen FROM rec""")
 def src1(t: Tables):
     path = folder(t, "documents")
-    adapt.documents(t.spark, t.dir).write.option("compression", "gzip").json(path)
+    with dealt_finely(t.spark, t.table("orders").count()):
+        adapt.documents(t.spark, t.dir).write.option("compression", "gzip").json(path)
     r = clean.records_from_documents(readers.read_documents(t.spark, path))
     return r.select(F.col("record_id").cast("long").alias("record_id"), F.col("business_id").cast("long").alias("business_id"), "day", "visit_type", "status",
                     *[F.col(c).cast("long").alias(c) for c in ("n_major", "n_minor", "n_grp")], "is_order", "is_reopen")

@@ -175,3 +175,15 @@ def test_public_gate(spark):
     with pytest.raises(ValueError, match="row-level column zip"):
         ck.require_public(bad)
     ck.require_public(spark.createDataFrame([("a", 50)], "type string, places long"))
+
+
+def test_counts_of_documents_parse_no_text(spark):
+    """Severities come from an item's status, so its text is parsed only where items are read."""
+    docs = spark.createDataFrame([("1", [{"inspection_id": "9", "type": "Routine", "status": "Complete", "completed_date": "2024-01-02"}])],
+                                 "business_id string, inspections array<struct<inspection_id:string,type:string,status:string,score:string,grade:string,"
+                                 "completed_date:string,violations:array<struct<violation:string,major_violation:string,status:string,violation_accela:string>>>>")
+    records = clean.records_from_documents(docs)
+    counts = records.select("record_id", "n_major", "n_minor", "n_grp", "kept")
+    assert counts.collect()[0][1:] == (0, 0, 0, True)
+    assert "regexp_extract" not in counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract" in records._jdf.queryExecution().optimizedPlan().toString()
