@@ -92,32 +92,41 @@ class BoostedTrees:
         self.max_iter, self.depth, self.seed, self.val_days = max_iter, depth, seed, val_days
         self.rounds = None
 
-    def _stages(self, iters: int):
+    def _index(self, rows: DataFrame):
+        """Codes of the categories, by their number of rows, and the vector of all columns."""
         from pyspark.ml import Pipeline
-        from pyspark.ml.classification import GBTClassifier
         from pyspark.ml.feature import StringIndexer, VectorAssembler
         index = [StringIndexer(inputCol=c, outputCol=f"{c}_i", handleInvalid="keep") for c in self.categories]
         cols = [f"{c}_i" for c in self.categories] + [x for c in self.numeric for x in (f"{c}_v", f"{c}_na")]
-        gbt = GBTClassifier(labelCol="label", featuresCol="features", maxIter=iters, maxDepth=self.depth, stepSize=0.08, seed=self.seed, maxBins=256)
-        return Pipeline(stages=[*index, VectorAssembler(inputCols=cols, outputCol="features"), gbt])
+        return Pipeline(stages=[*index, VectorAssembler(inputCols=cols, outputCol="features")]).fit(rows)
+
+    def _trees(self, iters: int, weight: str):
+        from pyspark.ml.classification import GBTClassifier
+        return GBTClassifier(labelCol="label", featuresCol="features", weightCol=weight, maxIter=iters, maxDepth=self.depth, stepSize=0.08, seed=self.seed, maxBins=256)
 
     def _prepare(self, rows: DataFrame) -> DataFrame:
         return _with_missing(rows.fillna("NA", self.categories or None), self.numeric, {})[0]
 
     def fit(self, rows: DataFrame, y: str = "major", min_fit: int = 1000, min_val: int = 300) -> "BoostedTrees":
-        data = self._prepare(rows).withColumn("label", F.col(y).cast("double")).persist()
+        from pyspark.ml import PipelineModel
+        c = F.col
+        data = self._prepare(rows).withColumn("label", c(y).cast("double"))
         last = data.agg(F.date_sub(F.max("day"), self.val_days).alias("cut")).first()["cut"]
-        sizes = data.agg(F.count_if(F.col("day") <= last).alias("f"), F.count_if(F.col("day") > last).alias("v")).first()
+        # A pass over the rows is made for each level of each tree: rows that are alike are one row with their number as weight.
+        alike = [*self.categories, *[x for n in self.numeric for x in (f"{n}_v", f"{n}_na")], "label"]
+        packed = data.groupBy(*alike).agg(F.count_if(c("day") <= last).cast("double").alias("_early"), F.count_if(c("day") > last).cast("double").alias("_late"),
+                                          F.count("*").cast("double").alias("_all")).persist()
+        sizes = packed.agg(F.sum("_early").alias("f"), F.sum("_late").alias("v")).first()
         self.rounds = self.max_iter
-        if sizes.f >= min_fit and sizes.v >= min_val:
-            first = self._stages(self.max_iter).fit(data.where(F.col("day") <= last))
-            val = data.where(F.col("day") > last)
-            for stage in first.stages[:-1]:
-                val = stage.transform(val)
-            losses = list(first.stages[-1].evaluateEachIteration(val))
+        if (sizes.f or 0) >= min_fit and (sizes.v or 0) >= min_val:
+            index = self._index(data.where(c("day") <= last))
+            first = self._trees(self.max_iter, "_early").fit(index.transform(packed.where("_early > 0")))
+            val = index.transform(packed.where("_late > 0").drop("_early").withColumnRenamed("_late", "_early"))
+            losses = list(first.evaluateEachIteration(val))
             self.rounds = losses.index(min(losses)) + 1
-        self.model = self._stages(self.rounds).fit(data)
-        data.unpersist()
+        index = self._index(data)
+        self.model = PipelineModel([*index.stages, self._trees(self.rounds, "_all").fit(index.transform(packed))])
+        packed.unpersist()
         return self
 
     def predict(self, rows: DataFrame, name: str = "p") -> DataFrame:

@@ -109,3 +109,28 @@ def test_training_rows_are_shuffled_into_more_partitions_as_they_grow(monkeypatc
     with pytest.raises(Asked) as e:
         QUERIES["ml7_score_equations"](spark, SMALL)
     assert e.value.args[0] >= (1500 + 36 * 150) // 100
+
+
+def test_trees_pass_over_distinct_rows(monkeypatch, spark):
+    """Rows that are alike are one weighted row for the trees, which come out as from all rows."""
+    from pyspark.ml.classification import GBTClassifier
+    rows = spark.range(1200).selectExpr("id", "id % 200 AS k").selectExpr(
+        "IF(k % 3 = 0, 'a', 'b') AS kind", "IF(k % 7 = 0, NULL, k % 20) AS x", "(k * 13) % 50 AS z", "CAST((k * 13) % 50 + k % 3 > 25 AS DOUBLE) AS major",
+        "DATE '1999-01-01' + CAST(IF(id < 800, 0, 200) AS INT) AS day")
+    real, seen = GBTClassifier.fit, []
+
+    def spy(self, data, *a):
+        seen.append(data.count())
+        return real(self, data, *a)
+    monkeypatch.setattr(GBTClassifier, "fit", spy)
+    m = md.BoostedTrees(["kind"], ["x", "z"], max_iter=4).fit(rows, min_fit=100, min_val=100)
+    monkeypatch.undo()
+    assert len(seen) == 2 and max(seen) <= 200
+    whole = GBTClassifier(labelCol="major", maxIter=m.rounds, maxDepth=4, stepSize=0.08, seed=0, maxBins=256)
+    vectors = m._prepare(rows)
+    for stage in m.model.stages[:-1]:
+        vectors = stage.transform(vectors)
+    from pyspark.ml.functions import vector_to_array
+    want = [r.p for r in whole.fit(vectors).transform(vectors).select("day", "kind", "x", "z", vector_to_array("probability")[1].alias("p")).orderBy("day", "kind", "x", "z").collect()]
+    got = [r.p for r in m.predict(rows).orderBy("day", "kind", "x", "z").collect()]
+    assert got == pytest.approx(want, abs=1e-9)
