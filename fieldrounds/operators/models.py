@@ -9,10 +9,13 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from . import boost, newton
 from ..functions import half_up, log_odds, points_formula
 from ..rules import RULES, Rules
+from ..session import discard, shared_folder, stored
 from .bands import band_of, falling_cuts, nearest_cut
 from .clean import theme_columns
 from .ordering import exact_quantiles
 
+TREE_ROWS = 16384                           # distinct rows for which another task of MLlib's trees is worth its while
+
 
 def equal_opportunity_cuts(df: DataFrame, group: str, score: str, target: float, y: str = "y") -> DataFrame:
     """Per group, the score that flags ``target`` of its positives (ML15)."""
@@ -114,9 +117,14 @@ class BoostedTrees:
         last = data.agg(F.date_sub(F.max("day"), self.val_days).alias("cut")).first()["cut"]
         # A pass over the rows is made for each level of each tree: rows that are alike are one row with their number as weight.
         alike = [*self.categories, *[x for n in self.numeric for x in (f"{n}_v", f"{n}_na")], "label"]
-        packed = data.groupBy(*alike).agg(F.count_if(c("day") <= last).cast("double").alias("_early"), F.count_if(c("day") > last).cast("double").alias("_late"),
-                                          F.count("*").cast("double").alias("_all")).persist()
-        sizes = packed.agg(F.sum("_early").alias("f"), F.sum("_late").alias("v")).first()
+        whole = stored(data.groupBy(*alike).agg(F.count_if(c("day") <= last).cast("double").alias("_early"), F.count_if(c("day") > last).cast("double").alias("_late"),
+                                                F.count("*").cast("double").alias("_all")), "packed")
+        sizes = whole.agg(F.sum("_early").alias("f"), F.sum("_late").alias("v"), F.count("*").alias("n")).first()
+        # A round is some eight stages, whose tasks take longer to start than to do their work: no more of them than the rows are worth.
+        packed = whole.coalesce(max(1, -(-sizes.n // TREE_ROWS))).persist()
+        spark = rows.sparkSession
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(shared_folder(spark))       # else each round's lineage holds all earlier ones
         self.rounds = self.max_iter
         if (sizes.f or 0) >= min_fit and (sizes.v or 0) >= min_val:
             index = self._index(data.where(c("day") <= last))
@@ -127,6 +135,7 @@ class BoostedTrees:
         index = self._index(data)
         self.model = PipelineModel([*index.stages, self._trees(self.rounds, "_all").fit(index.transform(packed))])
         packed.unpersist()
+        discard(whole)
         return self
 
     def predict(self, rows: DataFrame, name: str = "p") -> DataFrame:

@@ -134,3 +134,28 @@ def test_trees_pass_over_distinct_rows(monkeypatch, spark):
     want = [r.p for r in whole.fit(vectors).transform(vectors).select("day", "kind", "x", "z", vector_to_array("probability")[1].alias("p")).orderBy("day", "kind", "x", "z").collect()]
     got = [r.p for r in m.predict(rows).orderBy("day", "kind", "x", "z").collect()]
     assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_trees_take_no_more_tasks_than_the_distinct_rows_are_worth(monkeypatch, spark):
+    """Before, each of the thousands of stages had as many tasks as there are shuffle partitions."""
+    from pyspark.ml.classification import GBTClassifier
+    rows = spark.range(1200).selectExpr("'a' AS kind", "id % 50 AS x", "CAST(id % 50 + id % 3 > 25 AS DOUBLE) AS major", "DATE '1999-01-01' + CAST(IF(id < 800, 0, 200) AS INT) AS day")
+    real, seen = GBTClassifier.fit, []
+
+    def spy(self, data, *a):
+        seen.append(data.rdd.getNumPartitions())
+        return real(self, data, *a)
+    monkeypatch.setattr(GBTClassifier, "fit", spy)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "24")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for per, tasks in ((md.TREE_ROWS, 1), (50, 2)):
+            monkeypatch.setattr(md, "TREE_ROWS", per)
+            md.BoostedTrees(["kind"], ["x"], max_iter=2).fit(rows, min_fit=100, min_val=100)
+            assert seen == [tasks, tasks]
+            seen.clear()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert spark.sparkContext.getCheckpointDir()
